@@ -199,40 +199,46 @@ def imports_py(files: DataFrame) -> DataFrame:
     return python_files(files).select(*keep, F.explode(rows).alias("r")).select(*keep, "r.*")
 
 
-def _counted(lines: Column, test) -> Column:
-    return F.size(F.filter(lines, test))
+PY_BRANCH = r"^\s*(if|elif|for|while|except)\b"
+
+
+def _line_metrics(lines: Column, is_comment, branch: str) -> list[Column]:
+    count = lambda test: F.size(F.filter(lines, test))
+    total, blank, comment = F.size(lines), count(lambda x: tx.strip(x) == ""), count(is_comment)
+    return [total.alias("total_lines"), blank.alias("blank_lines"), comment.alias("comment_lines"),
+            (total - blank - comment).alias("lines_of_code"),
+            (count(lambda x: x.rlike(tx.regex(branch))) + 1).alias("cyclomatic")]
 
 
 def file_metrics_py(files: DataFrame) -> DataFrame:
-    keep, l = _keep(files), F.col("_l")
-    total, blank = F.size(l), _counted(l, lambda x: tx.strip(x) == "")
-    comment = _counted(l, lambda x: tx.strip(x).startswith("#"))
-    branch = _counted(l, lambda x: x.rlike(tx.regex(r"^\s*(if|elif|for|while|except)\b")))
+    keep = _keep(files)
     base = python_files(files).select(*keep, F.split("content", "\n", -1).alias("_l"))
-    return base.select(*keep, total.alias("total_lines"), blank.alias("blank_lines"), comment.alias("comment_lines"),
-                       (total - blank - comment).alias("lines_of_code"), (branch + 1).alias("cyclomatic"))
+    return base.select(*keep, *_line_metrics(F.col("_l"), lambda x: tx.strip(x).startswith("#"), PY_BRANCH))
 
 
 def file_metrics_js(files: DataFrame) -> DataFrame:
-    keep, l = _keep(files), F.col("_l")
-    total, blank = F.size(l), _counted(l, lambda x: tx.strip(x) == "")
-    comment = _counted(l, lambda x: x.rlike(tx.regex(JS_COMMENT)))
-    branch = _counted(l, lambda x: x.rlike(tx.regex(JS_BRANCH)))
+    keep = _keep(files)
     base = other_files(files).select(*keep, F.split("content", "\n", -1).alias("_l"))
-    return base.select(*keep, total.alias("total_lines"), blank.alias("blank_lines"), comment.alias("comment_lines"),
-                       (total - blank - comment).alias("lines_of_code"), (branch + 1).alias("cyclomatic"))
+    return base.select(*keep, *_line_metrics(F.col("_l"), lambda x: x.rlike(tx.regex(JS_COMMENT)), JS_BRANCH))
+
+
+def _control_weight(outline: Column) -> Column:
+    return F.aggregate(outline, F.lit(0), lambda s, h: s + F.when(
+        h["kind"].isin("if", "elif", "for", "while"), 1 + h["nest"]).when(h["kind"] == "except", 1).otherwise(0))
+
+
+def _boolean_operators() -> Column:
+    """and/or on lines that are not comments."""
+    return F.aggregate(_significant(F.col("content")), F.lit(0), lambda s, x: s + F.size(
+        F.filter(F.regexp_extract_all(x["text"], F.lit(tx.WORD), F.lit(0)), lambda w: w.isin("and", "or"))))
 
 
 def cognitive_py(files: DataFrame) -> DataFrame:
     """Approximation: (1 + open nesting) per if/elif/for/while, 1 per except, 1 per and/or on code lines."""
     keep = _keep(files)
-    o = outline_column(F.col("content"))
-    weight = F.aggregate(o, F.lit(0), lambda s, h: s + F.when(
-        h["kind"].isin("if", "elif", "for", "while"), 1 + h["nest"]).when(h["kind"] == "except", 1).otherwise(0))
-    logic = F.aggregate(_significant(F.col("content")), F.lit(0), lambda s, x: s + F.size(
-        F.filter(F.regexp_extract_all(x["text"], F.lit(tx.WORD), F.lit(0)), lambda w: w.isin("and", "or"))))
-    return python_files(files).select(*keep, weight.alias("control_weight"), logic.alias("boolean_operators"),
-                                      (weight + logic).alias("cognitive"))
+    py = python_files(files).select(*keep, _control_weight(outline_column(F.col("content"))).alias("control_weight"),
+                                    _boolean_operators().alias("boolean_operators"))
+    return py.withColumn("cognitive", F.col("control_weight") + F.col("boolean_operators"))
 
 
 def long_function_js(files: DataFrame, limit: int = 50) -> DataFrame:
@@ -254,3 +260,19 @@ def long_function_js(files: DataFrame, limit: int = 50) -> DataFrame:
 
     found = F.aggregate(tx.numbered("content"), start, step, lambda a: a["out"])
     return other_files(files).select(*keep, F.explode(found).alias("r")).select(*keep, "r.*")
+
+
+def file_facts(files: DataFrame) -> DataFrame:
+    """Metrics and counts of functions and classes of every file, all in the file's own row."""
+    keep = _keep(files)
+    o, l = F.col("_o"), F.col("_l")
+    kind = lambda k: F.size(F.filter(o, lambda h: h["kind"] == k))
+    py = python_files(files).select(
+        *keep, "content", outline_column(F.col("content")).alias("_o"), F.split("content", "\n", -1).alias("_l"))
+    py = py.select(*keep, *_line_metrics(l, lambda x: tx.strip(x).startswith("#"), PY_BRANCH),
+                   (_control_weight(o) + _boolean_operators()).alias("cognitive"), kind("def").alias("functions"), kind("class").alias("classes"))
+    hits = lambda p: F.size(F.filter(l, lambda x: x.rlike(tx.regex(p))))
+    js = other_files(files).select(*keep, F.split("content", "\n", -1).alias("_l"))
+    js = js.select(*keep, *_line_metrics(l, lambda x: x.rlike(tx.regex(JS_COMMENT)), JS_BRANCH),
+                   sum((hits(p) for p in JS_FUNCTIONS[1:]), hits(JS_FUNCTIONS[0])).alias("functions"), hits(JS_CLASS).alias("classes"))
+    return py.unionByName(js.withColumn("cognitive", F.col("cyclomatic")))

@@ -24,6 +24,11 @@ def strip(c) -> Column:
     return F.btrim(F.col(c) if isinstance(c, str) else c, F.lit(WS))
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once per row, also when used inside lambdas."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def extension(path) -> Column:
     """Suffix with its dot, case kept; '' when there is none."""
     return F.regexp_extract(path, r"[^/.][^/]*(\.[^./]*)$", 1)

@@ -9,10 +9,11 @@ unless a block has nothing rarer.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..session import cut_lineage
 from . import files as fl
 from . import skew
 
@@ -102,7 +103,7 @@ def shingles(norm: Column) -> Column:
         idx = F.when(n >= WIDTH, F.sequence(F.lit(1), n - (WIDTH - 1))).when(n > 0, F.array(F.lit(1))).otherwise(F.array().cast("array<int>"))
         return F.array_distinct(F.transform(idx, lambda i: F.array_join(F.slice(w, i, WIDTH), " ")))
 
-    return cut(words)
+    return tx.let(words, cut)
 
 
 def distinct_contents(blocks: DataFrame) -> DataFrame:
@@ -173,10 +174,12 @@ def pair_similarity(a, b) -> tuple[Column, Column]:
     """(Jaccard over words, 1 - edit distance / longer length) of two text columns."""
     a, b = (F.col(x) if isinstance(x, str) else x for x in (a, b))
     words = lambda c: F.array_distinct(F.regexp_extract_all(c, F.lit(tx.WORD), F.lit(0)))
-    both = F.size(F.array_intersect(words(a), words(b)))
-    either = F.size(words(a)) + F.size(words(b)) - both
+    sets = F.struct(words(a).alias("a"), words(b).alias("b"))
+    both = lambda s: F.size(F.array_intersect(s["a"], s["b"]))
+    jaccard = lambda s: F.when(F.size(s["a"]) + F.size(s["b"]) == 0, 1.0).otherwise(
+        F.round(both(s) / (F.size(s["a"]) + F.size(s["b"]) - both(s)), 6))
     longer = F.greatest(F.length(a), F.length(b))
-    return (F.when(either == 0, 1.0).otherwise(F.round(both / either, 6)),
+    return (tx.let(sets, jaccard),
             F.when(longer == 0, 1.0).otherwise(F.round(1 - F.levenshtein(a, b) / longer, 6)))
 
 
@@ -188,7 +191,7 @@ def pair_classify(pairs: DataFrame) -> DataFrame:
 def clone_summary(blocks: DataFrame, threshold: float = 0.7, first: int = 10) -> DataFrame:
     """Counts, then the first ten copies and similar pairs (most similar first)."""
     _, g = _groups(blocks)
-    sim = similar_pairs(blocks, threshold)
+    sim = cut_lineage(similar_pairs(blocks, threshold, cut_lineage(distinct_contents(blocks))))
     cols = ["kind", "block_id1", "block_id2", "similarity", "pairs"]
     none = F.lit(None).cast("string")
     count = lambda df, kind, c: df.agg(F.coalesce(F.sum(c), F.lit(0)).alias("pairs")).select(

@@ -101,9 +101,9 @@ def scan_multiline(files: DataFrame, rules: list[Rule]) -> DataFrame:
             pieces, hits = F.split(c, rx, -1), F.regexp_extract_all(c, F.lit(rx), F.lit(0))
             breaks = lambda a, k: F.aggregate(
                 F.slice(a, 1, k), F.lit(0), lambda s, x: s + tx.line_count(x) - 1)
-            rows = F.transform(hits, lambda h, k: F.struct(
+            rows = tx.let(F.struct(pieces.alias("p"), hits.alias("h")), lambda v: F.transform(v["h"], lambda h, k: F.struct(
                 F.lit(r.rule_set).alias("rule_set"), F.lit(r.rule_id).alias("rule_id"), F.lit(i).alias("pattern_idx"),
-                (breaks(pieces, k + 1) + breaks(hits, k) + 1).alias("line_number")))
+                (breaks(v["p"], k + 1) + breaks(v["h"], k) + 1).alias("line_number"))))
             ok = language_match(r.languages, F.col("_e"))
             parts.append(F.when(ok & F.contains(c, F.lit(lit)) if lit else ok, rows))
     hits = F.flatten(F.filter(F.array(*parts), lambda a: a.isNotNull()))

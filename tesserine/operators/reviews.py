@@ -39,8 +39,10 @@ def bullets(text: Column, heads: list[str], marks: list[str], lead: str, over: i
 
 
 def review_bullets(reviews: DataFrame) -> DataFrame:
-    parts = [F.transform(bullets(F.col("text"), **spec), lambda s, i, k=k: F.struct(F.lit(k).alias("section"), (i + 1).alias("item_no"), s.alias("item")))
-             for k, spec in BULLET_KINDS.items()]
+    def rows(kind: str, spec: dict) -> Column:
+        return F.transform(bullets(F.col("text"), **spec), lambda s, i: F.struct(F.lit(kind).alias("section"), (i + 1).alias("item_no"), s.alias("item")))
+
+    parts = [rows(k, spec) for k, spec in BULLET_KINDS.items()]
     return reviews.select("conv_id", "turn", F.explode(F.concat(*parts)).alias("b")).select("conv_id", "turn", "b.*")
 
 

@@ -98,19 +98,21 @@ def file_report(files: DataFrame, smells: DataFrame) -> DataFrame:
     Everything but the smell count is computed in the file's own row.
     """
     known = files.where(fl.language("file_path").isNotNull()).select("project", "file_path", "content")
-    n = smells.groupBy("project", "file_path").agg(F.count("*").alias("smells"))
-    return (structure.file_facts(known).join(n, ["project", "file_path"], "left").na.fill(0, ["smells"])
+    levels = ("critical", "high", "medium", "low")
+    n = smells.groupBy("project", "file_path").agg(
+        F.count("*").alias("smells"), *[F.count_if(F.col("severity") == s).alias(f"{s}_smells") for s in levels],
+        F.count_if(F.col("name") == "Deep Nesting").alias("deep_nesting_count"))
+    return (structure.file_facts(known).join(n, ["project", "file_path"], "left")
+            .na.fill(0, ["smells", "deep_nesting_count", *[f"{s}_smells" for s in levels]])
             .withColumn("language", fl.language("file_path")))
 
 
-def project_summary(report: DataFrame, smells: DataFrame) -> DataFrame:
-    base = report.groupBy("project").agg(
+def project_summary(report: DataFrame) -> DataFrame:
+    sums = [F.sum(f"{s}_smells").alias(f"{s}_smells") for s in ("critical", "high", "medium", "low")]
+    return report.groupBy("project").agg(
         F.count("*").alias("total_files"), F.sum("functions").alias("total_functions"), F.sum("classes").alias("total_classes"),
-        F.sum("smells").alias("total_code_smells"), tx.round_even(F.avg("cyclomatic"), 1).alias("average_cyclomatic"))
-    sev = smells.groupBy("project").agg(
-        *[F.count_if(F.col("severity") == s).alias(f"{s}_smells") for s in ("critical", "high", "medium", "low")],
-        F.count_if(F.col("name") == "Deep Nesting").alias("deep_nesting_count"))
-    return base.join(sev, "project", "left").na.fill(0)
+        F.sum("smells").alias("total_code_smells"), tx.round_even(F.avg("cyclomatic"), 1).alias("average_cyclomatic"),
+        *sums, F.sum("deep_nesting_count").alias("deep_nesting_count"))
 
 
 def language_breakdown(report: DataFrame) -> DataFrame:

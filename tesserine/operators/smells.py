@@ -9,27 +9,41 @@ from pyspark.sql import functions as F
 
 from . import ruleset, scan, structure
 
-FUNCTION_METRICS = {"COMPLEX001": "loc", "COMPLEX005": "size(parameters)", "COMPLEX002": "cyclomatic", "COMPLEX003": "nesting"}
-CLASS_METRICS = {"COMPLEX004": "loc", "DESIGN001": "inheritance_depth", "DESIGN002": "method_count"}
 _OUT = ["project", "file_path", "line_number", "owner_kind", "owner", "name", "severity", "description", "suggestion"]
 
 
-def _violations(owners: DataFrame, metrics: dict[str, str], kind: str, label: str, rules: DataFrame) -> DataFrame:
-    pairs = F.array(*[F.struct(F.lit(k).alias("rule_id"), F.expr(v).cast("int").alias("value")) for k, v in metrics.items()])
-    long = owners.select("project", "file_path", F.col("start_line").alias("line_number"), F.col("name").alias("owner"),
-                         F.explode(pairs).alias("m")).select("*", "m.*").drop("m")
-    v = ruleset.threshold_violations(long, rules)
-    text = F.format_string(f"{label} '%s': %s (current: %d, threshold: %d)", "owner", "description", "value", "threshold")
-    return v.select("project", "file_path", "line_number", F.lit(kind).alias("owner_kind"), "owner",
-                    F.col("rule_name").alias("name"), "severity", text.alias("description"), "suggestion")
+def _owners(files: DataFrame) -> DataFrame:
+    """(owner, rule_id, value) of every function and class, from one fold of the file."""
+    keep = ["project", "file_path"]
+    base = structure.python_files(files).select(*keep, structure.outline_column(F.col("content")).alias("_o"))
+
+    def row(h, kind, values):
+        pairs = F.array(*[F.struct(F.lit(r).alias("rule_id"), v.cast("int").alias("value")) for r, v in values.items()])
+        return F.struct(F.lit(kind).alias("owner_kind"), h["name"].alias("owner"), h["start_line"].alias("line_number"), pairs.alias("pairs"))
+
+    loc = lambda h: h["end_line"] - h["start_line"] + 1
+    of = lambda k: F.filter("_o", lambda h: h["kind"] == k)
+    functions = F.transform(of("def"), lambda h: row(h, "function", {
+        "COMPLEX001": loc(h), "COMPLEX005": F.size(structure.parameters(h["text"])), "COMPLEX002": h["cyclomatic"], "COMPLEX003": h["nesting"]}))
+    classes = F.transform(of("class"), lambda h: row(h, "class", {
+        "COMPLEX004": loc(h), "DESIGN001": F.size(structure.bases(h["text"])), "DESIGN002": F.size(structure.direct_methods(F.col("_o"), h))}))
+    rows = base.select(*keep, F.explode(F.concat(functions, classes)).alias("r")).select(*keep, "r.*")
+    return rows.select(*keep, "owner_kind", "owner", "line_number", F.explode("pairs").alias("m")).select("*", "m.*").drop("m")
+
+
+def structure_smells(files: DataFrame, rules: DataFrame) -> DataFrame:
+    v = ruleset.threshold_violations(_owners(files), rules)
+    text = F.format_string("%s '%s': %s (current: %d, threshold: %d)", F.initcap("owner_kind"), "owner", "description", "value", "threshold")
+    return v.select("project", "file_path", "line_number", "owner_kind", "owner", F.col("rule_name").alias("name"), "severity",
+                    text.alias("description"), "suggestion")
 
 
 def function_smells(files: DataFrame, rules: DataFrame) -> DataFrame:
-    return _violations(structure.functions_py(files), FUNCTION_METRICS, "function", "Function", rules)
+    return structure_smells(files, rules).where(F.col("owner_kind") == "function")
 
 
 def class_smells(files: DataFrame, rules: DataFrame) -> DataFrame:
-    return _violations(structure.classes_py(files), CLASS_METRICS, "class", "Class", rules)
+    return structure_smells(files, rules).where(F.col("owner_kind") == "class")
 
 
 def eval_smells(files: DataFrame, rules: DataFrame) -> DataFrame:
@@ -48,5 +62,5 @@ def long_functions(files: DataFrame) -> DataFrame:
 
 
 def all_smells(files: DataFrame, rules: DataFrame) -> DataFrame:
-    parts = [function_smells(files, rules), class_smells(files, rules), eval_smells(files, rules), long_functions(files)]
+    parts = [structure_smells(files, rules), eval_smells(files, rules), long_functions(files)]
     return reduce(DataFrame.unionByName, [p.select(*_OUT) for p in parts])

@@ -103,45 +103,54 @@ def block_outline(files: DataFrame) -> DataFrame:
     return python_files(files).select(*keep, F.explode(outline_column(F.col("content"))).alias("b")).select(*keep, "b.*")
 
 
-def _parameters(text: Column) -> Column:
+def parameters(text: Column) -> Column:
     """Plain parameter names of a def line; names before '/' and after '*' do not count."""
     inner = F.regexp_extract(text, r"\((.*)\)", 1)
     inner = F.regexp_replace(inner, r"\[[^\]]*\]|\([^)]*\)", "")
     names = F.transform(F.split(inner, ","), lambda p: tx.strip(F.regexp_extract(p, r"^([^:=]*)", 1)))
-    names = F.filter(names, lambda p: p != "")
-    star = F.array_position(F.transform(names, lambda p: p.startswith("*")), True).cast("int")
-    names = F.when(star > 0, F.slice(names, 1, star - 1)).otherwise(names)
-    slash = F.array_position(names, "/").cast("int")
-    return F.when(slash > 0, F.slice(names, slash + 1, F.size(names))).otherwise(names)
+
+    def before_star(n):
+        at = F.array_position(F.transform(n, lambda p: p.startswith("*")), True).cast("int")
+        return F.when(at > 0, F.slice(n, 1, at - 1)).otherwise(n)
+
+    def after_slash(n):
+        at = F.array_position(n, "/").cast("int")
+        return F.when(at > 0, F.slice(n, at + 1, F.size(n))).otherwise(n)
+
+    return tx.let(tx.let(F.filter(names, lambda p: p != ""), before_star), after_slash)
+
+
+def bases(text: Column) -> Column:
+    """Base classes of a class line, keyword arguments left out."""
+    inner = F.regexp_extract(text, tx.regex(r"class\s+\w+\s*\((.*)\)"), 1)
+    return F.filter(F.transform(F.split(inner, ","), lambda p: tx.strip(p)), lambda p: (p != "") & ~F.contains(p, F.lit("=")))
+
+
+def direct_methods(outline: Column, cls: Column) -> Column:
+    return F.filter(outline, lambda d: (d["kind"] == "def") & (d["parent_line"] == cls["start_line"]))
 
 
 def functions_py(files: DataFrame) -> DataFrame:
     out = block_outline(files).where(F.col("kind") == "def")
-    rt = r"\)\s*->\s*[\"']?(\w+)[\"']?\s*:"
-    found = F.regexp_extract("text", tx.regex(rt), 1)
+    found = F.regexp_extract("text", tx.regex(r"\)\s*->\s*[\"']?(\w+)[\"']?\s*:"), 1)
     return out.select(
         *_keep(files), "name", "start_line", "end_line", "indent", "parent_line", "parent_kind", "is_async", "is_static",
-        _parameters(F.col("text")).alias("parameters"), F.when(found != "", found).alias("return_type"),
+        parameters(F.col("text")).alias("parameters"), F.when(found != "", found).alias("return_type"),
         "cyclomatic", "nesting", "control_count", (F.col("end_line") - F.col("start_line") + 1).alias("loc"))
 
 
 def classes_py(files: DataFrame) -> DataFrame:
     keep = _keep(files)
-    bases = F.regexp_extract("c.text", r"class\s+\w+\s*\((.*)\)", 1)
-    parts = F.filter(F.transform(F.split(bases, ","), lambda p: tx.strip(p)), lambda p: (p != "") & ~F.contains(p, F.lit("=")))
-    file = python_files(files).select(*keep, outline_column(F.col("content")).alias("o"))
-    rows = F.transform(F.filter("o", lambda c: c["kind"] == "class"), lambda c: F.struct(
-        c.alias("c"), F.size(F.filter(F.col("o"), lambda d: (d["kind"] == "def") & (d["parent_line"] == c["start_line"]))).alias("m"),
-        F.transform(F.array_sort(F.filter(F.col("o"), lambda d: (d["kind"] == "def") & (d["parent_line"] == c["start_line"])),
-                                 lambda a, b: a["start_line"] - b["start_line"]),
-                    lambda d: d["name"]).alias("names"),
-        F.coalesce(F.array_max(F.transform(F.filter(F.col("o"), lambda d: (d["kind"] == "def") & (d["parent_line"] == c["start_line"])),
-                                           lambda d: d["cyclomatic"])), F.lit(0)).alias("mc")))
-    flat = file.select(*keep, F.explode(rows).alias("r")).select(*keep, F.col("r.c").alias("c"), "r.m", "r.names", "r.mc")
+    file = python_files(files).select(*keep, outline_column(F.col("content")).alias("_o"))
+    rows = F.transform(F.filter("_o", lambda c: c["kind"] == "class"), lambda c: F.struct(
+        c.alias("c"), F.array_sort(direct_methods(F.col("_o"), c), lambda a, b: a["start_line"] - b["start_line"]).alias("m")))
+    flat = file.select(*keep, F.explode(rows).alias("r")).select(*keep, F.col("r.c").alias("c"), "r.m")
     return flat.select(
         *keep, F.col("c.name").alias("name"), F.col("c.start_line").alias("start_line"), F.col("c.end_line").alias("end_line"),
-        F.size(parts).alias("inheritance_depth"), F.col("m").alias("method_count"), F.col("names").alias("methods"),
-        F.col("mc").alias("max_method_cyclomatic"), (F.col("c.end_line") - F.col("c.start_line") + 1).alias("loc"))
+        F.size(bases(F.col("c.text"))).alias("inheritance_depth"), F.size("m").alias("method_count"),
+        F.transform("m", lambda d: d["name"]).alias("methods"),
+        F.coalesce(F.array_max(F.transform("m", lambda d: d["cyclomatic"])), F.lit(0)).alias("max_method_cyclomatic"),
+        (F.col("c.end_line") - F.col("c.start_line") + 1).alias("loc"))
 
 
 # Brace languages, line by line.

@@ -113,7 +113,7 @@ view("v_snap_new", vw.SNAP_NEW.replace("{corpus}", "v_corpus"))
 view("v_links", """SELECT source, target FROM (SELECT url AS source, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS target FROM pages)""")
 view("v_flow", """SELECT source, target, count(*) AS weight FROM (SELECT event_type AS source,
   lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS target FROM events) WHERE target IS NOT NULL GROUP BY 1, 2""")
-view("v_hist", vw.HIST.replace("{events}", "events").replace("{{}}", "{}"))
+view("v_hist", vw.HIST.replace("{events}", "events"))
 view("v_timings", vw.TIMINGS.replace("{events}", "events"))
 view("v_metrics", vw.METRICS.replace("{corpus}", "v_corpus").replace("{labels}", "labels"))
 view("v_manifests", vw.MANIFESTS.replace("{documents}", "documents"))

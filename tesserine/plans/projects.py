@@ -7,6 +7,7 @@ from pyspark.sql.functions import col
 
 from ..functions import rules as rl
 from ..operators import projects, reports, reviews, scan
+from ..session import cut_lineage
 from .base import q, query, strip, view
 from .structures import all_smells, src
 
@@ -18,7 +19,8 @@ view("v_sarif_rules", f"""SELECT project, rule_id, row_number() OVER (PARTITION
 
 
 def issues(t):
-    return reports.issues(all_smells(t), scan.scan_lines(src(t), rl.SECURITY))
+    """Read for the rules and again for the results, so the scans run once and are written."""
+    return cut_lineage(reports.issues(all_smells(t), scan.scan_lines(src(t), rl.SECURITY)))
 
 
 @query("sarif_rules", "SELECT project, rule_id, rule_index, description, level FROM v_sarif_rules")

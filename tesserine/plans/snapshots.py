@@ -33,7 +33,7 @@ def _(t):
 @query("change_status", """SELECT project, CASE WHEN old = 0 THEN 'no_cache' WHEN n + m + d = 0 THEN 'no_changes' ELSE 'has_changes' END AS status, n AS new_files, m AS modified_files, d AS deleted_files,
   n + m + d AS total_changes, CASE WHEN cur > 0 THEN cast(round_even(cast((n + m + d) / cur * 100 AS double), 2) AS double) ELSE 0.0 END AS change_percentage, n + m + d > 0 AS should_reanalyze FROM (
   SELECT project, count(*) FILTER (status = 'new') AS n, count(*) FILTER (status = 'modified') AS m, count(*) FILTER (status = 'deleted') AS d FROM v_changes GROUP BY 1)
-  JOIN (SELECT project, count(*) AS cur FROM v_snap_new GROUP BY 1) USING (project) JOIN (SELECT project, count(*) AS old FROM v_snap_old GROUP BY 1) USING (project)""")
+  JOIN (SELECT project, count(*) FILTER (s = 'new') AS cur, count(*) FILTER (s = 'old') AS old FROM (SELECT project, 'new' AS s FROM v_snap_new UNION ALL SELECT project, 'old' FROM v_snap_old) GROUP BY 1) USING (project)""")
 def _(t):
     return snapshots.change_status(t.snap_old, t.snap_new)
 

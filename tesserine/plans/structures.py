@@ -121,7 +121,7 @@ def _(t):
   SELECT project, count(*) FILTER (severity = 'critical') AS c, count(*) FILTER (severity = 'high') AS h, count(*) FILTER (severity = 'medium') AS m,
     count(*) FILTER (severity = 'low') AS l, count(*) FILTER (name = 'Deep Nesting') AS d FROM v_smells GROUP BY 1) s USING (project)""")
 def _(t):
-    return scores.project_summary(report(t), all_smells(t))
+    return scores.project_summary(report(t))
 
 
 @query("language_breakdown", "SELECT language, count(*) AS files, sum(functions)::bigint AS functions, sum(classes)::bigint AS classes FROM v_report GROUP BY 1")

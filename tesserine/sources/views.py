@@ -47,7 +47,7 @@ SNAP_NEW = "SELECT project, file_path, content FROM {corpus} WHERE doc_id % 11 <
 
 HIST = """SELECT cast(event_id AS string) AS id, 'user_' || cast(user_id AS string) AS project_name,
   '/p/user_' || cast(user_id AS string) AS project_path, event_type AS analysis_type, props AS result_json,
-  ts AS timestamp, value AS duration, '{{}}' AS metadata_json, event_id FROM {events}"""
+  ts AS timestamp, value AS duration, '{}' AS metadata_json, event_id FROM {events}"""
 
 TIMINGS = "SELECT event_type AS name, event_id AS iteration, value AS seconds FROM {events}"
 
@@ -143,7 +143,11 @@ class Tables:
         return spread_small(df, SPREAD_KEYS[name]) if name in SPREAD_KEYS else df
 
     def _sql(self, text: str, **views: DataFrame) -> DataFrame:
-        return self.spark.sql(text, **views)
+        # Braces that do not name a view are part of the text.
+        escaped = text.replace("{", "{{").replace("}", "}}")
+        for name in views:
+            escaped = escaped.replace("{{" + name + "}}", "{" + name + "}")
+        return self.spark.sql(escaped, **views)
 
     def with_snippet(self, documents: DataFrame) -> DataFrame:
         """Also used on a streaming ``documents``."""

@@ -24,6 +24,17 @@ def strip(c) -> Column:
     return F.btrim(F.col(c) if isinstance(c, str) else c, F.lit(WS))
 
 
+def sql_text(s: str) -> str:
+    """A Spark SQL string literal."""
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def line_test(pattern: str):
+    """Predicate on a line: the byte search first, then the regex."""
+    lit, rx = needle(pattern), regex(pattern)
+    return lambda x: (F.contains(x, F.lit(lit)) & x.rlike(rx)) if lit else x.rlike(rx)
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once per row, also when used inside lambdas."""
     return F.element_at(F.transform(F.array(value), body), 1)

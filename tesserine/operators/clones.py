@@ -95,13 +95,14 @@ def duplication_ratio(blocks: DataFrame) -> DataFrame:
 
 
 def shingles(norm: Column) -> Column:
-    """Distinct token triples; a shorter text is one shingle."""
+    """Distinct token triples as 64-bit hashes; a shorter text is one shingle."""
     words = F.regexp_extract_all(norm, F.lit(tx.WORD), F.lit(0))
 
     def cut(w):
         n = F.size(w)
-        idx = F.when(n >= WIDTH, F.sequence(F.lit(1), n - (WIDTH - 1))).when(n > 0, F.array(F.lit(1))).otherwise(F.array().cast("array<int>"))
-        return F.array_distinct(F.transform(idx, lambda i: F.array_join(F.slice(w, i, WIDTH), " ")))
+        triples = F.transform(F.sequence(F.lit(1), n - (WIDTH - 1)), lambda i: F.xxhash64(*[F.get(w, i + (k - 1)) for k in range(WIDTH)]))
+        short = F.when(n > 0, F.array(F.xxhash64(F.array_join(w, " "))))
+        return F.array_distinct(F.when(n >= WIDTH, triples).otherwise(F.coalesce(short, F.array().cast("array<bigint>"))))
 
     return tx.let(words, cut)
 
@@ -111,8 +112,7 @@ def distinct_contents(blocks: DataFrame) -> DataFrame:
     b = blocks.select("block_id", normalize("content").alias("norm"))
     g = b.groupBy(F.sha2("norm", 256).alias("hash")).agg(F.min("block_id").alias("block_id"), F.count("*").alias("copies"),
                                                          F.any_value("norm").alias("norm"))
-    sh = F.transform(shingles(F.col("norm")), lambda s: F.xxhash64(s))
-    return g.select("block_id", "copies", F.array_sort(F.array_distinct(sh)).alias("shingles")).where(F.size("shingles") > 0)
+    return g.select("block_id", "copies", shingles(F.col("norm")).alias("shingles")).where(F.size("shingles") > 0)
 
 
 def _copies(contents: DataFrame) -> DataFrame:

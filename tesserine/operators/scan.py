@@ -40,20 +40,20 @@ def rules_frame(spark, rules: list[Rule]) -> DataFrame:
     return spark.createDataFrame([tuple(r) for r in rules], schema)
 
 
-def _hits(content: Column, numbered: Column, pattern: str, tag: int) -> Column:
-    lit, rx = tx.needle(pattern), tx.regex(pattern)
-
-    def test(x):
-        hit = x["line"].rlike(rx)
-        return F.contains(x["line"], F.lit(lit)) & hit if lit else hit
-
-    found = F.transform(F.filter(numbered, test),
-                        lambda x: F.struct(F.lit(tag).alias("tag"), x["n"].alias("n"), x["line"].alias("line")))
-    return F.when(F.contains(content, F.lit(lit)), found) if lit else found
-
-
-def _languages(rule) -> list[str]:
-    return rule.languages
+def _hits(rule: Rule, pattern: str, tag: int) -> str:
+    """array<struct<tag,n,line>> of one pattern, null when the file cannot match.
+
+    Built as SQL text: a rule set is some hundred small expressions, and one parse in the
+    JVM is far cheaper than as many calls into it.
+    """
+    lit, rx = tx.sql_text(tx.needle(pattern)), tx.sql_text(tx.regex(pattern))
+    gates = [] if "all" in rule.languages else [f"_e IN ({', '.join(tx.sql_text(x) for x in rule.languages)})"]
+    line = f"x.line RLIKE {rx}"
+    if lit != "''":
+        gates.append(f"contains(content, {lit})")
+        line = f"contains(x.line, {lit}) AND {line}"
+    found = f"transform(filter(_l, x -> {line}), x -> named_struct('tag', {tag}, 'n', x.n, 'line', x.line))"
+    return f"CASE WHEN {' AND '.join(gates)} THEN {found} END" if gates else found
 
 
 def scan_lines(files: DataFrame, rules: list[Rule]) -> DataFrame:
@@ -63,12 +63,8 @@ def scan_lines(files: DataFrame, rules: list[Rule]) -> DataFrame:
     keep = [c for c in files.columns if c not in ("content", "ext")]
     ext = F.regexp_replace(tx.extension("file_path"), r"^\.", "")
     base = files.select(*keep, "content", ext.alias("_e"), tx.numbered("content").alias("_l"))
-    parts = []
-    for k, (r, _, p) in enumerate(tags):
-        hits = _hits(F.col("content"), F.col("_l"), p, k)
-        parts.append(hits if "all" in r.languages else F.when(language_match(r.languages, F.col("_e")), hits))
-    hits = F.flatten(F.filter(F.array(*parts), lambda a: a.isNotNull()))
-    found = base.select(*keep, F.explode(hits).alias("_h"))
+    parts = ", ".join(_hits(r, p, k) for k, (r, _, p) in enumerate(tags))
+    found = base.select(*keep, F.explode(F.expr(f"flatten(array_compact(array({parts})))")).alias("_h"))
     meta = [(k, r.rule_set, r.rule_id, i, r.name, r.category, r.severity, SEVERITY_WEIGHT[r.severity],
              SEVERITY_RANK[r.severity], r.description, r.suggestion, r.effort_hours, r.improvement)
             for k, (r, i, _) in enumerate(tags)]

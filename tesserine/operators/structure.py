@@ -165,7 +165,7 @@ JS_BRANCH = r"\b(if|else|case|for|while|catch)\b"
 
 def functions_js(files: DataFrame) -> DataFrame:
     keep = _keep(files)
-    rows = [F.transform(F.filter(F.col("_l"), lambda x: x["line"].rlike(tx.regex(p))), lambda x: F.struct(
+    rows = [F.transform(F.filter(F.col("_l"), lambda x: tx.line_test(p)(x["line"])), lambda x: F.struct(
         x["n"].alias("start_line"), F.lit(i).alias("pattern_idx"), F.regexp_extract(x["line"], tx.regex(p), 1).alias("name"),
         F.contains(x["line"], F.lit("async")).alias("is_async"))) for i, p in enumerate(JS_FUNCTIONS)]
     base = other_files(files).select(*keep, tx.numbered("content").alias("_l"))
@@ -258,7 +258,7 @@ def long_function_js(files: DataFrame, limit: int = 50) -> DataFrame:
     start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("bal"), F.array().cast(item).alias("out"))
 
     def step(a, x):
-        head = x["line"].rlike(tx.regex(JS_HEADER))
+        head = (F.contains(x["line"], F.lit("function")) | F.contains(x["line"], F.lit("("))) & x["line"].rlike(tx.regex(JS_HEADER))
         delta = count(x["line"], "{") - count(x["line"], "}")
         bal = F.when(head, delta).otherwise(a["bal"] + delta)
         ends = ~head & (a["at"] > 0) & (bal == 0)
@@ -280,7 +280,7 @@ def file_facts(files: DataFrame) -> DataFrame:
         *keep, "content", outline_column(F.col("content")).alias("_o"), F.split("content", "\n", -1).alias("_l"))
     py = py.select(*keep, *_line_metrics(l, lambda x: tx.strip(x).startswith("#"), PY_BRANCH),
                    (_control_weight(o) + _boolean_operators()).alias("cognitive"), kind("def").alias("functions"), kind("class").alias("classes"))
-    hits = lambda p: F.size(F.filter(l, lambda x: x.rlike(tx.regex(p))))
+    hits = lambda p: F.size(F.filter(l, tx.line_test(p)))
     js = other_files(files).select(*keep, F.split("content", "\n", -1).alias("_l"))
     js = js.select(*keep, *_line_metrics(l, lambda x: x.rlike(tx.regex(JS_COMMENT)), JS_BRANCH),
                    sum((hits(p) for p in JS_FUNCTIONS[1:]), hits(JS_FUNCTIONS[0])).alias("functions"), hits(JS_CLASS).alias("classes"))

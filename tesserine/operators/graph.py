@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..session import cut_lineage
 from . import files as fl
+from . import skew
 
 # FIXED VALUES: import patterns per language, on stripped lines.
 IMPORTS = {
@@ -63,7 +64,7 @@ def dep_coupling(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Out-count over the project's number of nodes."""
     total = nodes.groupBy("project").agg(F.count("*").alias("total"))
     out = edges.groupBy("project", F.col("source").alias("module_name")).agg(F.count("*").alias("out_count"))
-    return out.join(total, "project").select("project", "module_name", "out_count",
+    return skew.join_groups(out, total, "project", "module_name", "total").select("project", "module_name", "out_count",
                                              tx.round_even(F.col("out_count") / F.col("total"), 3).alias("coupling"))
 
 
@@ -186,9 +187,9 @@ PART_ROWS = 200_000  # edges per document; a larger graph becomes several comple
 
 def _documents(edges: DataFrame, line, head: str, tail: str, part_rows: int) -> DataFrame:
     """Text per graph in parts of bounded size; parts are cut by a hash of the source module."""
-    sized = edges.groupBy("project").agg(F.ceil(F.count("*") / part_rows).cast("int").alias("parts"))
+    sized = edges.groupBy("project").agg(F.count("*").alias("_n"), F.ceil(F.count("*") / part_rows).cast("int").alias("parts"))
     h = F.conv(F.substring(F.sha2(F.concat_ws("|", "source", "target", F.col("line_number").cast("string")), 256), 1, 8), 16, 10).cast("long")
-    cut = edges.join(sized, "project").withColumn("part", (h % F.col("parts")).cast("int"))
+    cut = skew.join_groups(edges, sized, "project", "source", "_n").withColumn("part", (h % F.col("parts")).cast("int"))
     rows = F.array_sort(F.collect_list(F.struct("source", "target", "line_number", "import_type")))
     body = F.transform(rows, lambda e: line(e))
     pieces = F.concat(F.array(*[F.lit(x) for x in head.split("\n")]), body, F.array(*[F.lit(tail)] if tail else []).cast("array<string>"))

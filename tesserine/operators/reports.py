@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from ..functions.rules import SARIF_LEVEL, SEVERITY_RANK
+from . import skew
 
 SARIF_SCHEMA = "https://raw.githubusercontent.com/oasis-tcs/sarif-spec/main/sarif-2.1/schema/sarif-schema-2.1.0.json"
 SARIF_VERSION = "2.1.0"
@@ -39,15 +40,17 @@ _SEEN = ["source", "file_path", "line_number", "rule_id", "pattern_idx", "messag
 def sarif_rules(items: DataFrame) -> DataFrame:
     """Distinct rules per project in first-seen order; the first text and severity win."""
     seen = F.struct(*_SEEN)
-    r = items.groupBy("project", "rule_id").agg(F.min(seen).alias("_seen"), F.min_by(F.struct("rule_text", "severity"), seen).alias("_r"))
+    r = items.groupBy("project", "rule_id").agg(F.min(seen).alias("_seen"), F.min_by(F.struct("rule_text", "severity"), seen).alias("_r"),
+                                               F.count("*").alias("results"))
     w = W.partitionBy("project").orderBy("_seen")  # one row per rule by now
     return r.select("project", "rule_id", (F.row_number().over(w) - 1).alias("rule_index"), F.col("_r.rule_text").alias("description"),
-                    level(F.col("_r.severity")).alias("level"))
+                    level(F.col("_r.severity")).alias("level"), "results")
 
 
 def sarif_results(items: DataFrame, rules: DataFrame) -> DataFrame:
-    """Rules are few per project but projects are many: a plain join, split by AQE when one project is hot."""
-    return items.join(rules.select("project", "rule_id", "rule_index"), ["project", "rule_id"]).select(
+    """Results with their rule's index; a rule with very many results is split."""
+    r = rules.select("project", "rule_id", "rule_index", "results")
+    return skew.join_groups(items, r, ["project", "rule_id"], "file_path", "results").select(
         "project", "rule_id", "rule_index", level("severity").alias("level"), "message", F.col("file_path").alias("uri"),
         F.col("line_number").alias("start_line"))
 
@@ -57,13 +60,13 @@ DOCUMENT_ROWS = 50_000
 
 def sarif_document(results: DataFrame, rules: DataFrame, tool: str = "tesserine", document_rows: int = DOCUMENT_ROWS) -> DataFrame:
     """2.1.0 documents per project, as many parts as its results need; each part is complete in itself."""
-    n = results.groupBy("project").agg(F.ceil(F.count("*") / document_rows).cast("int").alias("parts"))
+    n = results.groupBy("project").agg(F.count("*").alias("_n"), F.ceil(F.count("*") / document_rows).cast("int").alias("parts"))
     row = F.struct(
         F.col("rule_id").alias("ruleId"), F.col("rule_index").alias("ruleIndex"), "level", F.struct(F.col("message").alias("text")).alias("message"),
         F.array(F.struct(F.struct(F.struct(F.col("uri").alias("uri"), F.lit("%SRCROOT%").alias("uriBaseId")).alias("artifactLocation"),
                                   F.struct(F.col("start_line").alias("startLine")).alias("region")).alias("physicalLocation"))).alias("locations"))
     part = F.pmod(F.xxhash64("uri", "start_line", "rule_id"), F.col("parts")).cast("int")
-    body = (results.join(n, "project").withColumn("part", part).groupBy("project", "part", "parts")
+    body = (skew.join_groups(results, n, "project", "uri", "_n").withColumn("part", part).groupBy("project", "part", "parts")
             .agg(F.array_sort(F.collect_list(row)).alias("results")))
     rule = F.struct(F.col("rule_index").alias("index"), F.col("rule_id").alias("id"), F.struct(F.col("description").alias("text")).alias("shortDescription"),
                     F.struct(F.col("level").alias("level")).alias("defaultConfiguration"),

@@ -9,16 +9,17 @@ HOT_ROWS = 10_000_000  # a key above this is split
 SALTS = 256
 
 
-def join_groups(left: DataFrame, groups: DataFrame, key: str, spread: str, count: str, hot: int = HOT_ROWS,
+def join_groups(left: DataFrame, groups: DataFrame, key: str | list[str], spread: str, count: str, hot: int = HOT_ROWS,
                 how: str = "inner") -> DataFrame:
     """Join rows to their one group row; ``count`` is the group's number of rows.
 
     Keys above ``hot`` rows are salted on both sides. At most rows/hot such keys exist,
     which bounds the list that is broadcast to flag them.
     """
-    flags = groups.where(F.col(count) > hot).select(key, F.lit(True).alias("_hot"))
+    keys = [key] if isinstance(key, str) else key
+    flags = groups.where(F.col(count) > hot).select(*keys, F.lit(True).alias("_hot"))
     salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(spread), F.lit(SALTS))).otherwise(0)
-    lhs = left.join(F.broadcast(flags), key, "left").withColumn("_salt", salt.cast("int")).drop("_hot")
+    lhs = left.join(F.broadcast(flags), keys, "left").withColumn("_salt", salt.cast("int")).drop("_hot")
     copies = F.when(F.col(count) > hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
     rhs = groups.withColumn("_salt", F.explode(copies))
-    return lhs.join(rhs, [key, "_salt"], how).drop("_salt")
+    return lhs.join(rhs, [*keys, "_salt"], how).drop("_salt")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import skew
+
 KEY = ["project", "file_path"]
 
 
@@ -64,4 +66,7 @@ def reuse_by_hash(files: DataFrame, stored: DataFrame, now: str, ttl_seconds: in
     live = stored if ttl_seconds == 0 else stored.where(
         F.col("created_at") + F.make_dt_interval(secs=F.lit(ttl_seconds)) >= F.lit(now).cast("timestamp"))
     hashed, live = file_hash(files), live.select("sha256").distinct()
-    return hashed.join(live, "sha256", "left_semi"), hashed.join(live, "sha256", "left_anti")
+    # Each digest is looked up once; copies of one content, however many, are split over tasks.
+    groups = hashed.groupBy("sha256").agg(F.count("*").alias("_n"))
+    rows = lambda how: skew.join_groups(hashed, groups.join(live, "sha256", how), "sha256", "file_path", "_n").select(*hashed.columns)
+    return rows("left_semi"), rows("left_anti")

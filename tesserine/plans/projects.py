@@ -25,7 +25,7 @@ def issues(t):
 
 @query("sarif_rules", "SELECT project, rule_id, rule_index, description, level FROM v_sarif_rules")
 def _(t):
-    return reports.sarif_rules(issues(t))
+    return reports.sarif_rules(issues(t)).drop("results")
 
 
 @query("sarif_results", f"""SELECT i.project, i.rule_id, r.rule_index, {_LEVEL('i.severity')} AS level, i.message, i.file_path AS uri, i.line_number AS start_line FROM v_issues i JOIN v_sarif_rules r USING (project, rule_id)""")

@@ -22,7 +22,7 @@ def load_tree(spark: SparkSession, root: str, extensions: list[str] = SOURCE_EXT
     raw = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root))
     base = root.rstrip("/") + "/"
     rel = F.substring_index(F.col("path"), base, -1)
-    out = raw.select(rel.alias("file_path"), F.decode("content", "UTF-8").alias("content"), F.col("length").alias("bytes"))
+    out = raw.select(rel.alias("file_path"), F.make_valid_utf8(F.col("content").cast("string")).alias("content"), F.col("length").alias("bytes"))
     return out.where(~F.arrays_overlap(F.split("file_path", "/"), F.array(*[F.lit(s) for s in skipped])))
 
 

@@ -70,24 +70,23 @@ def normalize(content) -> Column:
     return F.array_join(F.filter(cut, lambda l: l != ""), "\n")
 
 
-def _groups(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
-    hashed = blocks.select("block_id", F.sha2("content", 256).alias("hash"), line_count().cast("long").alias("lines"))
-    groups = (hashed.groupBy("hash").agg(F.count("*").alias("copies"), F.min("block_id").alias("first_id"), F.sum("lines").alias("lines"))
-              .withColumn("pairs", F.col("copies") * (F.col("copies") - 1) / 2))
-    return hashed, groups.withColumn("pairs", F.col("pairs").cast("long"))
+def _groups(blocks: DataFrame) -> DataFrame:
+    hashed = blocks.select(F.sha2("content", 256).alias("hash"), line_count().cast("long").alias("lines"))
+    groups = hashed.groupBy("hash").agg(F.count("*").alias("copies"), F.sum("lines").alias("lines"))
+    return groups.withColumn("pairs", (F.col("copies") * (F.col("copies") - 1) / 2).cast("long"))
 
 
 def duplicates_exact(blocks: DataFrame) -> DataFrame:
     """Every block that has copies, with its group's first block, size and pair count."""
-    hashed, groups = _groups(blocks)
-    many = groups.where(F.col("copies") > 1).drop("lines")
-    return skew.join_groups(hashed.select("hash", "block_id"), many, "hash", "block_id", "copies").select(
-        "hash", "block_id", "first_id", "copies", "pairs")
+    hashed = blocks.select("block_id", F.sha2("content", 256).alias("hash"))
+    many = hashed.groupBy("hash").agg(F.count("*").alias("copies"), F.min("block_id").alias("first_id")).where(F.col("copies") > 1)
+    pairs = (F.col("copies") * (F.col("copies") - 1) / 2).cast("long")
+    return skew.join_groups(hashed, many, "hash", "block_id", "copies").select("hash", "block_id", "first_id", "copies", pairs.alias("pairs"))
 
 
 def duplication_ratio(blocks: DataFrame) -> DataFrame:
     """Lines summed over duplicate pairs / all lines (may pass 1), and the share of lines that are redundant copies."""
-    _, g = _groups(blocks)
+    g = _groups(blocks)
     return g.agg(F.sum("copies").alias("blocks"), F.sum("pairs").alias("duplicate_pairs"),
                  # each block of a group of n occurs in n-1 pairs
                  F.round(F.sum((F.col("copies") - 1) * F.col("lines")) / F.sum("lines"), 6).alias("duplication_ratio"),
@@ -193,7 +192,7 @@ def pair_classify(pairs: DataFrame) -> DataFrame:
 
 def clone_summary(blocks: DataFrame, threshold: float = 0.7, first: int = 10) -> DataFrame:
     """Counts, then the first ten copies and similar pairs (most similar first)."""
-    _, g = _groups(blocks)
+    g = _groups(blocks)
     sim = cut_lineage(similar_pairs(blocks, threshold, cut_lineage(distinct_contents(blocks))))
     cols = ["kind", "block_id1", "block_id2", "similarity", "pairs"]
     none = F.lit(None).cast("string")

@@ -152,7 +152,7 @@ _LINES = "length(content) - length(replace(content, chr(10), '')) + 1"
 
 def _large(limit: int) -> str:
     return f"""SELECT project, 'maintainability' AS category, 'Large File' AS name, file_path, 1 AS line_number, 'File has ' || n || ' lines (threshold: {limit})' AS description,
-  round((n - {limit}) * 0.01, 2) AS effort_hours, CASE WHEN n < 1000 THEN 'medium' ELSE 'high' END AS priority FROM (SELECT *, {_LINES} AS n FROM v_corpus) WHERE n > {limit}"""
+  round((n - {limit}) * 0.01::double, 2) AS effort_hours, CASE WHEN n < 1000 THEN 'medium' ELSE 'high' END AS priority FROM (SELECT *, {_LINES} AS n FROM v_corpus) WHERE n > {limit}"""
 
 
 # No file of the test data passes 500 lines, so the check runs with a lower limit.
@@ -168,7 +168,7 @@ def file_metrics(t):
 
 view("v_file_metrics", "SELECT * FROM v_metrics_py UNION ALL SELECT * FROM v_metrics_js")
 _CC = """SELECT project, 'complexity' AS category, 'High Cyclomatic Complexity' AS name, file_path, 1 AS line_number, 'Cyclomatic complexity is ' || cyclomatic || ' (threshold: 10)' AS description,
-  (cyclomatic - 10) * 0.5 AS effort_hours, CASE WHEN cyclomatic > 20 THEN 'high' ELSE 'medium' END AS priority FROM v_file_metrics WHERE cyclomatic > 10"""
+  (cyclomatic - 10) * 0.5::double AS effort_hours, CASE WHEN cyclomatic > 20 THEN 'high' ELSE 'medium' END AS priority FROM v_file_metrics WHERE cyclomatic > 10"""
 
 
 @query("debt_complexity", _CC)

@@ -77,8 +77,9 @@ def history_append(rows: DataFrame, path: str) -> None:
     """Append to the history table. The id is derived from the row, so a repeated append is recognisable."""
     ident = F.sha2(F.concat_ws("|", "project_name", "analysis_type", F.col("timestamp").cast("string"), "result_json"), 256)
     out = rows.withColumn("id", F.coalesce("id", ident)) if "id" in rows.columns else rows.withColumn("id", ident)
-    out.repartition("analysis_type", F.pmod(F.xxhash64("project_name"), F.lit(64))).sortWithinPartitions("project_name", "timestamp").write.mode(
-        "append").partitionBy("analysis_type").parquet(path)
+    # Ranges over project and time: narrow min/max statistics per file, and a hot project spans many tasks.
+    order = ["analysis_type", "project_name", "timestamp"]
+    out.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("append").partitionBy("analysis_type").parquet(path)
 
 
 def history_overwrite(spark: SparkSession, rows: DataFrame, path: str) -> None:

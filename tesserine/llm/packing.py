@@ -11,6 +11,7 @@ other columns are not touched.
 from __future__ import annotations
 
 import bisect
+import struct
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -21,9 +22,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tesserine.llm.tables import kept, need
+from tesserine.llm.vocabulary import Vocabulary, byte_symbols
 
-#: Distinct words whose ids a worker remembers.
-MEMO = 1_000_000
+#: Distinct words, and distinct pieces of words, whose ids a worker remembers.
+MEMO = 600_000
 #: Parts in which the pieces of one length are ranked.
 RANK_BUCKETS = 256
 
@@ -71,33 +73,53 @@ def plan_slots(histogram: dict[int, int], capacity: int) -> list[tuple[int, int,
     return runs
 
 
-def word_encoder(path: str) -> Callable[[str], bytes]:
+def encoder(path: str) -> Callable[[str], bytes]:
     """Text -> its ids as little-endian 32-bit integers, by the tokenizers library.
 
-    The vocabularies meant here never join or change characters across ASCII white space, so each run between it is encoded once and remembered; further
-    words, beyond MEMO, are encoded each time.
+    Where the vocabulary never joins anything across white space, each run between it goes through the library's model once and is remembered, as is each piece
+    of such runs; further ones, beyond MEMO, go through it each time. Other vocabularies get whole texts.
     """
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
+    tokenizer, vocabulary = Tokenizer.from_file(path), Vocabulary(path)
     tokenizer.no_truncation()
     tokenizer.no_padding()
+    model, symbols = tokenizer.model, byte_symbols()
     memo: dict[bytes, bytes] = {}
-
-    def ids(words: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch(words, add_special_tokens=False)]
+    known: dict[str, bytes] = {}
+
+    def packed(ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def whole(text: str) -> bytes:
+        return packed(tokenizer.encode(text, add_special_tokens=False).ids)
+
+    if not vocabulary.by_word:
+        return whole
+
+    def piece(text: str) -> bytes:
+        ids = known.get(text)
+        if ids is None:
+            ids = packed([t.id for t in model.tokenize(text if text.isascii() and text.isprintable() else "".join([symbols[b] for b in text.encode()]))])
+            if len(known) < MEMO and len(text) < 64:
+                known[text] = ids
+        return ids
+
+    def word(data: bytes) -> bytes:
+        ids = memo.get(data)
+        if ids is None:
+            text = data.decode()
+            ids = whole(text) if vocabulary.special and "<" in text and vocabulary.special.search(text) else b"".join(map(piece, vocabulary.pieces(text)))
+            if len(memo) < MEMO and len(data) < 64:
+                memo[data] = ids
+        return ids
 
     def encode(text: str) -> bytes:
         words = text.encode().split()
         try:
             return b"".join([memo[w] for w in words])
         except KeyError:
-            new = [w for w in dict.fromkeys(words) if w not in memo]
-            got = dict(zip(new, ids([w.decode() for w in new]), strict=True))
-            if len(memo) + len(got) <= MEMO:
-                memo.update(got)
-                return b"".join([memo[w] for w in words])
-            return b"".join([memo[w] if w in memo else got[w] for w in words])
+            return b"".join(map(word, words))
 
     return encode
 
@@ -110,7 +132,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, sep
                        + [("ids", pa.binary())] * with_ids)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = word_encoder(tokenizer_path)
+        encode = encoder(tokenizer_path)
         for batch in batches:
             out: list[list] = [[] for _ in schema]
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):

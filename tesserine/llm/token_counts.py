@@ -14,43 +14,28 @@ Defined cases: a null or empty text has 0 bytes and 0 tokens; repeated rows coun
 
 from __future__ import annotations
 
-import json
-import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserine.llm.tables import need
+from tesserine.llm.vocabulary import Vocabulary, byte_symbols
 
 #: States kept before the tables are begun anew, and words whose path through them is kept as one transition.
 STATES, WORDS = 200_000, 400_000
 #: Bytes of a chunk.
 CHUNK = 1 << 16
-# FIXED VALUES: white space of the vocabulary's split pattern, and its alternatives. They must be as the library has them.
-WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-SPLIT = f"'s|'t|'re|'ve|'m|'ll|'d|\\p{{L}}+|\\p{{N}}|[^{WHITE}\\p{{L}}\\p{{N}}]+"
 _SPACES = frozenset(b" \t\n\r\v\f")
 
 
-def _byte_symbols() -> dict[int, str]:
-    """The printable character that stands for each byte in byte-level vocabularies."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    out, spare = {b: chr(b) for b in plain}, 256
-    for b in range(256):
-        if b not in out:
-            out[b], spare = chr(spare), spare + 1
-    return out
-
-
 class WordTransducer:
     """Counts the tokens of one word, given as bytes, for a byte-pair vocabulary with an end-of-word mark."""
 
     def __init__(self, merges: list, vocabulary: dict[str, int], end: str):
         self.rank = {tuple(m.split(" ")) if isinstance(m, str) else tuple(m): i for i, m in enumerate(merges)}
-        self.symbol, self.end = _byte_symbols(), end
+        self.symbol, self.end = byte_symbols(), end
         inner = [t for t in vocabulary if not t.endswith(end)]
         self.tokens, self.last = set(inner), {t[: -len(end)] for t in vocabulary if t.endswith(end)}
         self.begins = {t[:k] for t in [*inner, *self.last] for k in range(1, len(t) + 1)}
@@ -126,26 +111,17 @@ class TextTransducer:
     """Counts the tokens of texts: special strings, normal form and split pattern around :class:`WordTransducer`."""
 
     def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        model = spec["model"]
-        kinds = [n["type"] for n in spec["normalizer"]["normalizers"]]
-        if model["type"] != "BPE" or not model["end_of_word_suffix"] or model["unk_token"] or kinds != ["NFC", "Replace", "Lowercase"]:
+        self.vocabulary = Vocabulary(path)
+        if not self.vocabulary.by_word:
             raise ValueError("only byte-level BPE vocabularies with an end-of-word mark, lower case and white space dropped are compiled")
+        model, self.special = self.vocabulary.model, self.vocabulary.special
         self.bpe = WordTransducer(model["merges"], model["vocab"], model["end_of_word_suffix"])
-        special = [t["content"] for t in spec["added_tokens"]]
-        self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
-        self.split = regex.compile(SPLIT)
         self.words: dict[bytes, int] = {}
         self.cores: dict[str, int] = {}
 
     def plain(self, text: str) -> int:
-        if text.isascii():
-            text = text.lower()
-        else:
-            text = "".join([c.lower() for c in unicodedata.normalize("NFC", text)])
         total = 0
-        for piece in self.split.findall(text):
+        for piece in self.vocabulary.pieces(text):
             n = self.cores.get(piece)
             if n is None:
                 n = self.bpe.count(piece.encode())

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserine.llm import language, packing, token_counts
+from tesserine.llm import language, oracles, packing, quality, token_counts, urls, warc
 from tesserine.llm.tables import need, table
 
 QUERIES = {}
@@ -39,3 +39,25 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = need(table(spark, sf_dir, "documents"), "doc_id", "text", "lang")
     test = language.held_out(F.col("doc_id"))
     return language.identify(docs.withColumn("held_out", test), language.learn(docs.where(~test)), keep=["doc_id", "held_out"])
+
+
+@query
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+#: Of the contract: (host, path, verdict).
+RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+
+
+@query
+def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.filter_urls(table(spark, sf_dir, "pages"), RULES)
+
+
+ORACLES |= {"op4_quality": oracles.QUALITY, "op5_warc": oracles.WARC, "op7_urls": oracles.url_filter(RULES)}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserine.llm import language, neardup, oracles, packing, quality, token_counts, urls, warc
+from tesserine.llm import html, language, neardup, oracles, packing, quality, token_counts, urls, warc
 from tesserine.llm.tables import need, table
 
 QUERIES = {}
@@ -66,3 +66,8 @@ ORACLES |= {"op4_quality": oracles.QUALITY, "op5_warc": oracles.WARC, "op7_urls"
 @query
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), shingle=4)
+
+
+@query
+def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))

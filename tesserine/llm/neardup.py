@@ -9,7 +9,7 @@
    ``BLOCK`` members, and the likely ones verified, each pair in its first common band. So no link is lost and no group is expanded into all its pairs.
 
 Defined cases: documents without text or words have an empty set and are linked with nothing; fewer words than a shingle count as one shingle; equal texts are linked; rows
-of one id are one document, whose links are joined; an empty table gives no rows; other columns are not touched.
+of one id are one document, whose links are joined, and rows without an id are kept and linked with nothing; an empty table gives no rows; other columns are not touched.
 """
 
 from __future__ import annotations
@@ -164,7 +164,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     """(doc_id, n_shingles, component_id, kept) of every document; kept is the one with the smallest id of each component."""
     docs = need(docs, id_col, text_col).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sketches = kept(sketch(docs, shingle), "sketches")
-    filled = sketches.where("n > 0")
+    filled = sketches.where("n > 0 AND id IS NOT NULL")
     firsts = kept(filled.groupBy("k1", "k2").agg(F.min("id").alias("first")), "firsts")
     texts = kept(filled.select("id", "n", "regs").join(firsts.select(F.col("first").alias("id")).distinct(), "id", "left_semi").dropDuplicates(["id"]), "texts")
     bands = kept(band_rows(texts), "bands")
@@ -180,4 +180,4 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     found = kept(components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionAll(more).unionAll(copies)), "components")
     label = F.coalesce(F.col("component"), F.col("id"))
     return sketches.select("id", "n").join(found, "id", "left").select(
-        F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), label.alias("component_id"), (F.col("id") == label).alias("kept"))
+        F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), label.alias("component_id"), F.coalesce(F.col("id") == label, F.lit(True)).alias("kept"))

@@ -80,3 +80,15 @@ def url_filter(rules: list[urls.Rule]) -> str:
 SELECT u.page_id, u.host, u.path, u.rule, coalesce(u.given, CASE WHEN t.rate >= {urls.PURITY} THEN 'block' ELSE 'allow' END) AS verdict,
   '/' || array_to_string(l.template, '/') AS template, round(t.rate, 6) AS rate
 FROM u JOIN l{urls.DEPTH + 1} l ON u.host = l.host AND u.shape = l.shape JOIN rates t ON l.host = t.host AND l.template = t.template"""
+
+
+def contaminated(docs: str, percent: int = 80, shingle: int = 5) -> str:
+    """Pairs of a document of table ``docs`` and a benchmark item it holds."""
+
+    def sets(table: str, key: str) -> str:
+        words = WORDS.replace("coalesce(text, '')", "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")
+        return (f"SELECT DISTINCT {key}, array_to_string(w[i:i + {shingle - 1}], ' ') AS s FROM (SELECT {key}, w, unnest(range(1, len(w) - {shingle - 2})) AS i "
+                f"FROM (SELECT {key}, {words} AS w FROM {table}))")
+
+    return f"""WITH d AS ({sets(docs, 'doc_id')}), i AS ({sets('benchmark', 'item_id')}), n AS (SELECT item_id, count(*) AS n_shingles FROM i GROUP BY item_id)
+SELECT doc_id, item_id, n_shingles, count(*) AS n_shared FROM d JOIN i USING (s) JOIN n USING (item_id) GROUP BY ALL HAVING 100 * count(*) >= {percent} * n_shingles"""

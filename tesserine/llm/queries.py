@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserine.llm import html, language, neardup, oracles, packing, quality, token_counts, urls, warc
+from tesserine.llm import contamination, html, language, neardup, oracles, packing, quality, substring, token_counts, urls, warc
 from tesserine.llm.tables import need, table
 
 QUERIES = {}
@@ -71,3 +71,16 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
+
+
+@query
+def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.removal_report(table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+ORACLES["op6_contamination"] = oracles.contaminated("documents")

@@ -123,20 +123,25 @@ def open_pairs(members: DataFrame, texts: DataFrame, threshold: float) -> DataFr
         "band", F.least("_i", "_j").alias("i"), F.greatest("_i", "_j").alias("j"), F.col("_i").alias("own"), "low", "high", "id", "component")
     rows = rows.join(texts.select("id", F.col("n").alias("size"), "regs"), "id").repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "id")
 
+    # equal registers are binomial with at least the threshold: below six standard deviations the likelihood need not be asked
+    least = COUNT * threshold - 6 * (COUNT * threshold * (1 - threshold)) ** 0.5
+
     def compare(group: pa.Table) -> pa.RecordBatch:
         ids, comp, own, size = (group.column(c).to_numpy() for c in ("id", "component", "own", "size"))
         band, i, j, low, high = (group.column(c)[0].as_py() for c in ("band", "i", "j", "low", "high"))
         regs = _matrix(group.column("regs").combine_chunks())
+        # within the largest component nothing is open: members outside of it meet everything of other components
+        names, numbers = np.unique(comp, return_inverse=True)
+        outside = numbers != np.bincount(numbers).argmax()
         a, b = [], []
-        for x in np.flatnonzero((ids != low) & (ids != high)):
-            y = np.flatnonzero((comp != comp[x]) & (ids > ids[x]) & (ids != high) & ((own != own[x]) | (i == j)))
-            if not len(y):
-                continue
-            same = (regs[y].reshape(-1, BANDS, ROWS) == regs[x].reshape(BANDS, ROWS)).all(2).argmax(1)
-            y = y[same == (band & 63)]  # the pair's first common band
+        for x in np.flatnonzero(outside & (ids != low) & (ids != high)):
+            y = np.flatnonzero((comp != comp[x]) & (~outside | (ids > ids[x])) & (ids != low) & (ids != high) & ((own != own[x]) | (i == j)))
+            equal = regs[y] == regs[x]
+            y, equal = y[near := equal.sum(1) >= least], equal[near]
+            y = y[equal.reshape(-1, BANDS, ROWS).all(2).argmax(1) == (band & 63)]  # the pair's first common band
             y = y[likely((regs[x] > regs[y]).sum(1), (regs[x] < regs[y]).sum(1), COUNT, np.full(len(y), float(size[x])), size[y].astype(float), threshold, DOUBT)] if len(y) else y
-            a.append(np.full(len(y), ids[x]))
-            b.append(ids[y])
+            a.append(np.minimum(ids[x], ids[y]))
+            b.append(np.maximum(ids[x], ids[y]))
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *v]), pa.int64()) for v in (a, b)], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -103,8 +103,9 @@ def rolling(hashes: np.ndarray, size: int) -> np.ndarray:
 
 
 def sequence_hash(hashes: np.ndarray) -> np.uint64:
-    """The hash that :func:`rolling` gives to a whole sequence."""
-    return rolling(hashes, len(hashes))[0]
+    """A hash of a whole sequence."""
+    power, _ = _power_tables(len(hashes) + 1)
+    return mix(np.sum(mix(hashes) * power[: len(hashes)], dtype=np.uint64, keepdims=True) + np.uint64(len(hashes)))[0]
 
 
 def blocks(texts: pa.Array) -> Iterator[Block]:

@@ -2,8 +2,8 @@
 
 Pages of a host come from templates. Tokens (tags told apart by their path, and whole text blocks) that occur equally often on the same pages share an
 occurrence vector and so an equivalence class; a vector is kept as its length and the XOR of a hash per page and count, which adds up in any order. Classes
-that are frequent, have several tokens, and whose tags nest in tags of other such classes make the host's template. Text blocks in the class of tokens that every page has
-once are template text, of hosts with enough pages; what is left between tags are the slots. The main slot of a host is the
+that are frequent, have several tokens, and whose tags nest in tags of other such classes make the host's template. Text blocks in the class of its main slot, on enough
+pages, are template text; what is left between tags are the slots. The main slot of a host is the
 nested container with most text, articles before others, outside of menus, headers, footers, sidebars, notices, adverts, forms and comments. A page takes
 the blocks below it; a page without it, or of a host without a template, takes its own best container.
 
@@ -136,8 +136,8 @@ def occurrences(pages: DataFrame) -> DataFrame:
     return pages.mapInArrow(run, "host string, token string, vector bigint, chars bigint")
 
 
-def nest(tokens: list[dict], total: int) -> tuple[str | None, list[str]]:
-    """The main container of a template and its text blocks. ``tokens``: (token, every: on each page once, chars), of valid classes."""
+def nest(tokens: list[dict]) -> tuple[str | None, list[str]]:
+    """The main container of a template and its text blocks. ``tokens``: (token, n, vector, chars), of valid classes."""
     tags = {t["token"]: t["chars"] for t in tokens if t["token"] and not t["token"].startswith("#")}
     nested = {p for p in tags if p.rpartition(">")[0] in tags or not p.rpartition(">")[0]}
     inside = dict.fromkeys(nested, 0)
@@ -148,7 +148,8 @@ def nest(tokens: list[dict], total: int) -> tuple[str | None, list[str]]:
             path = path.rpartition(">")[0]
     score = lambda p: (inside[p] * (ARTICLE if _tag(p) in MAIN else 1), p.count(">"), p)
     best = max((p for p in inside if inside[p] and _tag(p) not in ("html", "body")), key=score, default=None)
-    return best, [t["token"] for t in tokens if t["every"] and t["token"].startswith("#")] if total >= TEXT_PAGES else []
+    same = next(((t["n"], t["vector"]) for t in tokens if t["token"] == best), None)
+    return best, [t["token"] for t in tokens if (t["n"], t["vector"]) == same and t["n"] >= TEXT_PAGES and t["token"].startswith("#")]
 
 
 def _tag(path: str) -> str:
@@ -158,16 +159,15 @@ def _tag(path: str) -> str:
 def templates(pages: DataFrame) -> DataFrame:
     """(host, main, texts) of each host with several pages."""
     counted = kept(occurrences(pages).groupBy("host", "token").agg(F.count("*").alias("n"), F.bit_xor("vector").alias("vector"), F.sum("chars").alias("chars")).where("n > 1"), "tokens")
-    whole = counted.where("token = ''").select("host", F.col("n").alias("total"), F.col("vector").alias("all"))
+    whole = counted.where("token = ''").select("host", F.col("n").alias("total"))
     frequent = counted.join(whole, "host").where("2 * n >= total")
     valid = frequent.groupBy("host", "n", "vector").agg(F.count("*").alias("size")).where("size > 1").drop("size")
     # a token on half of a host's pages: at most twice as many as a page has
-    per_host = frequent.join(valid, ["host", "n", "vector"]).groupBy("host", "total").agg(
-        F.collect_list(F.struct("token", ((F.col("n") == F.col("total")) & (F.col("vector") == F.col("all"))).alias("every"), "chars")).alias("tokens"))
+    per_host = frequent.join(valid, ["host", "n", "vector"]).groupBy("host").agg(F.collect_list(F.struct("token", "n", "vector", "chars")).alias("tokens"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [nest(t, n) for t, n in zip(batch.column("tokens").to_pylist(), batch.column("total").to_pylist(), strict=True)]
+            found = [nest(t) for t in batch.column("tokens").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.list_(pa.string()))], names=["host", "main", "texts"])
 
     return per_host.mapInArrow(run, "host string, main string, texts array<string>")

@@ -2,14 +2,14 @@
 
 1. Every whole text becomes a SetSketch of its distinct shingles. Texts with the same words are one text, represented by the smallest id.
 2. Registers are cut into bands; texts that agree on a band share a bucket. With 48 bands of 6 registers a pair of similarity 0.8 shares none with probability
-   5e-7. Each bucket links its members to two pivots only, its smallest and largest id, which are sums.
+   5e-7. Each bucket links its members to one pivot only, its smallest id, which is a sum.
 3. Both counts of register comparisons go into a joint likelihood; pairs that may reach the threshold (a true one is dropped with probability 3e-5) are verified on
    the full sets.
-4. What pivots left open is closed: in buckets whose members are still in several components, all pairs of different components are estimated in blocks of
+4. What the pivots left open is closed: in buckets whose members are still in several components, all pairs of different components are estimated in blocks of
    ``BLOCK`` members, and the likely ones verified, each pair in its first common band. So no link is lost and no group is expanded into all its pairs.
 
 Defined cases: documents without text or words have an empty set and are linked with nothing; fewer words than a shingle count as one shingle; equal texts are linked; rows
-of one id are one document, whose links are joined, and rows without an id are kept and linked with nothing; an empty table gives no rows; other columns are not touched.
+of one id are one document (where their texts differ, one of them is compared and copies of all count), and rows without an id are kept and linked with nothing; an empty table gives no rows; other columns are not touched.
 """
 
 from __future__ import annotations
@@ -114,13 +114,13 @@ def verified(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> D
 
 
 def open_pairs(members: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """Likely pairs of different components within buckets; ``members`` is (band, n, low, high, id, component), the pivots low and high being done."""
+    """Likely pairs of different components within buckets; ``members`` is (band, n, low, id, component), the pivot low being done."""
     mixed = members.groupBy("band").agg(F.min("component").alias("_c"), F.max("component").alias("_d")).where("_c <> _d").select("band")
     parts = F.ceil(F.col("n") / BLOCK).cast("int")
     rows = members.join(mixed, "band", "left_semi").withColumn("_p", parts).withColumn("_i", F.pmod(F.xxhash64("id"), F.col("_p")).cast("int"))
     # each member meets every block: once where a bucket is one block
     rows = rows.withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_p") - 1))).select(
-        "band", F.least("_i", "_j").alias("i"), F.greatest("_i", "_j").alias("j"), F.col("_i").alias("own"), "low", "high", "id", "component")
+        "band", F.least("_i", "_j").alias("i"), F.greatest("_i", "_j").alias("j"), F.col("_i").alias("own"), "low", "id", "component")
     rows = rows.join(texts.select("id", F.col("n").alias("size"), "regs"), "id").repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "id")
 
     # equal registers are binomial with at least the threshold: below six standard deviations the likelihood need not be asked
@@ -128,14 +128,14 @@ def open_pairs(members: DataFrame, texts: DataFrame, threshold: float) -> DataFr
 
     def compare(group: pa.Table) -> pa.RecordBatch:
         ids, comp, own, size = (group.column(c).to_numpy() for c in ("id", "component", "own", "size"))
-        band, i, j, low, high = (group.column(c)[0].as_py() for c in ("band", "i", "j", "low", "high"))
+        band, i, j, low = (group.column(c)[0].as_py() for c in ("band", "i", "j", "low"))
         regs = _matrix(group.column("regs").combine_chunks())
         # within the largest component nothing is open: members outside of it meet everything of other components
         names, numbers = np.unique(comp, return_inverse=True)
         outside = numbers != np.bincount(numbers).argmax()
         a, b = [], []
-        for x in np.flatnonzero(outside & (ids != low) & (ids != high)):
-            y = np.flatnonzero((comp != comp[x]) & (~outside | (ids > ids[x])) & (ids != low) & (ids != high) & ((own != own[x]) | (i == j)))
+        for x in np.flatnonzero(outside & (ids != low)):
+            y = np.flatnonzero((comp != comp[x]) & (~outside | (ids > ids[x])) & (ids != low) & ((own != own[x]) | (i == j)))
             equal = regs[y] == regs[x]
             y, equal = y[near := equal.sum(1) >= least], equal[near]
             y = y[equal.reshape(-1, BANDS, ROWS).all(2).argmax(1) == (band & 63)]  # the pair's first common band
@@ -173,16 +173,22 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     firsts = kept(filled.groupBy("k1", "k2").agg(F.min("id").alias("first")), "firsts")
     texts = kept(filled.select("id", "n", "regs").join(firsts.select(F.col("first").alias("id")).distinct(), "id", "left_semi").dropDuplicates(["id"]), "texts")
     bands = kept(band_rows(texts), "bands")
-    buckets = kept(bands.groupBy("band").agg(F.count("*").alias("n"), F.min("id").alias("low"), F.max("id").alias("high")).where("n > 1"), "buckets")
+    buckets = kept(bands.groupBy("band").agg(F.count("*").alias("n"), F.min("id").alias("low")).where("n > 1"), "buckets")
     members = kept(bands.join(buckets, "band"), "members")
-    to_pivots = members.select("id", F.explode(F.array("low", "high")).alias("p")).where("id <> p").select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct()
-    links = kept(verified(kept(estimated(to_pivots, texts, percent / 100), "pairs"), docs, shingle, percent), "links")
+    to_pivots = members.where("id <> low").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct()
+    links = verified(kept(estimated(to_pivots, texts, percent / 100), "pairs"), docs, shingle, percent)
     found = kept(components(links), "components")
-    rest = members.where("n > 3").join(found, "id", "left").select("band", "n", "low", "high", "id", F.coalesce("component", "id").alias("component"))
+    rest = members.where("n > 2").join(found, "id", "left").select("band", "n", "low", "id", F.coalesce("component", "id").alias("component"))
     more = verified(kept(open_pairs(rest, texts, percent / 100), "pairs"), docs, shingle, percent)
-    copies = filled.join(firsts, ["k1", "k2"]).select(F.col("id").alias("a"), F.col("first").alias("b")).where("a <> b")
-    # ids of several rows have several texts; each row's first text is reached through the id itself
-    found = kept(components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionAll(more).unionAll(copies)), "components")
-    label = F.coalesce(F.col("component"), F.col("id"))
-    return sketches.select("id", "n").join(found, "id", "left").select(
+    # an id of several rows joins the texts of all of them
+    rows = sketches.join(firsts, ["k1", "k2"], "left")
+    several = rows.groupBy("id").agg(F.min("first").alias("a"), F.max("first").alias("_b"), F.count("*").alias("_n")).where("_n > 1 AND a <> _b").select("id", "a")
+    more = more.unionAll(rows.join(several, "id").select("a", F.col("first").alias("b")).where("a <> b"))
+    # components of components: only what was open before moves
+    side = lambda s: found.select(F.col("id").alias(s), F.col("component").alias(f"_{s}"))
+    more = more.join(side("a"), "a", "left").join(side("b"), "b", "left").select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b"))
+    joined = kept(components(more), "components").select(F.col("id").alias("component"), F.col("component").alias("_joined"))
+    label = F.coalesce("_joined", "component", "first", "id")
+    rows = rows.join(found.withColumnRenamed("id", "first"), "first", "left").withColumn("component", F.coalesce("component", "first")).join(joined, "component", "left")
+    return rows.select(
         F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), label.alias("component_id"), F.coalesce(F.col("id") == label, F.lit(True)).alias("kept"))

@@ -13,8 +13,9 @@ def _sections(diffs: DataFrame) -> DataFrame:
     """(change_id, file_no, lines) per file; text before the first header is dropped."""
     cut = F.split("diff_text", r"(?m)^(?=diff --git)", -1)
     parts = F.filter(cut, lambda s: s.startswith("diff --git"))
-    return diffs.select("change_id", F.posexplode(parts).alias("file_no", "_s")).select(
-        "change_id", (F.col("file_no") + 1).alias("file_no"), F.split("_s", "\n", -1).alias("_l"))
+    keep = [c for c in ("project", "change_id") if c in diffs.columns]
+    return diffs.select(*keep, F.posexplode(parts).alias("file_no", "_s")).select(
+        *keep, (F.col("file_no") + 1).alias("file_no"), F.split("_s", "\n", -1).alias("_l"))
 
 
 def _path() -> Column:
@@ -34,7 +35,8 @@ def diff_files(diffs: DataFrame) -> DataFrame:
 
     last = F.try_element_at(F.array_compact(F.transform("_l", kind)), F.lit(-1))
     count = lambda ch: F.size(F.filter("_l", lambda x: x.startswith(ch) & ~x.startswith(ch * 3)))
-    return _sections(diffs).select("change_id", "file_no", _path().alias("file_path"), F.coalesce(last, F.lit("modified")).alias("change_type"),
+    sections = _sections(diffs)
+    return sections.select(*[c for c in ("project",) if c in sections.columns], "change_id", "file_no", _path().alias("file_path"), F.coalesce(last, F.lit("modified")).alias("change_type"),
                                    count("+").alias("additions"), count("-").alias("deletions"))
 
 
@@ -58,10 +60,10 @@ def changed_file_list(listing: DataFrame, text: str) -> DataFrame:
 
 
 def diff_join_metrics(diffs: DataFrame, report: DataFrame) -> DataFrame:
-    """Changed code files that still exist, with their metrics."""
+    """Changed code files that still exist, with their metrics. The diffs carry their project: a path alone is not a file."""
     d = diff_files(diffs).where((F.col("change_type") != "deleted") & tx.extension("file_path").isin(DIFF_EXTENSIONS))
-    m = report.select("file_path", "functions", "classes", F.col("smells").alias("code_smells"), F.col("cyclomatic").alias("complexity"))
-    return d.join(m, "file_path")
+    m = report.select("project", "file_path", "functions", "classes", F.col("smells").alias("code_smells"), F.col("cyclomatic").alias("complexity"))
+    return d.join(m, ["project", "file_path"])
 
 
 def risk(smells: Column, complexity: Column, additions: Column) -> Column:

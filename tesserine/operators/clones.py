@@ -16,12 +16,14 @@ from ..functions import text as tx
 from ..session import cut_lineage
 from . import files as fl
 from . import skew
+from .tops import first_per
 
 WIDTH = 3  # tokens per shingle
 
 
-def _block_id(path: Column, start: Column) -> Column:
-    return F.concat(path, F.lit(":"), start.cast("string"))
+def _block_id(start: Column) -> Column:
+    """Unique over projects: (project, file_path, start_line)."""
+    return F.concat_ws(":", "project", "file_path", start.cast("string"))
 
 
 def blocks_sliding(files: DataFrame, min_lines: int = 6) -> DataFrame:
@@ -30,7 +32,7 @@ def blocks_sliding(files: DataFrame, min_lines: int = 6) -> DataFrame:
     starts = F.when(F.size("_l") >= min_lines, F.sequence(F.lit(0), F.size("_l") - min_lines, F.lit(step)))
     cut = base.select("project", "file_path", "_l", F.explode(starts).alias("_i"))
     out = cut.select(
-        "project", _block_id(F.col("file_path"), F.col("_i") + 1).alias("block_id"), "file_path", (F.col("_i") + 1).alias("start_line"),
+        "project", _block_id(F.col("_i") + 1).alias("block_id"), "file_path", (F.col("_i") + 1).alias("start_line"),
         (F.col("_i") + min_lines).alias("end_line"), F.array_join(F.slice("_l", F.col("_i") + 1, min_lines), "\n").alias("content"),
         F.coalesce(fl.language("file_path", "dependency", fold_case=False), F.lit("unknown")).alias("language"))
     return out.where(tx.strip("content") != "")
@@ -52,7 +54,7 @@ def blocks_segmented(files: DataFrame, at_least: int = 5) -> DataFrame:
 
     cut = base.select("project", "file_path", "_l", F.explode(F.aggregate("_l", init, step, lambda a: a["out"])).alias("b"))
     s, e = F.col("b.start_line"), F.col("b.end_line")
-    return cut.select("project", _block_id(F.col("file_path"), s).alias("block_id"), "file_path", s.alias("start_line"),
+    return cut.select("project", _block_id(s).alias("block_id"), "file_path", s.alias("start_line"),
                       e.alias("end_line"), F.array_join(F.slice("_l", s + 1, e - s + 1), "\n").alias("content"))
 
 
@@ -190,19 +192,20 @@ def pair_classify(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("is_duplicate", s >= 0.95).withColumn("is_similar", s >= 0.7)
 
 
-def clone_summary(blocks: DataFrame, threshold: float = 0.7, first: int = 10) -> DataFrame:
-    """Counts, then the first ten copies and similar pairs (most similar first)."""
+def clone_summary(blocks: DataFrame, first: int, threshold: float = 0.7) -> DataFrame:
+    """Counts, then the first copies and similar pairs (most similar first) of each project, that of the pair's first block."""
     g = _groups(blocks)
     sim = cut_lineage(similar_pairs(blocks, threshold, cut_lineage(distinct_contents(blocks))))
     cols = ["kind", "block_id1", "block_id2", "similarity", "pairs"]
     none = F.lit(None).cast("string")
+    project = lambda c: F.substring_index(c, ":", 1)
     count = lambda df, kind, c: df.agg(F.coalesce(F.sum(c), F.lit(0)).alias("pairs")).select(
         F.lit(kind).alias("kind"), none.alias("block_id1"), none.alias("block_id2"), F.lit(None).cast("double").alias("similarity"), "pairs")
     dup = (duplicates_exact(blocks).where(F.col("block_id") != F.col("first_id"))
-           .orderBy("first_id", "block_id").limit(first)
+           .transform(lambda d: first_per(d.withColumn("project", project("first_id")), "project", ["first_id", "block_id"], first))
            .select(F.lit("duplicate").alias("kind"), F.col("first_id").alias("block_id1"), F.col("block_id").alias("block_id2"),
                    F.lit(1.0).alias("similarity"), F.lit(1).cast("long").alias("pairs")))
-    top = (sim.orderBy(F.col("similarity").desc(), "block_id1", "block_id2").limit(first)
+    top = (first_per(sim.withColumn("project", project("block_id1")), "project", [F.col("similarity").desc(), "block_id1", "block_id2"], first)
            .select(F.lit("similar").alias("kind"), "block_id1", "block_id2", "similarity", "pairs"))
     return (count(g, "total_blocks", "copies").unionByName(count(g, "duplicate_pairs", "pairs")).unionByName(count(sim, "similar_pairs", "pairs"))
             .unionByName(dup).unionByName(top).select(*cols))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions.rules import EXCLUDED_DIRS, LANGUAGE_MAPS
+from .tops import first_per
 
 
 def explode_lines(files: DataFrame) -> DataFrame:
@@ -31,8 +32,9 @@ def exclude_dirs(files: DataFrame, names: list[str] = EXCLUDED_DIRS) -> DataFram
     return files.where(~F.arrays_overlap(F.split("file_path", "/"), F.array(*[F.lit(n) for n in names])))
 
 
-def cap_files(files: DataFrame, n: int = 500) -> DataFrame:
-    return files.orderBy("file_path").limit(n)
+def cap_files(files: DataFrame, n: int) -> DataFrame:
+    """The first n files of each project."""
+    return first_per(files, "project", ["file_path"], n)
 
 
 def find_file_glob(files: DataFrame, mask: str) -> DataFrame:
@@ -80,8 +82,11 @@ def language_stats(files: DataFrame, map_name: str = "display") -> DataFrame:
     return per.withColumn("share_pct", tx.round_even(F.col("files") / total * 100, 1))
 
 
-def sample_files(files: DataFrame, key: str = "project", seed: int = 7) -> DataFrame:
-    """Deterministic sample per project: all below 5,000 files, 20 %, or 5 % above 20,000.
+SAMPLE_RATES = ((0, 1.0), (5_000, 0.2), (20_001, 0.05))  # from so many files of a project, this share of them
+
+
+def sample_files(files: DataFrame, key: str = "project", seed: int = 7, rates: tuple[tuple[int, float], ...] = SAMPLE_RATES) -> DataFrame:
+    """Deterministic sample per project, at a rate that depends on its number of files; one rate is ``((0, 0.1),)``.
 
     Rank by hash is found with a histogram of hash prefixes first, so that no project is
     sorted in one task: whole prefix buckets below the cut pass, only the bucket that holds
@@ -93,7 +98,9 @@ def sample_files(files: DataFrame, key: str = "project", seed: int = 7) -> DataF
     by_key = W.partitionBy(key)
     before = F.sum("_n").over(by_key.orderBy("_b").rowsBetween(W.unboundedPreceding, -1))
     total = F.sum("_n").over(by_key)
-    rate = F.when(total < 5000, 1.0).when(total > 20000, 0.05).otherwise(0.2)
+    rate = F.lit(rates[0][1])
+    for least, share in rates[1:]:
+        rate = F.when(total >= least, share).otherwise(rate)
     hist = hist.select(key, "_b", F.col("_n"), F.coalesce(before, F.lit(0)).alias("_before"),
                        F.greatest(F.lit(1), F.floor(total * rate)).alias("_k"))
     j = hashed.join(hist, [key, "_b"])

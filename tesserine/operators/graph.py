@@ -9,6 +9,7 @@ from ..functions import text as tx
 from ..session import cut_lineage
 from . import files as fl
 from . import skew
+from .tops import first_per
 
 # FIXED VALUES: import patterns per language, on stripped lines.
 IMPORTS = {
@@ -41,23 +42,27 @@ def modules(files: DataFrame) -> DataFrame:
 
 
 def dep_nodes(files: DataFrame, edges: DataFrame) -> DataFrame:
-    out = edges.groupBy("project", F.col("source").alias("module_name")).agg(F.count("*").alias("out_degree"))
-    inc = edges.groupBy("project", F.col("target").alias("module_name")).agg(F.count("*").alias("in_degree"))
+    """Every module of the files, and modules outside of them that are imported."""
     m, key = modules(files), ["project", "module_name"]
-    own = m.join(out, key, "left").join(inc, key, "left").na.fill(0)
-    ext = inc.join(m, key, "left_anti").select(*key, F.lit("(external)").alias("file_path"), F.lit("unknown").alias("language"),
-                                               F.lit(0).cast("long").alias("out_degree"), "in_degree")
-    return own.unionByName(ext)
+    both = m.join(degrees(edges), key, "full")
+    return both.select(*key, F.coalesce("file_path", F.lit("(external)")).alias("file_path"), F.coalesce("language", F.lit("unknown")).alias("language"),
+                       F.coalesce("out_degree", F.lit(0)).cast("long").alias("out_degree"), F.coalesce("in_degree", F.lit(0)).cast("long").alias("in_degree"))
 
 
-def dep_hubs(edges: DataFrame, n: int = 10) -> DataFrame:
-    return edges.groupBy("target").agg(F.count("*").alias("in_count")).orderBy(F.col("in_count").desc(), "target").limit(n)
+def dep_hubs(edges: DataFrame, n: int, graph: str = "project") -> DataFrame:
+    """The n most imported modules of each graph."""
+    return first_per(edges.groupBy(graph, "target").agg(F.count("*").alias("in_count")), graph, [F.col("in_count").desc(), "target"], n)
+
+
+def degrees(edges: DataFrame) -> DataFrame:
+    """(project, module_name, out_degree, in_degree): both ends of each edge, summed once with map-side combination."""
+    ends = F.array(F.struct(F.col("source").alias("module_name"), F.lit(1).alias("o"), F.lit(0).alias("i")), F.struct(F.col("target").alias("module_name"), F.lit(0).alias("o"), F.lit(1).alias("i")))
+    return edges.select("project", F.explode(ends).alias("e")).groupBy("project", "e.module_name").agg(F.sum("e.o").alias("out_degree"), F.sum("e.i").alias("in_degree"))
 
 
 def dep_roots(edges: DataFrame) -> DataFrame:
     """Modules that import and are imported by nobody."""
-    return edges.select("project", F.col("source").alias("module_name")).distinct().join(
-        edges.select("project", F.col("target").alias("module_name")), ["project", "module_name"], "left_anti")
+    return degrees(edges).where("out_degree > 0 AND in_degree = 0").select("project", "module_name")
 
 
 def dep_coupling(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -159,8 +164,11 @@ def cycle_nodes(edges: DataFrame, components: DataFrame | None = None) -> DataFr
     return comp.select("node").unionByName(loops).distinct()
 
 
-def simple_cycles(edges: DataFrame, max_length: int = 4, components: DataFrame | None = None) -> DataFrame:
-    """Every simple cycle of at most ``max_length`` edges once, starting at its smallest node."""
+def simple_cycles(edges: DataFrame, max_length: int, components: DataFrame | None = None) -> DataFrame:
+    """Every simple cycle of at most ``max_length`` edges once, starting at its smallest node.
+
+    There can be exponentially many, so the length is the caller's choice; :func:`strong_components` is complete whatever the length.
+    """
     comp = strong_components(edges) if components is None else components
     c = lambda side: comp.select(F.col("node").alias(side), F.col("component").alias(f"_{side}"))
     loops = edges.where(F.col("source") == F.col("target")).select("source").distinct().select(
@@ -180,11 +188,24 @@ def simple_cycles(edges: DataFrame, max_length: int = 4, components: DataFrame |
     return out.select(F.array_join("path", " -> ").alias("cycle"), (F.size("path") - 1).alias("length"))
 
 
-# ---- exports ----------------------------------------------------------------
+SEPARATOR = "\u001f"
+
 
-PART_ROWS = 200_000  # edges per document; a larger graph becomes several complete documents
+def project_cycles(edges: DataFrame, max_length: int) -> tuple[DataFrame, DataFrame]:
+    """((project, node, component), (project, cycle, length)) of edges that carry their project: all projects advance together, and none reaches another."""
+    node = lambda c: F.concat_ws(SEPARATOR, F.coalesce("project", F.lit("")), c)
+    keyed = cut_lineage(edges.select(node(F.col("source")).alias("source"), node(F.col("target")).alias("target")).distinct())
+    comp = strong_components(keyed)
+    loops = keyed.where("source = target").select(F.col("source").alias("node"), F.col("source").alias("component"))
+    project, name = (lambda c: F.substring_index(c, SEPARATOR, 1)), (lambda c: F.regexp_replace(c, f"^[^{SEPARATOR}]*{SEPARATOR}", ""))
+    nodes = comp.unionByName(loops.join(comp, "node", "left_anti")).distinct().select(project(F.col("node")).alias("project"), name(F.col("node")).alias("node"), name(F.col("component")).alias("component"))
+    cycles = simple_cycles(keyed, max_length, comp).select(
+        project(F.col("cycle")).alias("project"), F.regexp_replace("cycle", f"(^|-> )[^{SEPARATOR}]*{SEPARATOR}", "$1").alias("cycle"), "length")
+    return nodes, cycles
 
 
+# ---- exports ----------------------------------------------------------------
+
 def _documents(edges: DataFrame, line, head: str, tail: str, part_rows: int) -> DataFrame:
     """Text per graph in parts of bounded size; parts are cut by a hash of the source module."""
     sized = edges.groupBy("project").agg(F.count("*").alias("_n"), F.ceil(F.count("*") / part_rows).cast("int").alias("parts"))
@@ -196,11 +217,12 @@ def _documents(edges: DataFrame, line, head: str, tail: str, part_rows: int) ->
     return cut.groupBy("project", "part", "parts").agg(F.array_join(pieces, "\n").alias("text"))
 
 
-def export_mermaid(edges: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
+def export_mermaid(edges: DataFrame, part_rows: int) -> DataFrame:
+    """Complete documents of about ``part_rows`` edges; part and parts are always there."""
     dots = lambda c: F.replace(c, F.lit("."), F.lit("_"))
     return _documents(edges, lambda e: F.concat(F.lit("    "), dots(e["source"]), F.lit(" --> "), dots(e["target"])), "graph LR", "", part_rows)
 
 
-def export_dot(edges: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
+def export_dot(edges: DataFrame, part_rows: int) -> DataFrame:
     return _documents(edges, lambda e: F.concat(F.lit('    "'), e["source"], F.lit('" -> "'), e["target"], F.lit('";')),
                       "digraph dependencies {\n    rankdir=LR;", "}", part_rows)

@@ -13,6 +13,9 @@ from ..functions.rules import HOTSPOT_WORDS
 from ..session import cut_lineage
 from . import files as fl
 from . import scan
+from .tops import first_per
+
+HOTSPOTS = 5  # files shown per project
 
 Analysis = Callable[[DataFrame], DataFrame]
 RESULT = "plugin string, success boolean, key string, value string, error string"
@@ -65,8 +68,8 @@ def row_plugin(fn: Callable[[Iterator], Iterator], schema: str = "key string, va
 def complexity_hotspot(files: DataFrame) -> DataFrame:
     hot = scan.hotspot_keywords(files, HOTSPOT_WORDS)
     total = hot.agg(F.lit("total_hotspots").alias("key"), F.count("*").cast("string").alias("value"))
-    top = hot.orderBy(F.col("estimated_complexity").desc(), "file_path").limit(5)
-    return total.unionByName(top.select(F.concat(F.lit("top:"), F.col("file_path")).alias("key"), F.col("estimated_complexity").cast("string").alias("value")))
+    top = first_per(hot, "project", [F.col("estimated_complexity").desc(), "file_path"], HOTSPOTS)
+    return total.unionByName(top.select(F.concat(F.lit("top:"), F.col("project"), F.lit(":"), F.col("file_path")).alias("key"), F.col("estimated_complexity").cast("string").alias("value")))
 
 
 def file_stats(files: DataFrame) -> DataFrame:

@@ -55,10 +55,7 @@ def sarif_results(items: DataFrame, rules: DataFrame) -> DataFrame:
         F.col("line_number").alias("start_line"))
 
 
-DOCUMENT_ROWS = 50_000
-
-
-def sarif_document(results: DataFrame, rules: DataFrame, tool: str = "tesserine", document_rows: int = DOCUMENT_ROWS) -> DataFrame:
+def sarif_document(results: DataFrame, rules: DataFrame, document_rows: int, tool: str = "tesserine") -> DataFrame:
     """2.1.0 documents per project, as many parts as its results need; each part is complete in itself."""
     n = results.groupBy("project").agg(F.count("*").alias("_n"), F.ceil(F.count("*") / document_rows).cast("int").alias("parts"))
     row = F.struct(

@@ -69,7 +69,7 @@ def rules_summary(rules: DataFrame) -> DataFrame:
 def rules_config_export(rules: DataFrame, builtins: DataFrame) -> DataFrame:
     """One row of JSON a later ``rules_config_apply`` accepts."""
     extra = builtins.select("rule_id", F.lit(True).alias("_builtin"))
-    r = rules.join(F.broadcast(extra), "rule_id", "left")
+    r = rules.join(extra, "rule_id", "left")
     pick = lambda cond, v: F.array_sort(F.collect_list(F.when(cond, v)))
     return r.agg(F.to_json(F.struct(
         pick(~F.col("enabled"), F.col("rule_id")).alias("disabled_rules"),
@@ -81,4 +81,4 @@ def threshold_violations(values: DataFrame, rules: DataFrame) -> DataFrame:
     """``values`` has a ``rule_id`` and a ``value``; a null threshold never fires."""
     r = rules.where("enabled AND threshold IS NOT NULL").select(
         "rule_id", F.col("name").alias("rule_name"), "severity", "category", "threshold", "description", "suggestion")
-    return values.join(F.broadcast(r), "rule_id").where(F.col("value") > F.col("threshold"))
+    return values.join(r, "rule_id").where(F.col("value") > F.col("threshold"))

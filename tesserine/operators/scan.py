@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions.rules import Rule, SEVERITY_RANK, SEVERITY_WEIGHT
+from .tops import first_per
 
 SEPARATE = "\\n"
 
@@ -30,7 +31,7 @@ def rule_language_match(files: DataFrame, rules: DataFrame) -> DataFrame:
     ext = F.regexp_replace(tx.extension("file_path"), r"^\.", "")
     want = rules.select("rule_set", "rule_id", F.explode("languages").alias("_want"))
     keyed = files.withColumn("_want", F.explode(F.array(F.lit("all"), ext)))
-    return keyed.join(F.broadcast(want), "_want").drop("_want")
+    return keyed.join(want, "_want").drop("_want")
 
 
 def rules_frame(spark, rules: list[Rule]) -> DataFrame:
@@ -78,8 +79,8 @@ def scan_lines(files: DataFrame, rules: list[Rule]) -> DataFrame:
 
 
 def scan_top(findings: DataFrame, n: int) -> DataFrame:
-    """Worst first, ties broken by place; plans to TakeOrderedAndProject."""
-    return findings.orderBy("rank", "file_path", "line_number", "rule_id", "pattern_idx").limit(n)
+    """The n worst of each project, ties broken by place."""
+    return first_per(findings, "project", ["rank", "file_path", "line_number", "rule_id", "pattern_idx"], n)
 
 
 def scan_multiline(files: DataFrame, rules: list[Rule]) -> DataFrame:

@@ -9,6 +9,7 @@ from ..functions import text as tx
 from ..functions.rules import SEVERITY_RANK
 from . import files as fl
 from . import skew, structure
+from .tops import first_per
 
 
 def projects(files: DataFrame) -> DataFrame:
@@ -88,8 +89,8 @@ def debt_by_category(items: DataFrame) -> DataFrame:
         tx.round_even(F.round(s / F.count("*"), 6), 1).alias("average_effort"))
 
 
-def debt_top(items: DataFrame, n: int = 10) -> DataFrame:
-    return items.orderBy(F.col("effort_hours").desc(), "file_path", "line_number", "name", "description").limit(n)
+def debt_top(items: DataFrame, n: int) -> DataFrame:
+    return first_per(items, "project", [F.col("effort_hours").desc(), "file_path", "line_number", "name", "description"], n)
 
 
 def file_report(files: DataFrame, smells: DataFrame) -> DataFrame:
@@ -120,8 +121,8 @@ def language_breakdown(report: DataFrame) -> DataFrame:
                                           F.sum("classes").alias("classes"))
 
 
-def smell_types_top(smells: DataFrame, n: int = 10) -> DataFrame:
-    return smells.groupBy("name").agg(F.count("*").alias("smells")).orderBy(F.col("smells").desc(), "name").limit(n)
+def smell_types_top(smells: DataFrame, n: int) -> DataFrame:
+    return first_per(smells.groupBy("project", "name").agg(F.count("*").alias("smells")), "project", [F.col("smells").desc(), "name"], n)
 
 
 def top_files(report: DataFrame, by: str, n: int = 5) -> DataFrame:
@@ -131,20 +132,21 @@ def top_files(report: DataFrame, by: str, n: int = 5) -> DataFrame:
     return report.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n).withColumn("file", rel)
 
 
-def complexity_hotspots(functions: DataFrame, classes: DataFrame, smells: DataFrame) -> DataFrame:
-    cols = ["kind", "file_path", "line_number", "name", "value"]
-    f = (functions.orderBy(F.col("cyclomatic").desc(), "file_path", "start_line").limit(5)
-         .select(F.lit("function").alias("kind"), "file_path", F.col("start_line").alias("line_number"), "name", F.col("cyclomatic").alias("value")))
-    c = (classes.orderBy(F.col("loc").desc(), "file_path", "start_line").limit(5)
-         .select(F.lit("class").alias("kind"), "file_path", F.col("start_line").alias("line_number"), "name", F.col("loc").alias("value")))
-    s = (smells.where(F.col("name").contains("Deep Nesting")).orderBy("file_path", "line_number").limit(3)
-         .select(F.lit("deep_nesting").alias("kind"), "file_path", "line_number", F.col("owner").alias("name"), F.lit(None).cast("int").alias("value")))
+def complexity_hotspots(functions: DataFrame, classes: DataFrame, smells: DataFrame, n: int, n_nested: int) -> DataFrame:
+    """Per project: the n most complex functions, the n longest classes, the first n_nested places of deep nesting."""
+    cols = ["project", "kind", "file_path", "line_number", "name", "value"]
+    f = (first_per(functions, "project", [F.col("cyclomatic").desc(), "file_path", "start_line"], n)
+         .select("project", F.lit("function").alias("kind"), "file_path", F.col("start_line").alias("line_number"), "name", F.col("cyclomatic").alias("value")))
+    c = (first_per(classes, "project", [F.col("loc").desc(), "file_path", "start_line"], n)
+         .select("project", F.lit("class").alias("kind"), "file_path", F.col("start_line").alias("line_number"), "name", F.col("loc").alias("value")))
+    s = (first_per(smells.where(F.col("name").contains("Deep Nesting")), "project", ["file_path", "line_number"], n_nested)
+         .select("project", F.lit("deep_nesting").alias("kind"), "file_path", "line_number", F.col("owner").alias("name"), F.lit(None).cast("int").alias("value")))
     return f.unionByName(c).unionByName(s).select(*cols)
 
 
-def smells_top(smells: DataFrame, n: int = 10) -> DataFrame:
+def smells_top(smells: DataFrame, n: int) -> DataFrame:
     rank = F.when(F.col("severity") == "high", 0).when(F.col("severity") == "medium", 1).when(F.col("severity") == "low", 2).otherwise(3)
-    return smells.withColumn("rank", rank).orderBy("rank", "file_path", "line_number", "name").limit(n)
+    return first_per(smells.withColumn("rank", rank), "project", ["rank", "file_path", "line_number", "name", "description"], n)
 
 
 BUCKETS = 65_536

@@ -47,11 +47,9 @@ def class_smells(files: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def eval_smells(files: DataFrame, rules: DataFrame) -> DataFrame:
-    """The one rule that applies is read while the plan is built; its texts become literals."""
-    r = rules.where("rule_id = 'SEC001' AND enabled").select("name", "severity", "description", "suggestion").head()
-    hits = scan.eval_smell(structure.python_files(files))
-    texts = [F.lit(r[c] if r else None).cast("string").alias(c) for c in ("name", "severity", "description", "suggestion")]
-    return (hits if r else hits.limit(0)).select("project", "file_path", "line_number", F.lit("file").alias("owner_kind"), F.lit("").alias("owner"), *texts)
+    r = rules.where("rule_id = 'SEC001' AND enabled").select("rule_id", "name", "severity", "description", "suggestion")
+    hits = scan.eval_smell(structure.python_files(files)).select("project", "file_path", "line_number", F.lit("file").alias("owner_kind"), F.lit("").alias("owner"), F.lit("SEC001").alias("rule_id"))
+    return hits.join(r, "rule_id").drop("rule_id")
 
 
 def long_functions(files: DataFrame) -> DataFrame:

@@ -63,9 +63,9 @@ def _(t):
     return scores.debt_by_category(debt_items(t))
 
 
-@query("debt_top10", "SELECT * FROM v_debt_items ORDER BY effort_hours DESC, file_path, line_number, name, description LIMIT 10")
+@query("debt_top10", "SELECT * EXCLUDE r FROM (SELECT *, row_number() OVER (PARTITION BY project ORDER BY effort_hours DESC, file_path, line_number, name, description) AS r FROM v_debt_items) WHERE r <= 10")
 def _(t):
-    return scores.debt_top(debt_items(t))
+    return scores.debt_top(debt_items(t), 10)
 
 
 @query("timing_stats", """SELECT name, count(seconds) AS iterations, min(seconds) AS min_time, max(seconds) AS max_time, round(avg(seconds), 6) AS mean_time, round(quantile_cont(seconds, 0.5), 6) AS median_time,

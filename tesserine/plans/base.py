@@ -118,8 +118,8 @@ view("v_timings", vw.TIMINGS.replace("{events}", "events"))
 view("v_metrics", vw.METRICS.replace("{corpus}", "v_corpus").replace("{labels}", "labels"))
 view("v_manifests", vw.MANIFESTS.replace("{documents}", "documents"))
 view("v_reviews", vw.REVIEWS.replace("{conversations}", "conversations"))
-view("v_difftext", f"""SELECT change_id, string_agg(section, chr(10) ORDER BY doc_id) AS diff_text FROM (
-  SELECT {vw.CHANGE_ID} AS change_id, doc_id, {vw.DIFF_HEAD} || array_to_string(list_transform(string_split(text, chr(10)),
+view("v_difftext", f"""SELECT min(project) AS project, change_id, string_agg(section, chr(10) ORDER BY doc_id) AS diff_text FROM (
+  SELECT project, {vw.CHANGE_ID} AS change_id, doc_id, {vw.DIFF_HEAD} || array_to_string(list_transform(string_split(text, chr(10)),
     lambda x, i: (['+', '-', ' '])[(i - 1 + doc_id) % 3 + 1] || x), chr(10)) AS section FROM v_paths) GROUP BY change_id""")
 
 

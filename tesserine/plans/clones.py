@@ -10,7 +10,7 @@ from ..operators import clones
 from ..session import cut_lineage
 from .base import lang, query, strip, view
 
-view("v_blocks", f"""SELECT project, file_path || ':' || (i + 1) AS block_id, file_path, i + 1 AS start_line, i + 6 AS end_line, array_to_string(l[i + 1:i + 6], chr(10)) AS content,
+view("v_blocks", f"""SELECT project, project || ':' || file_path || ':' || (i + 1) AS block_id, file_path, i + 1 AS start_line, i + 6 AS end_line, array_to_string(l[i + 1:i + 6], chr(10)) AS content,
   coalesce({lang('ext', 'dependency', fold=False)}, 'unknown') AS language FROM (
   SELECT *, unnest(range(0, len(l) - 5, 3)) AS i FROM (SELECT *, string_split(content, chr(10)) AS l FROM v_corpus))
   WHERE {strip("array_to_string(l[i + 1:i + 6], chr(10))")} <> ''""")
@@ -116,7 +116,9 @@ def _(t):
 
 @query("clone_summary", """SELECT 'total_blocks' AS kind, NULL::varchar AS block_id1, NULL::varchar AS block_id2, NULL::double AS similarity, sum(copies)::bigint AS pairs FROM v_groups
   UNION ALL SELECT 'duplicate_pairs', NULL, NULL, NULL, sum(pairs)::bigint FROM v_groups UNION ALL SELECT 'similar_pairs', NULL, NULL, NULL, sum(pairs)::bigint FROM v_similar
-  UNION ALL SELECT * FROM (SELECT 'duplicate', g.first_id, b.block_id, 1.0, 1 FROM v_groups g JOIN v_blocks b ON sha256(b.content) = g.hash WHERE g.first_id <> b.block_id ORDER BY 2, 3 LIMIT 10)
-  UNION ALL SELECT * FROM (SELECT 'similar', block_id1, block_id2, similarity, pairs FROM v_similar ORDER BY similarity DESC, block_id1, block_id2 LIMIT 10)""")
+  UNION ALL SELECT * EXCLUDE r FROM (SELECT 'duplicate', g.first_id, b.block_id, 1.0, 1, row_number() OVER (PARTITION BY split_part(g.first_id, ':', 1) ORDER BY g.first_id, b.block_id) AS r
+    FROM v_groups g JOIN v_blocks b ON sha256(b.content) = g.hash WHERE g.first_id <> b.block_id) WHERE r <= 10
+  UNION ALL SELECT * EXCLUDE r FROM (SELECT 'similar', block_id1, block_id2, similarity, pairs, row_number() OVER (PARTITION BY split_part(block_id1, ':', 1) ORDER BY similarity DESC, block_id1, block_id2) AS r
+    FROM v_similar) WHERE r <= 10""")
 def _(t):
-    return clones.clone_summary(blocks(t))
+    return clones.clone_summary(blocks(t), 10)

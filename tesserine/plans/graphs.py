@@ -45,11 +45,11 @@ def _(t):
     return nodes(t)
 
 
-@query("dep_hubs", """SELECT * FROM (SELECT 'modules' AS graph, target, count(*) AS in_count FROM v_edges GROUP BY 2 ORDER BY 3 DESC, 2 LIMIT 10)
-  UNION ALL SELECT * FROM (SELECT 'pages', target, count(*) FROM v_links GROUP BY 2 ORDER BY 3 DESC, 2 LIMIT 10)""")
+@query("dep_hubs", """SELECT graph, target, in_count FROM (SELECT *, row_number() OVER (PARTITION BY graph ORDER BY in_count DESC, target) AS r FROM (
+  SELECT project AS graph, target, count(*) AS in_count FROM v_edges GROUP BY 1, 2 UNION ALL SELECT 'pages', target, count(*) FROM v_links GROUP BY 1, 2)) WHERE r <= 10""")
 def _(t):
-    g = lambda e, n: graph.dep_hubs(e).select(F.lit(n).alias("graph"), "target", "in_count")
-    return g(edges(t), "modules").unionByName(g(t.links, "pages"))
+    both = edges(t).select(col("project").alias("graph"), "target").unionByName(t.links.select(F.lit("pages").alias("graph"), "target"))
+    return graph.dep_hubs(both, 10, "graph")
 
 
 @query("dep_roots", "SELECT DISTINCT project, source AS module_name FROM v_edges e WHERE NOT EXISTS (SELECT 1 FROM v_edges x WHERE x.project = e.project AND x.target = e.source)")
@@ -63,18 +63,20 @@ def _(t):
     return graph.dep_coupling(edges(t), nodes(t))
 
 
-view("v_reach", "SELECT source AS a, target AS b FROM v_flow UNION SELECT r.a, f.target FROM v_reach r JOIN v_flow f ON r.b = f.source")
-view("v_cyc", """SELECT source AS start, target AS last, [source, target] AS path FROM v_flow WHERE target >= source
-  UNION ALL SELECT p.start, f.target, list_append(p.path, f.target) FROM v_cyc p JOIN v_flow f ON p.last = f.source
+view("v_links_of", """SELECT DISTINCT project, source, target FROM v_edges UNION ALL SELECT 'events', source, target FROM v_flow""")
+view("v_reach", "SELECT project, source AS a, target AS b FROM v_links_of UNION SELECT r.project, r.a, f.target FROM v_reach r JOIN v_links_of f ON r.b = f.source AND r.project = f.project")
+view("v_cyc", """SELECT project, source AS start, target AS last, [source, target] AS path FROM v_links_of WHERE target >= source
+  UNION ALL SELECT p.project, p.start, f.target, list_append(p.path, f.target) FROM v_cyc p JOIN v_links_of f ON p.last = f.source AND p.project = f.project
   WHERE p.start <> p.last AND len(p.path) <= 4 AND (f.target = p.start OR (f.target > p.start AND NOT list_contains(p.path, f.target)))""")
 
 
-@query("dep_cycles", """SELECT 'node' AS kind, a AS item, 0 AS length FROM v_reach WHERE a = b UNION ALL SELECT 'cycle', array_to_string(path, ' -> '), len(path) - 1 FROM v_cyc WHERE start = last""")
+@query("dep_cycles", """SELECT 'node' AS kind, project, a AS item, 0 AS length FROM v_reach WHERE a = b UNION ALL SELECT 'cycle', project, array_to_string(path, ' -> '), len(path) - 1 FROM v_cyc WHERE start = last""")
 def _(t):
-    comp = graph.strong_components(t.flow)
-    n = graph.cycle_nodes(t.flow, comp).select(F.lit("node").alias("kind"), col("node").alias("item"), F.lit(0).alias("length"))
-    c = graph.simple_cycles(t.flow, 4, comp).select(F.lit("cycle").alias("kind"), col("cycle").alias("item"), "length")
-    return n.unionByName(c)
+    """Of every project's imports and of the event flow."""
+    both = edges(t).select("project", "source", "target").unionByName(t.flow.select(F.lit("events").alias("project"), "source", "target"))
+    nodes, cycles = graph.project_cycles(both, 4)
+    return nodes.select(F.lit("node").alias("kind"), "project", col("node").alias("item"), F.lit(0).alias("length")).unionByName(
+        cycles.select(F.lit("cycle").alias("kind"), "project", col("cycle").alias("item"), "length"))
 
 
 @query("page_links", "SELECT source, target FROM v_links")

@@ -31,9 +31,9 @@ def _(t):
     return fl.exclude_dirs(t.corpus).select("project", "file_path")
 
 
-@query("cap_files", "SELECT project, file_path FROM v_corpus ORDER BY file_path LIMIT 500")
+@query("cap_files", "SELECT project, file_path FROM (SELECT *, row_number() OVER (PARTITION BY project ORDER BY file_path) AS r FROM v_corpus) WHERE r <= 500")
 def _(t):
-    return fl.cap_files(t.corpus.select("project", "file_path"))
+    return fl.cap_files(t.corpus.select("project", "file_path"), 500)
 
 
 @query("find_file_glob", "SELECT file_path FROM v_corpus WHERE regexp_matches(file_path, '^src/[^/]*/m[^/]*\\.py$') OR regexp_matches(file_path, '(^|/)config_[^/]*\\.[jt]s$')")
@@ -135,13 +135,13 @@ _HOST = "regexp_extract(source, '^https?://([^/?#]*)', 1)"
 @query("graph_export_mermaid", f"""SELECT {_HOST} AS project, 0 AS part, 1 AS parts, 'graph LR' || chr(10) || string_agg('    ' || replace(source, '.', '_') || ' --> ' || replace(target, '.', '_'), chr(10)
   ORDER BY encode(source), encode(target)) AS text FROM v_links GROUP BY 1""")
 def _(t):
-    return graph.export_mermaid(_link_edges(t))
+    return graph.export_mermaid(_link_edges(t), 200_000)
 
 
 @query("graph_export_dot", f"""SELECT {_HOST} AS project, 0 AS part, 1 AS parts, 'digraph dependencies {{' || chr(10) || '    rankdir=LR;' || chr(10) || string_agg('    "' || source || '" -> "' || target || '";', chr(10)
   ORDER BY encode(source), encode(target)) || chr(10) || '}}' AS text FROM v_links GROUP BY 1""")
 def _(t):
-    return graph.export_dot(_link_edges(t))
+    return graph.export_dot(_link_edges(t), 200_000)
 
 
 @query("sample_files", """SELECT project, file_path FROM (SELECT *, row_number() OVER (PARTITION BY project ORDER BY sha256(file_path || ':7'), file_path) AS r,
@@ -154,7 +154,7 @@ view("v_hot", f"""SELECT *, {half_even('estimated_complexity / lines', 3)} AS de
   lambda w: w IN ('if', 'elif', 'for', 'while', 'except', 'with', 'and', 'or'))) AS estimated_complexity, {_LINES} AS lines FROM v_corpus WHERE ends_with(file_path, '.py'))
   WHERE estimated_complexity > 10 OR estimated_complexity / lines > 0.1""")
 _PLUG_HOT = """SELECT 'total_hotspots' AS key, cast(count(*) AS varchar) AS value FROM v_hot
-  UNION ALL SELECT * FROM (SELECT 'top:' || file_path, cast(estimated_complexity AS varchar) FROM v_hot ORDER BY estimated_complexity DESC, file_path LIMIT 5)"""
+  UNION ALL SELECT 'top:' || project || ':' || file_path, cast(estimated_complexity AS varchar) FROM (SELECT *, row_number() OVER (PARTITION BY project ORDER BY estimated_complexity DESC, file_path) AS r FROM v_hot) WHERE r <= 5"""
 _PLUG_STATS = f"""SELECT CASE WHEN k = 'files' AND ext IS NOT NULL THEN 'ext:' || ext ELSE 'total_' || k END AS key, cast(v AS varchar) AS value FROM (
   UNPIVOT (SELECT ext, count(*)::bigint AS files, sum({_LINES})::bigint AS lines, sum(strlen(content))::bigint AS bytes FROM v_corpus GROUP BY ROLLUP (ext))
   ON files, lines, bytes INTO NAME k VALUE v) WHERE ext IS NULL OR k = 'files'"""

@@ -46,7 +46,7 @@ def _(t):
 def _(t):
     i = issues(t)
     rules = reports.sarif_rules(i)
-    d = reports.sarif_document(reports.sarif_results(i, rules), rules)
+    d = reports.sarif_document(reports.sarif_results(i, rules), rules, 50_000)
     # counted from the document text itself
     return d.select("project", "part", "parts", F.json_array_length(F.get_json_object("document", "$.runs[0].results")).alias("result_count"),
                     F.json_array_length(F.get_json_object("document", "$.runs[0].tool.driver.rules")).alias("rule_count"))

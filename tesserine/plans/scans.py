@@ -125,7 +125,7 @@ def _(t):
     return scan.scan_lines(_src(t), rl.SECURITY).select(*_F)
 
 
-@query("security_scan_topn", f"SELECT {', '.join(_F)} FROM v_security ORDER BY rank, file_path, line_number, rule_id, pattern_idx LIMIT 500")
+@query("security_scan_topn", f"SELECT {', '.join(_F)} FROM (SELECT *, row_number() OVER (PARTITION BY project ORDER BY rank, file_path, line_number, rule_id, pattern_idx) AS r FROM v_security) WHERE r <= 500")
 def _(t):
     return scan.scan_top(scan.scan_lines(_src(t), rl.SECURITY), 500).select(*_F)
 

@@ -80,18 +80,18 @@ def _(t):
 # ---- change sets ------------------------------------------------------------
 
 view("v_dlines", f"""SELECT *, sum(CASE WHEN starts_with(line, 'diff --git') THEN 1 ELSE 0 END) OVER (PARTITION BY change_id ORDER BY n)::int AS file_no FROM (
-  SELECT change_id, unnest(string_split(diff_text, chr(10))) AS line, unnest(range(1, len(string_split(diff_text, chr(10))) + 1)) AS n FROM v_difftext)""")
-view("v_dfiles", f"""SELECT change_id, file_no, max(CASE WHEN starts_with(line, 'diff --git') THEN {strip("string_split(line, ' b/')[-1]")} END) AS file_path,
+  SELECT project, change_id, unnest(string_split(diff_text, chr(10))) AS line, unnest(range(1, len(string_split(diff_text, chr(10))) + 1)) AS n FROM v_difftext)""")
+view("v_dfiles", f"""SELECT min(project) AS project, change_id, file_no, max(CASE WHEN starts_with(line, 'diff --git') THEN {strip("string_split(line, ' b/')[-1]")} END) AS file_path,
    coalesce(arg_max(CASE WHEN starts_with(line, 'new file') THEN 'added' WHEN starts_with(line, 'deleted file') THEN 'deleted' WHEN starts_with(line, 'rename from') THEN 'renamed' END, n)
      FILTER (starts_with(line, 'new file') OR starts_with(line, 'deleted file') OR starts_with(line, 'rename from')), 'modified') AS change_type,
    count(*) FILTER (starts_with(line, '+') AND NOT starts_with(line, '+++')) AS additions, count(*) FILTER (starts_with(line, '-') AND NOT starts_with(line, '---')) AS deletions
-  FROM v_dlines WHERE file_no > 0 GROUP BY 1, 2""")
+  FROM v_dlines WHERE file_no > 0 GROUP BY change_id, file_no""")
 _H = "^@@ *-([0-9]+)(?:,([0-9]+))? *\\+([0-9]+)(?:,([0-9]+))? *@@"
 
 
 @query("diff_files", "SELECT change_id, file_no, file_path, change_type, additions, deletions FROM v_dfiles")
 def _(t):
-    return changeset.diff_files(t.difftext)
+    return changeset.diff_files(t.difftext).drop("project")
 
 
 @query("diff_hunks", f"""SELECT h.change_id, h.file_no, f.file_path, hunk_no, regexp_extract(line, '{_H}', 1)::int AS old_start, coalesce(nullif(regexp_extract(line, '{_H}', 2), ''), '1')::int AS old_lines,
@@ -103,10 +103,10 @@ def _(t):
 
 @query("changed_file_list", f"SELECT change_id, {strip('line')} AS file_path FROM v_dlines WHERE {strip('line')} <> ''")
 def _(t):
-    return changeset.changed_file_list(t.difftext, "diff_text")
+    return changeset.changed_file_list(t.difftext.drop("project"), "diff_text")
 
 
-view("v_djoin", f"""SELECT d.*, r.functions, r.classes, r.smells AS code_smells, r.cyclomatic AS complexity FROM v_dfiles d JOIN v_report r USING (file_path)
+view("v_djoin", f"""SELECT d.*, r.functions, r.classes, r.smells AS code_smells, r.cyclomatic AS complexity FROM v_dfiles d JOIN v_report r USING (project, file_path)
   WHERE change_type <> 'deleted' AND regexp_extract(d.file_path, '(\\.[^./]*)$', 1) IN ({', '.join(q(e) for e in DIFF_EXTENSIONS)})""")
 view("v_assess", """SELECT a.change_id, total_files, total_additions, total_deletions, coalesce(n, 0) AS files_analyzed, coalesce(s, 0) AS total_code_smells, coalesce(c, 0) AS total_complexity, coalesce(w, 0) AS files_with_smells FROM (
    SELECT change_id, count(*) AS total_files, sum(additions)::bigint AS total_additions, sum(deletions)::bigint AS total_deletions FROM v_dfiles GROUP BY 1) a LEFT JOIN (
@@ -114,9 +114,9 @@ view("v_assess", """SELECT a.change_id, total_files, total_additions, total_dele
 _A = ["change_id", "total_files", "total_additions", "total_deletions", "files_analyzed", "total_code_smells", "total_complexity", "files_with_smells"]
 
 
-@query("diff_join_metrics", "SELECT change_id, file_path, change_type, additions, deletions, functions, classes, code_smells, complexity FROM v_djoin")
+@query("diff_join_metrics", "SELECT project, change_id, file_path, change_type, additions, deletions, functions, classes, code_smells, complexity FROM v_djoin")
 def _(t):
-    return changeset.diff_join_metrics(t.difftext, report(t)).select("change_id", "file_path", "change_type", "additions", "deletions", "functions", "classes", "code_smells", "complexity")
+    return changeset.diff_join_metrics(t.difftext, report(t)).select("project", "change_id", "file_path", "change_type", "additions", "deletions", "functions", "classes", "code_smells", "complexity")
 
 
 @query("diff_assessment", f"SELECT {', '.join(_A)} FROM v_assess")

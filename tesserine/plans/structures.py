@@ -129,9 +129,10 @@ def _(t):
     return scores.language_breakdown(report(t))
 
 
-@query("smell_types_top", "SELECT name, count(*) AS smells FROM v_smells GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
+@query("smell_types_top", """SELECT project, name, smells FROM (SELECT *, row_number() OVER (PARTITION BY project ORDER BY smells DESC, name) AS r FROM (
+  SELECT project, name, count(*) AS smells FROM v_smells GROUP BY 1, 2)) WHERE r <= 10""")
 def _(t):
-    return scores.smell_types_top(all_smells(t))
+    return scores.smell_types_top(all_smells(t), 10)
 
 
 _TOP = ["project", "rank", "file", "cyclomatic", "total_lines", "lines_of_code", "functions", "classes", "smells"]
@@ -152,17 +153,18 @@ def _(t):
     return scores.top_files(report(t), "total_lines").select(*_TOP)
 
 
-@query("complexity_hotspots", """SELECT * FROM (SELECT 'function' AS kind, file_path, start_line AS line_number, name, cyclomatic::int AS value FROM v_functions_py ORDER BY cyclomatic DESC, file_path, start_line LIMIT 5)
-  UNION ALL SELECT * FROM (SELECT 'class', file_path, start_line, name, loc::int FROM v_classes_py ORDER BY loc DESC, file_path, start_line LIMIT 5)
-  UNION ALL SELECT * FROM (SELECT 'deep_nesting', file_path, line_number, owner, NULL::int FROM v_smells WHERE name = 'Deep Nesting' ORDER BY file_path, line_number LIMIT 3)""")
+@query("complexity_hotspots", """SELECT project, kind, file_path, line_number, name, value FROM (
+  SELECT project, 'function' AS kind, file_path, start_line AS line_number, name, cyclomatic::int AS value, row_number() OVER (PARTITION BY project ORDER BY cyclomatic DESC, file_path, start_line) <= 5 AS top FROM v_functions_py
+  UNION ALL SELECT project, 'class', file_path, start_line, name, loc::int, row_number() OVER (PARTITION BY project ORDER BY loc DESC, file_path, start_line) <= 5 FROM v_classes_py
+  UNION ALL SELECT project, 'deep_nesting', file_path, line_number, owner, NULL::int, row_number() OVER (PARTITION BY project ORDER BY file_path, line_number) <= 3 FROM v_smells WHERE name = 'Deep Nesting') WHERE top""")
 def _(t):
-    return scores.complexity_hotspots(structure.functions_py(src(t)), structure.classes_py(src(t)), all_smells(t))
+    return scores.complexity_hotspots(structure.functions_py(src(t)), structure.classes_py(src(t)), all_smells(t), 5, 3)
 
 
-@query("smells_top10", """SELECT name, severity, file_path, line_number, description FROM v_smells ORDER BY CASE severity WHEN 'high' THEN 0 WHEN 'medium' THEN 1 WHEN 'low' THEN 2 ELSE 3 END,
-  file_path, line_number, name LIMIT 10""")
+@query("smells_top10", """SELECT project, name, severity, file_path, line_number, description FROM (SELECT *, row_number() OVER (PARTITION BY project
+  ORDER BY CASE severity WHEN 'high' THEN 0 WHEN 'medium' THEN 1 WHEN 'low' THEN 2 ELSE 3 END, file_path, line_number, name, description) AS r FROM v_smells) WHERE r <= 10""")
 def _(t):
-    return scores.smells_top(all_smells(t)).select("name", "severity", "file_path", "line_number", "description")
+    return scores.smells_top(all_smells(t), 10).select("project", "name", "severity", "file_path", "line_number", "description")
 
 
 # ---- symbols ----------------------------------------------------------------
@@ -281,13 +283,13 @@ def _(t):
     return report(t).select("file_path", reports.severity_file(col("cyclomatic"), col("smells")).alias("severity"))
 
 
-@query("severity_class", """SELECT c.file_path, c.name, c.start_line, CASE WHEN c.max_method_cyclomatic > 15 OR n > 5 THEN 'critical' WHEN c.max_method_cyclomatic > 10 OR n > 2 THEN 'high'
+@query("severity_class", """SELECT c.project, c.file_path, c.name, c.start_line, CASE WHEN c.max_method_cyclomatic > 15 OR n > 5 THEN 'critical' WHEN c.max_method_cyclomatic > 10 OR n > 2 THEN 'high'
   WHEN c.max_method_cyclomatic > 5 OR n > 0 THEN 'medium' ELSE 'info' END AS severity FROM (SELECT c.*, coalesce(s.n, 0) AS n FROM v_classes_py c LEFT JOIN (
-  SELECT file_path, line_number AS start_line, count(*) AS n FROM v_smells_cl GROUP BY 1, 2) s USING (file_path, start_line)) c""")
+  SELECT project, file_path, line_number AS start_line, count(*) AS n FROM v_smells_cl GROUP BY 1, 2, 3) s USING (project, file_path, start_line)) c""")
 def _(t):
-    n = smells.class_smells(src(t), ruleset.builtin(t.spark)).groupBy("file_path", col("line_number").alias("start_line")).agg(F.count("*").alias("n"))
-    c = structure.classes_py(src(t)).join(n, ["file_path", "start_line"], "left").na.fill(0, ["n"])
-    return c.select("file_path", "name", "start_line", reports.severity_class(col("max_method_cyclomatic"), col("n")).alias("severity"))
+    n = smells.class_smells(src(t), ruleset.builtin(t.spark)).groupBy("project", "file_path", col("line_number").alias("start_line")).agg(F.count("*").alias("n"))
+    c = structure.classes_py(src(t)).join(n, ["project", "file_path", "start_line"], "left").na.fill(0, ["n"])
+    return c.select("project", "file_path", "name", "start_line", reports.severity_class(col("max_method_cyclomatic"), col("n")).alias("severity"))
 
 
 @query("severity_function", """SELECT file_path, name, start_line, CASE WHEN cyclomatic > 15 THEN 'critical' WHEN cyclomatic > 10 THEN 'high' WHEN cyclomatic > 5 THEN 'medium' ELSE 'info' END AS severity FROM v_functions_py""")
@@ -295,9 +297,9 @@ def _(t):
     return structure.functions_py(src(t)).select("file_path", "name", "start_line", reports.severity_function(col("cyclomatic")).alias("severity"))
 
 
-@query("worst_severity", """SELECT file_path, arg_max(severity, CASE severity WHEN 'critical' THEN 4 WHEN 'high' THEN 3 WHEN 'medium' THEN 2 WHEN 'low' THEN 1 ELSE 0 END) AS worst_severity, count(*) AS smells FROM v_smells GROUP BY 1""")
+@query("worst_severity", """SELECT project, file_path, arg_max(severity, CASE severity WHEN 'critical' THEN 4 WHEN 'high' THEN 3 WHEN 'medium' THEN 2 WHEN 'low' THEN 1 ELSE 0 END) AS worst_severity, count(*) AS smells FROM v_smells GROUP BY 1, 2""")
 def _(t):
-    return reports.worst_severity(all_smells(t), ["file_path"])
+    return reports.worst_severity(all_smells(t), ["project", "file_path"])
 
 
 @query("report_tree")

@@ -116,19 +116,8 @@ REVIEWS = f"""SELECT conv_id, turn, text || {_case('(conv_id + turn) % 6', [f"({
 
 # Text tables whose rows are dear to process, with the column that spreads them.
 SPREAD_KEYS = {"documents": "doc_id", "pages": "page_id"}
-SMALL_INPUT = 256 << 20
-
-
-def spread_small(df: DataFrame, key: str) -> DataFrame:
-    """Spread an input of few row groups over all cores.
-
-    One Parquet row group is one task however many cores there are. Moving the rows pays
-    only while the input is small, so its size is checked; large inputs have splits enough.
-    """
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size > SMALL_INPUT:
-        return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, key)
+#: A session that sets this gets its text tables dealt out to so many partitions, for inputs of fewer row groups than cores. Unset, nothing is moved.
+SPREAD = "tesserine.input.partitions"
 
 
 class Tables:
@@ -136,11 +125,14 @@ class Tables:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
+        self._read: dict[str, DataFrame] = {}
 
-    @functools.cache
     def table(self, name: str) -> DataFrame:
-        df = self.spark.read.parquet(os.path.join(self.sf_dir, f"{name}.parquet"))
-        return spread_small(df, SPREAD_KEYS[name]) if name in SPREAD_KEYS else df
+        if name not in self._read:
+            df = self.spark.read.parquet(os.path.join(self.sf_dir, f"{name}.parquet"))
+            asked = self.spark.conf.get(SPREAD, None)
+            self._read[name] = df.repartition(int(asked), SPREAD_KEYS[name]) if asked and name in SPREAD_KEYS else df
+        return self._read[name]
 
     def _sql(self, text: str, **views: DataFrame) -> DataFrame:
         # Braces that do not name a view are part of the text.
@@ -219,10 +211,10 @@ class Tables:
             lambda x, i: F.concat(F.element_at(F.array(F.lit("+"), F.lit("-"), F.lit(" ")), ((i + d) % 3 + 1).cast("int")), x),
         )
         part = doc.select(
-            F.expr(CHANGE_ID).alias("change_id"), "doc_id", F.concat(head, F.array_join(body, "\n")).alias("section")
+            "project", F.expr(CHANGE_ID).alias("change_id"), "doc_id", F.concat(head, F.array_join(body, "\n")).alias("section")
         )
         ordered = F.array_sort(F.collect_list(F.struct("doc_id", "section")))
-        return part.groupBy("change_id").agg(
+        return part.groupBy("project", "change_id").agg(
             F.array_join(F.transform(ordered, lambda s: s["section"]), "\n").alias("diff_text")
         )
 

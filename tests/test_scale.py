@@ -42,7 +42,7 @@ def test_documents_in_parts_hold_every_row_once(spark):
     parts = graph.export_mermaid(e, part_rows=30).collect()
     assert len(parts) == 4 and all(p.text.startswith("graph LR\n") for p in parts)
     assert sorted(x for p in parts for x in p.text.split("\n")[1:]) == sorted(f"    a_{i} --> b_{i % 7}" for i in range(100))
-    one = graph.export_dot(e).collect()
+    one = graph.export_dot(e, part_rows=10_000).collect()
     assert len(one) == 1 and one[0].text.endswith('";\n}') and '"a.1" -> "b.1"' in one[0].text
     items = spark.createDataFrame([("p", 0, f"f{i}", i, f"R{i % 3}", 0, "high", "t", "m") for i in range(90)],
                                   "project string, source int, file_path string, line_number int, rule_id string, pattern_idx int, severity string, rule_text string, message string")
@@ -144,7 +144,7 @@ def test_cycles_equal_brute_force(spark):
 
 def test_no_cycle(spark):
     df = spark.createDataFrame([("a", "b"), ("b", "c")], "source string, target string")
-    assert graph.cycle_nodes(df).isEmpty() and graph.simple_cycles(df).isEmpty()
+    assert graph.cycle_nodes(df).isEmpty() and graph.simple_cycles(df, 4).isEmpty()
 
 
 def test_median_equals_plain_median(spark):

@@ -79,7 +79,7 @@ def test_debt_score(spark, files):
                                   "project string, category string, name string, file_path string, line_number int, description string, effort_hours double, priority string")
     r = scores.debt_score(files({"f": "\n".join(["x"] * 100)}), items).collect()[0]
     assert (r.total_effort_hours, r.debt_score) == (3.0, 75.0)
-    assert scores.debt_top(items).collect()[0].effort_hours == 2.0
+    assert scores.debt_top(items, 10).collect()[0].effort_hours == 2.0
 
 
 def test_top_n_and_order_do_not_depend_on_input_order(files):

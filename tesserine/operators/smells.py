@@ -15,7 +15,7 @@ _OUT = ["project", "file_path", "line_number", "owner_kind", "owner", "name", "s
 def _owners(files: DataFrame) -> DataFrame:
     """(owner, rule_id, value) of every function and class, from one fold of the file."""
     keep = ["project", "file_path"]
-    base = structure.python_files(files).select(*keep, structure.outline_column(F.col("content")).alias("_o"))
+    base = structure.python_code(files).select(*keep, structure.outline_column(F.col("content")).alias("_o"))
 
     def row(h, kind, values):
         pairs = F.array(*[F.struct(F.lit(r).alias("rule_id"), v.cast("int").alias("value")) for r, v in values.items()])

@@ -1,9 +1,10 @@
 """Code structure from indentation, braces and import lines.
 
-Every operator here works inside one file's row with higher-order functions: a file
-is folded once, line by line, and no line ever crosses the network. The indentation
-outline is an approximation of a parse tree; text inside multi-line strings is read
-as code, and an ``elif`` is taken at the depth of its ``if``.
+Every operator here works inside one file's row with higher-order functions, line by
+line, and no line ever crosses the network. Before lines are read as code, multi-line
+strings are emptied and statements inside open brackets are drawn onto their first
+line. The indentation outline is an approximation of a parse tree; an ``elif`` is taken
+at the depth of its ``if``.
 """
 
 from __future__ import annotations
@@ -26,6 +27,41 @@ _FIELDS = ["start_line", "indent", "kind", "name", "text", "is_async", "is_stati
            "nest", "cyclomatic", "nesting", "control_count"]
 
 
+STRINGS = (r'(?s)"""[^"\\]*+(?:(?:\\.|"(?!""))[^"\\]*+)*+"""|' r"'''[^'\\]*+(?:(?:\\.|'(?!''))[^'\\]*+)*+'''|"
+           r'"(?:\\.|[^"\\\n])*+"|' r"'(?:\\.|[^'\\\n])*+'|#[^\n]*+")
+TAKEN = "\u0001"
+_FLAT = r"[^\n()\[\]{}]*+"
+
+
+def _groups(depth: int) -> str:
+    """A bracketed group with up to ``depth`` groups inside each other."""
+    inner = r"[^()\[\]{}]*+"
+    return rf"[(\[{{]{inner}(?:{_groups(depth - 1)}{inner})*+[)\]}}]" if depth else rf"[(\[{{]{inner}[)\]}}]"
+
+
+BRACKETED = rf"(?m)^{_FLAT}(?:{_groups(4)}{_FLAT})++$"
+
+
+def _rewrite(text: Column, pattern: str, change) -> Column:
+    """``text`` with every match of the pattern changed."""
+    def build(c):
+        hits = F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
+        return F.array_join(F.zip_with(F.split(c, pattern, -1), hits, lambda p, h: F.concat(p, F.coalesce(change(h), F.lit("")))), "")
+
+    return tx.let(text, build)
+
+
+def logical(content: Column) -> Column:
+    """Python text whose lines are statements: the lines keep their numbers, and those taken up by a string or a bracket hold ``TAKEN``, which neither opens nor closes a block."""
+    breaks = lambda s: tx.line_count(s) - 1
+    fill = lambda s: F.repeat(F.lit(f"\n{TAKEN}"), breaks(s))
+    long = lambda s: s.startswith('"""') | s.startswith("'''")
+    plain = F.when(content.rlike("\"\"\"|'''"), _rewrite(content, STRINGS, lambda s: F.when(long(s), F.concat(F.lit('""'), fill(s))).otherwise(s))).otherwise(content)
+    one_line = lambda s: F.regexp_replace(F.regexp_replace(s, r"#[^\n]*", ""), rf"\s*\n[\s{TAKEN}]*", " ")
+    joined = lambda c: F.when(c.rlike(r"[(\[{,][ \t]*(?:#[^\n]*)?\n"), _rewrite(c, BRACKETED, lambda s: F.when(breaks(s) > 0, F.concat(one_line(s), fill(s))).otherwise(s))).otherwise(c)
+    return tx.let(plain, joined)
+
+
 def _significant(content: Column) -> Column:
     """Lines that are neither blank nor comments, with indent and header kind."""
     def shape(x):
@@ -56,7 +92,7 @@ def _bump(s, x, nest):
 
 
 def _step(acc, x):
-    bracket = F.substring(x["text"], 1, 1).isin(")", "]", "}")
+    bracket = F.substring(x["text"], 1, 1).isin(")", "]", "}", TAKEN)
     closes = F.exists(acc["open"], lambda s: s["indent"] >= x["indent"]) & ~bracket
     done = F.when(closes, F.concat(acc["done"], F.transform(
         F.filter(acc["open"], lambda s: s["indent"] >= x["indent"]), lambda s: _end(s, acc["last"])))).otherwise(acc["done"])
@@ -93,6 +129,11 @@ def python_files(files: DataFrame) -> DataFrame:
     return files.where(F.lower(tx.extension("file_path")) == ".py")
 
 
+def python_code(files: DataFrame) -> DataFrame:
+    """Python files with their text as statements."""
+    return python_files(files).withColumn("content", logical(F.col("content")))
+
+
 def other_files(files: DataFrame) -> DataFrame:
     return files.where(F.lower(tx.extension("file_path")) != ".py")
 
@@ -100,13 +141,13 @@ def other_files(files: DataFrame) -> DataFrame:
 def block_outline(files: DataFrame) -> DataFrame:
     """Every def/class/control header of Python files with span, parent and depth."""
     keep = _keep(files)
-    return python_files(files).select(*keep, F.explode(outline_column(F.col("content"))).alias("b")).select(*keep, "b.*")
+    return python_code(files).select(*keep, F.explode(outline_column(F.col("content"))).alias("b")).select(*keep, "b.*")
 
 
 def parameters(text: Column) -> Column:
     """Plain parameter names of a def line; names before '/' and after '*' do not count."""
     inner = F.regexp_extract(text, r"\((.*)\)", 1)
-    inner = F.regexp_replace(inner, r"\[[^\]]*\]|\([^)]*\)", "")
+    inner = F.regexp_replace(F.regexp_replace(inner, r"\"[^\"]*\"|'[^']*'", ""), r"\[[^\]]*\]|\([^)]*\)", "")
     names = F.transform(F.split(inner, ","), lambda p: tx.strip(F.regexp_extract(p, r"^([^:=]*)", 1)))
 
     def before_star(n):
@@ -141,7 +182,7 @@ def functions_py(files: DataFrame) -> DataFrame:
 
 def classes_py(files: DataFrame) -> DataFrame:
     keep = _keep(files)
-    file = python_files(files).select(*keep, outline_column(F.col("content")).alias("_o"))
+    file = python_code(files).select(*keep, outline_column(F.col("content")).alias("_o"))
     rows = F.transform(F.filter("_o", lambda c: c["kind"] == "class"), lambda c: F.struct(
         c.alias("c"), F.array_sort(direct_methods(F.col("_o"), c), lambda a, b: a["start_line"] - b["start_line"]).alias("m")))
     flat = file.select(*keep, F.explode(rows).alias("r")).select(*keep, F.col("r.c").alias("c"), "r.m")
@@ -205,24 +246,25 @@ def imports_py(files: DataFrame) -> DataFrame:
     lines = F.filter(tx.numbered("content"), lambda x: F.contains(x["line"], F.lit("import")) & (
         body(x).rlike(plain) | body(x).rlike(frm)))
     rows = F.flatten(F.transform(lines, names))
-    return python_files(files).select(*keep, F.explode(rows).alias("r")).select(*keep, "r.*")
+    return python_code(files).select(*keep, F.explode(rows).alias("r")).select(*keep, "r.*")
 
 
 PY_BRANCH = r"^\s*(if|elif|for|while|except)\b"
 
 
-def _line_metrics(lines: Column, is_comment, branch: str) -> list[Column]:
+def _line_metrics(lines: Column, is_comment, branch: str, code: Column | None = None) -> list[Column]:
+    """``code``: the lines whose branches count, if not all."""
     count = lambda test: F.size(F.filter(lines, test))
     total, blank, comment = F.size(lines), count(lambda x: tx.strip(x) == ""), count(is_comment)
     return [total.alias("total_lines"), blank.alias("blank_lines"), comment.alias("comment_lines"),
             (total - blank - comment).alias("lines_of_code"),
-            (count(lambda x: x.rlike(tx.regex(branch))) + 1).alias("cyclomatic")]
+            (F.size(F.filter(lines if code is None else code, lambda x: x.rlike(tx.regex(branch)))) + 1).alias("cyclomatic")]
 
 
 def file_metrics_py(files: DataFrame) -> DataFrame:
     keep = _keep(files)
-    base = python_files(files).select(*keep, F.split("content", "\n", -1).alias("_l"))
-    return base.select(*keep, *_line_metrics(F.col("_l"), lambda x: tx.strip(x).startswith("#"), PY_BRANCH))
+    base = python_files(files).select(*keep, F.split("content", "\n", -1).alias("_l"), F.split(logical(F.col("content")), "\n", -1).alias("_c"))
+    return base.select(*keep, *_line_metrics(F.col("_l"), lambda x: tx.strip(x).startswith("#"), PY_BRANCH, F.col("_c")))
 
 
 def file_metrics_js(files: DataFrame) -> DataFrame:
@@ -245,7 +287,7 @@ def _boolean_operators() -> Column:
 def cognitive_py(files: DataFrame) -> DataFrame:
     """Approximation: (1 + open nesting) per if/elif/for/while, 1 per except, 1 per and/or on code lines."""
     keep = _keep(files)
-    py = python_files(files).select(*keep, _control_weight(outline_column(F.col("content"))).alias("control_weight"),
+    py = python_code(files).select(*keep, _control_weight(outline_column(F.col("content"))).alias("control_weight"),
                                     _boolean_operators().alias("boolean_operators"))
     return py.withColumn("cognitive", F.col("control_weight") + F.col("boolean_operators"))
 
@@ -276,9 +318,9 @@ def file_facts(files: DataFrame) -> DataFrame:
     keep = _keep(files)
     o, l = F.col("_o"), F.col("_l")
     kind = lambda k: F.size(F.filter(o, lambda h: h["kind"] == k))
-    py = python_files(files).select(
-        *keep, "content", outline_column(F.col("content")).alias("_o"), F.split("content", "\n", -1).alias("_l"))
-    py = py.select(*keep, *_line_metrics(l, lambda x: tx.strip(x).startswith("#"), PY_BRANCH),
+    py = python_files(files).select(*keep, F.split("content", "\n", -1).alias("_l"), logical(F.col("content")).alias("content"))
+    py = py.select(*keep, "content", outline_column(F.col("content")).alias("_o"), "_l")
+    py = py.select(*keep, *_line_metrics(l, lambda x: tx.strip(x).startswith("#"), PY_BRANCH, F.split("content", "\n", -1)),
                    (_control_weight(o) + _boolean_operators()).alias("cognitive"), kind("def").alias("functions"), kind("class").alias("classes"))
     hits = lambda p: F.size(F.filter(l, tx.line_test(p)))
     js = other_files(files).select(*keep, F.split("content", "\n", -1).alias("_l"))

@@ -116,10 +116,11 @@ def encoder(path: str) -> Callable[[str], bytes]:
 
     def encode(text: str) -> bytes:
         words = text.encode().split()
-        try:
-            return b"".join([memo[w] for w in words])
-        except KeyError:
-            return b"".join(map(word, words))
+        parts = list(map(memo.get, words))
+        if None in parts:
+            for i in [i for i, p in enumerate(parts) if p is None]:
+                parts[i] = word(words[i])
+        return b"".join(parts)
 
     return encode
 

@@ -149,12 +149,11 @@ class TextTransducer:
             return (chunk,)
         tail = b"" if chunk[-1] in _SPACES else words[-1]
         inner = words[1 if head else 0:len(words) - 1 if tail else len(words)]
-        known = self.words
-        try:
-            n = sum([known[w] for w in inner])
-        except KeyError:
-            n = sum(map(self.word, inner))
-        return head, n, tail
+        counts = list(map(self.words.get, inner))
+        if None in counts:
+            for i in [i for i, n in enumerate(counts) if n is None]:
+                counts[i] = self.word(inner[i])
+        return head, sum(counts), tail
 
     def compose(self, a: tuple, b: tuple) -> tuple:
         """First a, then b. Associative."""

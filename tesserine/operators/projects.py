@@ -1,4 +1,4 @@
-"""Project classification from manifests: (project, file_name, content) rows."""
+"""Project classification from manifests: (project, file_name, content) rows, with file_path where a project may have several of a name."""
 
 from __future__ import annotations
 
@@ -14,9 +14,11 @@ KEY_DEPENDENCIES = ["react", "vue", "next", "angular", "express", "nestjs", "typ
 
 
 def _wide(manifests: DataFrame) -> DataFrame:
-    """One row per project with the text of each known manifest."""
+    """One row per project with the text of each known manifest: of several with one name, that nearest to the project's root, then the first by path."""
+    path = F.col("file_path") if "file_path" in manifests.columns else F.col("file_name")
+    nearest = F.struct(F.size(F.split(path, "/")), path, "content")
     return manifests.groupBy("project").agg(
-        *[F.max(F.when(F.col("file_name") == f, F.col("content"))).alias(f.replace(".", "_")) for f in _FILES],
+        *[F.min_by("content", F.when(F.col("file_name") == f, nearest)).alias(f.replace(".", "_")) for f in _FILES],
         F.bool_or(F.col("file_name").endswith(".html")).alias("html"))
 
 

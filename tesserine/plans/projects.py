@@ -55,7 +55,7 @@ def _(t):
 # ---- manifests --------------------------------------------------------------
 
 _names = {"package.json": "pkg", "requirements.txt": "req", "pyproject.toml": "pyp", "go.mod": "gomod", "Cargo.toml": "cargo", "pom.xml": "pom", ".env": "env", "bun.lockb": "bunlock"}
-view("v_wide", "SELECT project, " + ", ".join(f"max(CASE WHEN file_name = {q(k)} THEN content END) AS {v}" for k, v in _names.items()) + ", bool_or(ends_with(file_name, '.html')) AS html FROM v_manifests GROUP BY 1")
+view("v_wide", "SELECT project, " + ", ".join(f"arg_min(content, len(string_split(file_path, '/')) || ' ' || file_path || ' ' || content) FILTER (WHERE file_name = {q(k)}) AS {v}" for k, v in _names.items()) + ", bool_or(ends_with(file_name, '.html')) AS html FROM v_manifests GROUP BY 1")
 view("v_types", """SELECT *, CASE WHEN pkg IS NOT NULL THEN CASE WHEN contains(deps, 'next') THEN 'nextjs' WHEN contains(deps || dev, 'nuxt') THEN 'nuxt' WHEN contains(deps, 'react') OR contains(deps || dev, 'vite') THEN 'react'
     WHEN contains(deps, 'vue') THEN 'vue' WHEN contains(deps, '@angular/core') THEN 'angular' WHEN contains(deps, 'express') THEN 'express' ELSE 'node' END
    WHEN req IS NOT NULL OR pyp IS NOT NULL THEN CASE WHEN contains(lower(coalesce(req, '')), 'fastapi') OR contains(lower(coalesce(pyp, '')), 'fastapi') THEN 'fastapi' ELSE 'python' END

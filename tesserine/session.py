@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -44,6 +46,7 @@ def shared_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     path = tempfile.mkdtemp(prefix="tesserine-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)  # this machine's own fallback ends with the process
     spark.sparkContext.setCheckpointDir(path)
     return path
 

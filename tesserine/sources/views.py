@@ -91,14 +91,14 @@ def _pick(values: list[str]) -> str:
     return _case(f"(doc_id + floor(doc_id / 7)) % {len(values)}", [f"({_lit(v)})" for v in values])
 
 
-MANIFESTS = f"""SELECT source || '/' || cast(cast(floor(doc_id / 60) AS bigint) AS string) AS project, doc_id,
+MANIFESTS = f"""SELECT *, CASE doc_id % 4 WHEN 1 THEN 'app/' WHEN 3 THEN 'lib/x/' ELSE '' END || file_name AS file_path FROM (SELECT source || '/' || cast(cast(floor(doc_id / 60) AS bigint) AS string) AS project, doc_id,
   CASE doc_id % 7 WHEN 0 THEN 'package.json' WHEN 1 THEN 'requirements.txt' WHEN 2 THEN 'pyproject.toml'
     WHEN 3 THEN 'go.mod' WHEN 4 THEN CASE WHEN doc_id % 3 = 0 THEN 'index.html' ELSE 'Cargo.toml' END
     WHEN 5 THEN CASE WHEN doc_id % 3 = 0 THEN 'bun.lockb' ELSE 'pom.xml' END
     ELSE CASE WHEN doc_id % 4 = 0 THEN '.env.local' ELSE '.env' END END AS file_name,
   CASE doc_id % 7 WHEN 0 THEN {_pick(_PKG)} WHEN 1 THEN {_pick(_REQ)} WHEN 2 THEN {_pick(_PYP)}
     WHEN 3 THEN {_pick(_GOM)} WHEN 6 THEN {_pick(_ENV)} ELSE text END AS content
-  FROM {{documents}}"""
+  FROM {{documents}})"""
 
 _TAILS = [
     "\nScore: 8/10 overall\n关键发现\n- finding one\n  - finding two\ntext between\n- finding three\n\n- outside\n改进建议:\n\n"

@@ -1,7 +1,7 @@
 """Projects with the same relative paths stay apart, and lists are per project."""
 
 from tesserine.functions import rules as rl
-from tesserine.operators import changeset, clones, files as fl, graph, plugins, scan, scores
+from tesserine.operators import changeset, clones, files as fl, graph, plugins, projects, scan, scores
 
 CODE = "\n".join(f"value_{i} = compute(alpha_{i}, beta_{i})" for i in range(6))
 
@@ -51,3 +51,9 @@ def test_lists_are_per_project(spark):
 def test_sample_rate_is_an_argument(spark):
     f = spark.range(1000).selectExpr("'p' AS project", "concat('f', id) AS file_path")
     assert fl.sample_files(f).count() == 1000 and fl.sample_files(f, rates=((0, 0.1),)).count() == 100
+
+
+def test_the_manifest_at_the_root_counts(spark):
+    rows = [("p", "requirements.txt", "requirements.txt", "fastapi==1"), ("p", "requirements.txt", "sub/requirements.txt", "zzz\n"), ("q", "requirements.txt", "a/requirements.txt", "numpy")]
+    df = spark.createDataFrame(rows, "project string, file_name string, file_path string, content string")
+    assert {r.project: r.project_type for r in projects.project_type(df).collect()} == {"p": "fastapi", "q": "python"}

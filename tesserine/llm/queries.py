@@ -83,4 +83,4 @@ def op6_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-ORACLES["op6_contamination"] = oracles.contaminated("documents")
+ORACLES |= {"op3_near_duplicates": oracles.NEAR_DUPLICATES, "op6_contamination": oracles.contaminated("documents"), "op9_substrings": oracles.SUBSTRINGS}

@@ -6,7 +6,8 @@
 3. Both counts of register comparisons go into a joint likelihood; pairs that may reach the threshold (a true one is dropped with probability 3e-5) are verified on
    the full sets.
 4. What the pivots left open is closed: in buckets whose members are still in several components, all pairs of different components are estimated in blocks of
-   ``BLOCK`` members, and the likely ones verified, each pair in its first common band. So no link is lost and no group is expanded into all its pairs.
+   ``BLOCK`` members, each pair in its first common band. First the likeliest that would connect each bucket's components are verified, at most one per member, then,
+   between the components that are left, all likely ones. So no link is lost and groups that are linked are not expanded into all their pairs.
 
 Defined cases: documents without text or words have an empty set and are linked with nothing; fewer words than a shingle count as one shingle; equal texts are linked; rows
 of one id are one document (where their texts differ, one of them is compared and copies of all count), and rows without an id are kept and linked with nothing; an empty table gives no rows; other columns are not touched.
@@ -113,8 +114,8 @@ def verified(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> D
     return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a bigint, b bigint")
 
 
-def open_pairs(members: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """Likely pairs of different components within buckets; ``members`` is (band, n, low, id, component), the pivot low being done."""
+def open_pairs(members: DataFrame, texts: DataFrame, threshold: float, spanning: bool) -> DataFrame:
+    """Likely pairs of different components within buckets, all or just the likeliest that connect what can be connected; ``members`` is (band, n, low, id, component), the pivot low being done."""
     mixed = members.groupBy("band").agg(F.min("component").alias("_c"), F.max("component").alias("_d")).where("_c <> _d").select("band")
     parts = F.ceil(F.col("n") / BLOCK).cast("int")
     rows = members.join(mixed, "band", "left_semi").withColumn("_p", parts).withColumn("_i", F.pmod(F.xxhash64("id"), F.col("_p")).cast("int"))
@@ -133,16 +134,34 @@ def open_pairs(members: DataFrame, texts: DataFrame, threshold: float) -> DataFr
         # within the largest component nothing is open: members outside of it meet everything of other components
         names, numbers = np.unique(comp, return_inverse=True)
         outside = numbers != np.bincount(numbers).argmax()
-        a, b = [], []
+        a, b, alike = [], [], []
         for x in np.flatnonzero(outside & (ids != low)):
             y = np.flatnonzero((comp != comp[x]) & (~outside | (ids > ids[x])) & (ids != low) & ((own != own[x]) | (i == j)))
             equal = regs[y] == regs[x]
             y, equal = y[near := equal.sum(1) >= least], equal[near]
-            y = y[equal.reshape(-1, BANDS, ROWS).all(2).argmax(1) == (band & 63)]  # the pair's first common band
-            y = y[likely((regs[x] > regs[y]).sum(1), (regs[x] < regs[y]).sum(1), COUNT, np.full(len(y), float(size[x])), size[y].astype(float), threshold, DOUBT)] if len(y) else y
-            a.append(np.minimum(ids[x], ids[y]))
-            b.append(np.maximum(ids[x], ids[y]))
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *v]), pa.int64()) for v in (a, b)], names=["a", "b"])
+            first = equal.reshape(-1, BANDS, ROWS).all(2).argmax(1) == (band & 63)  # the pair's first common band
+            y, equal = y[first], equal[first]
+            ok = likely((regs[x] > regs[y]).sum(1), (regs[x] < regs[y]).sum(1), COUNT, np.full(len(y), float(size[x])), size[y].astype(float), threshold, DOUBT) if len(y) else np.zeros(0, bool)
+            y, equal = y[ok], equal[ok]
+            a.append(np.full(len(y), x))
+            b.append(y)
+            alike.append(equal.sum(1))
+        a, b, alike = (np.concatenate([np.zeros(0, np.int64), *v]) for v in (a, b, alike))
+        if spanning:  # a maximum spanning forest of the components
+            root, keep = list(range(len(names))), []
+            for k in np.argsort(-alike, kind="stable"):
+                ends = []
+                for c in (numbers[a[k]], numbers[b[k]]):
+                    while root[c] != c:
+                        root[c] = c = root[root[c]]
+                    ends.append(c)
+                if ends[0] != ends[1]:
+                    root[ends[0]] = ends[1]
+                    keep.append(k)
+            a, b = a[keep], b[keep]
+        a, b = ids[a], ids[b]
+        a, b = np.minimum(a, b), np.maximum(a, b)
+        return pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in (a, b)], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -178,8 +197,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     to_pivots = members.where("id <> low").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct()
     links = verified(kept(estimated(to_pivots, texts, percent / 100), "pairs"), docs, shingle, percent)
     found = kept(components(links), "components")
-    rest = members.where("n > 2").join(found, "id", "left").select("band", "n", "low", "id", F.coalesce("component", "id").alias("component"))
-    more = verified(kept(open_pairs(rest, texts, percent / 100), "pairs"), docs, shingle, percent)
+
+    def still_open(spanning: bool) -> DataFrame:
+        rest = members.where("n > 2").join(found, "id", "left").select("band", "n", "low", "id", F.coalesce("component", "id").alias("component"))
+        return verified(kept(open_pairs(rest, texts, percent / 100, spanning), "pairs"), docs, shingle, percent)
+
+    found = kept(components(still_open(True).unionAll(found.select(F.col("id").alias("a"), F.col("component").alias("b")))), "components")
+    more = still_open(False)
     # an id of several rows joins the texts of all of them
     rows = sketches.join(firsts, ["k1", "k2"], "left")
     several = rows.groupBy("id").agg(F.min("first").alias("a"), F.max("first").alias("_b"), F.count("*").alias("_n")).where("_n > 1 AND a <> _b").select("id", "a")

@@ -41,9 +41,15 @@ def fold(text: str) -> bytes:
 def learn(rows: DataFrame, sample: int = 2000) -> list[tuple[str, bytes]]:
     """Dictionaries from (doc_id, text, lang); languages with more rows first. Bounded by ``POOL`` bytes a language."""
     labelled = rows.select("doc_id", F.substring("text", 1, PREFIX).alias("text"), "lang").where("lang IS NOT NULL AND text IS NOT NULL")
-    by_hash = W.partitionBy("lang").orderBy(F.xxhash64(F.col("doc_id").cast("string"), F.lit(1)), "text")
-    taken = labelled.withColumn("_n", F.row_number().over(by_hash)).where(F.col("_n") <= sample).select("lang", "_n", "text").collect()
     frequency = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    # about four times the sample passes this cut, whatever the number of rows, so that is all that is ranked
+    space = 1 << 32
+    cut = F.lit(space)
+    for lang, n in frequency.items():
+        cut = F.when(F.col("lang") == lang, min(space, 4 * sample * space // n)).otherwise(cut)
+    hashed = labelled.withColumn("_h", F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(1)), F.lit(space))).where(F.col("_h") < cut)
+    by_hash = W.partitionBy("lang").orderBy("_h", "text")
+    taken = hashed.withColumn("_n", F.row_number().over(by_hash)).where(F.col("_n") <= sample).select("lang", "_n", "text").collect()
     texts: dict[str, dict[bytes, None]] = defaultdict(dict)
     for r in sorted(taken, key=lambda r: (r.lang, r._n)):
         texts[r.lang][fold(r.text)] = None

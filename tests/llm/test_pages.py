@@ -64,6 +64,30 @@ def test_url_templates_learn_from_labels(spark):
     assert unruled == {("shop", "block"), ("news", "allow")} and len(got) == len(rows)
 
 
+def _judged(spark, paths, rules):
+    return urls.filter_urls(spark.createDataFrame([(i, f"http://big.net{p}") for i, p in enumerate(paths)], "page_id long, url string"), rules).collect()
+
+
+def test_url_segments_of_a_large_host_stay_apart(spark):
+    rules = [("big.net", "/fr/", "allow"), ("big.net", "/de/", "block")]
+    paths = [f"/fr/{i}" for i in range(5000)] + [f"/de/{i}" for i in range(100)]
+    got = _judged(spark, paths + [f"/s{chr(97 + k // 26)}{chr(97 + k % 26)}/{i}" for k in range(60) for i in range(80)], rules)
+    assert {(r.path.split("/")[1] == "de", r.verdict) for r in got} == {(True, "block"), (False, "allow")} and len({r.template for r in got}) == 62
+    # sections too rare for branches of their own are pooled, but not with the blocked one
+    got = _judged(spark, paths[:1000] + paths[5000:5010] + [f"/s{chr(97 + k // 26)}{chr(97 + k % 26)}/{i}" for k in range(200) for i in range(6)], rules)
+    assert {(r.template, r.verdict) for r in got} == {("/fr/#", "allow"), ("/de/#", "block"), ("/*/#", "allow")}
+
+
+def test_url_segments_alike_below_stay_pooled(spark):
+    names = [f"{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(100)]
+    paths = [f"/u/{n}/{kind}/{i}" for n in names for kind in ("ads", "pics") for i in range(3)] + [f"/u/odd/{kind}/{i}" for kind in ("ads", "pics") for i in range(3)]
+    rules = [("big.net", f"/u/{n}/{kind}/", "block" if kind == "ads" else "allow") for n in names[:12] for kind in ("ads", "pics")]
+    rules += [("big.net", "/u/odd/pics/", "block"), ("big.net", "/u/odd/ads/", "allow")]
+    rows = _judged(spark, paths, rules)
+    assert {(r.template, r.verdict) for r in rows if not r.path.startswith("/u/odd/") and r.rule is None} == {("/u/*/ads/**", "block"), ("/u/*/pics/**", "allow")}
+    assert {r.template.split("/")[2] for r in rows if r.path.startswith("/u/odd/")} == {"odd"}
+
+
 def test_warc_round_trip(spark):
     rows = [(1, "http://a/", "same"), (2, "http://b/\r\nX: y", "same"), (3, None, None), (4, "http://d/", ""), (5, "u", "é WARC/1.1\r\n\r\nWARC-Type: x\r\n\r\n"), (6, "v", "same"), (6, "v", "same"), (7, "w", "a" * 300_000)]
     pages = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, size string")

@@ -32,8 +32,13 @@ TEXT_PAGES = 8
 ARTICLE = 10
 
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|title|textarea|noscript|iframe|template|svg|math|object|select)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>"
+    r"<!--.*?(?:-->|\Z)|<(script|style|title|textarea)(?=[\s/>])[^>]*>|<[!?][^>]*>"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
+#: What ends the raw text after an opening tag of these; without it, it runs to the end of the page.
+RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*(?:>|\Z)|\Z", re.I) for tag in ("script", "style", "title", "textarea")}
+#: Elements whose content is not shown, if they have an end tag; without one they hide nothing.
+HIDDEN = frozenset("iframe math noscript object select svg template".split())
+FOREIGN = frozenset(("math", "svg"))
 ATTRIBUTE = re.compile(r"\b(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 SPACE = re.compile(r"[ \t\n\r\f\v\xa0]+")
 BLOCKS = frozenset("address article aside blockquote body br button center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html "
@@ -56,19 +61,39 @@ def blocks_of(text: str) -> tuple[list[tuple[str, bool, str]], list[str]]:
     out: list[tuple[str, bool, str]] = []
     opened: list[str] = []
     parts: list[str] = []
+    hidden: list[tuple[list[str], int, int]] = []  # for each open element of HIDDEN: the parts before it, and how many blocks and containers
+
+    def clean(pieces: list[str]) -> str:
+        return SPACE.sub(" ", entities.unescape("".join(pieces))).strip(" ")
 
     def flush() -> None:
         if parts:
-            block = SPACE.sub(" ", entities.unescape("".join(parts))).strip(" ")
+            block = clean(parts)
             parts.clear()
             if block:
                 out.append((stack[-1][1], stack[-1][2], block))
 
+    def close(i: int, ended: bool) -> None:
+        """Take the elements from the i-th off the stack; the i-th has its end tag, if ``ended``."""
+        while len(stack) > i:
+            tag, path, aside = stack.pop()
+            if tag in HIDDEN:
+                before, n_out, n_opened = hidden.pop()
+                if ended and len(stack) == i:
+                    del out[n_out:], opened[n_opened:]
+                    parts[:] = before
+                elif len(out) == n_out:
+                    parts[:0] = before
+                elif block := clean(before):
+                    out.insert(n_out, (path, aside, block))
+
     at = 0
-    for m in TOKEN.finditer(text):
+    while m := TOKEN.search(text, at):
         if m.start() > at:
             parts.append(text[at:m.start()])
         at = m.end()
+        if m[1] and not (m[0].endswith("/>") and any(e[0] in FOREIGN for e in stack)):
+            at = RAW_END[m[1].lower()].search(text, at).end()
         tag = m[3]
         if tag is None:
             continue
@@ -78,19 +103,19 @@ def blocks_of(text: str) -> tuple[list[tuple[str, bool, str]], list[str]]:
         if m[2]:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i][0] == tag:
-                    del stack[i:]
+                    close(i, ended=True)
                     break
                 if stack[i][0] in MAIN and tag not in ("body", "html", "main", "article"):
                     break  # a stray end does not close an article
             continue
-        if tag in VOID:
+        if tag in VOID or tag in FOREIGN and m[4].endswith("/"):
             continue
         ends = ENDS.get(tag, frozenset()) | ({"p"} if tag in BLOCKS else set())
         for i in range(len(stack) - 1, 0, -1):
             if stack[i][0] in ends:
-                del stack[i:]
+                close(i, ended=False)
                 break
-            if stack[i][0] in INLINE_ROOT:
+            if stack[i][0] in INLINE_ROOT or stack[i][0] in HIDDEN:
                 break
         names = {a[1].lower(): a[2] or a[3] or a[4] or "" for a in ATTRIBUTE.finditer(m[4])} if m[4] else {}
         _, path, aside = stack[-1]
@@ -101,8 +126,14 @@ def blocks_of(text: str) -> tuple[list[tuple[str, bool, str]], list[str]]:
             path = f"{path}>{'main' if names.get('role') == 'main' else tag}" + (f".{'.'.join(names['class'].split())}" if names.get("class") else "")
             opened.append(path)
         stack.append((tag, path, aside))
+        if tag in HIDDEN:
+            hidden.append((parts[:], len(out), len(opened)))
+            parts.clear()
     if at < len(text):
         parts.append(text[at:])
+    if hidden:
+        flush()
+        close(1, ended=False)
     flush()
     return out, opened
 

@@ -132,6 +132,27 @@ def test_main_text_of_odd_pages(text, want):
     assert html.main_text(text, None, frozenset()) == want
 
 
+@pytest.mark.parametrize("tag", ["svg", "math", "noscript", "object", "select", "iframe", "template"])
+def test_hidden_elements_lose_no_other_text(tag):
+    def text(page):
+        return html.main_text(page, None, frozenset())
+
+    assert text(f"<p>one <{tag} class='i'><b>no</b></{tag}> two</p><p>three</p>") == "one two three"
+    assert text(f"<p>one <{tag}><p>no<p>no<script>x</script></{tag}> two</p><p>three</p>") == "one two three"
+    assert text(f"<p>one <{tag}> two</p><p>three</p>") == "one two three"
+    assert text(f"<article><div><p>one<p>two <{tag}>three<p>four</div><p>five <{tag}>no</{tag}></p></article>") == "one two three four five"
+    assert text(f"one <{tag}>two") == "one two"
+    if tag in html.FOREIGN:
+        assert text(f'<p>one <{tag} class="i"/> two</p><p>three <{tag}/></p>four') == "one two three four"
+        assert text(f"<p>one <{tag}><title/><style/><g/></{tag}> two</p>") == "one two"
+
+
+def test_raw_text_runs_to_its_end_or_the_end_of_the_page():
+    for tag in ("script", "style", "title", "textarea"):
+        assert html.main_text(f"<p>one</p><{tag}><p>no</p></{tag.upper()} ><p>two</p><{tag} x='>'>no<svg>", None, frozenset()) == "one two"
+    assert html.main_text("<p>one</p><!-- <p>no", None, frozenset()) == "one"
+
+
 def test_template_text_is_deduced(spark):
     page = "<body><div class='top'><p>Welcome to the site</p></div><div class='body'><p>{0}</p><p>Share this</p></div><div class='foot'><p>legal</p></div></body>"
     rows = [(i, "http://h/x", page.format(f"story {i} " * 20)) for i in range(12)] + [(50, "http://lone/", page.format("alone " * 9)), (51, None, None), (52, "http://h/", "")]

@@ -320,8 +320,10 @@ def removal_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the repeated words taken out of the texts, and n_chars, if there, following; documents of which nothing stays go. Texts that lose nothing stay as they are."""
-    lost = changed(_plain(docs, id_col, text_col)).select(F.col("doc_id").alias(id_col), F.col("text").alias("_left"), F.lit(True).alias("_lost")).dropDuplicates([id_col])
-    rows = docs.join(lost, id_col, "left").where("_lost IS NULL OR _left <> ''")
+    lost = changed(_plain(docs, id_col, text_col)).select(F.col("doc_id").alias("_lost_id"), F.col("before").alias("_before"), F.col("text").alias("_left"), F.lit(True).alias("_lost")).dropDuplicates(["_lost_id", "_before"])
+    # rows of one id may have different texts: the digest of the words says whose text it is
+    rows = docs.withColumn("_now", F.sha2(F.array_join(F.array_remove(F.split(F.coalesce(F.col(text_col), F.lit("")), "[ \\t-\\r]+"), ""), " "), 256))
+    rows = rows.join(lost, (F.col(id_col).cast("long") == F.col("_lost_id")) & (F.col("_now") == F.col("_before")), "left").where("_lost IS NULL OR _left <> ''")
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.when(F.col("_lost"), F.length("_left").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return rows.withColumn(text_col, F.coalesce("_left", text_col)).select(*docs.columns)

@@ -122,6 +122,14 @@ def test_repeated_rows_of_one_document_stay(spark):
     assert sorted((r.doc_id or 0, r.n_removed) for r in got) == [(0, 0), (1, 0), (1, 0), (2, 30)]
 
 
+def test_different_texts_of_one_id_keep_their_own_words(spark):
+    shared, own, rest = (" ".join(f"{c}{i}" for i in range(30)) for c in "suv")
+    other = own.replace("u", "w")
+    rows = [(1, shared, len(shared)), (2, f"{rest}\n{shared}", 9), (2, f" {own}\t\x0b\f\r end ", 8), (2, f"{other} é {shared}", 7), (2, shared, 6)]
+    got = substring.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string, n_chars long")).collect()
+    assert sorted(map(tuple, got)) == sorted([rows[0], (2, rest, len(rest)), rows[2], (2, f"{other} é", len(other) + 2)])
+
+
 def test_suffix_automaton():
     a = substring.SuffixAutomaton()
     rng = random.Random(1)

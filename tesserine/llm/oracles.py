@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tesserine.llm import quality, urls
+from tesserine.llm import quality, sharding, urls
 
 WORDS = "regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\x0b\\x0c\\r]+')"
 
@@ -115,3 +115,60 @@ words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FR
 k AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS t, count(*) AS n FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
 SELECT d.doc_id, len(w)::BIGINT AS n_words, len(w) - coalesce(k.n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)
 """
+
+
+def _crc_table() -> list[int]:
+    """The checksum of each byte, from the reversed polynomial of CRC-32."""
+    out = []
+    for byte in range(256):
+        for _ in range(8):
+            byte = byte >> 1 ^ (0xEDB88320 if byte & 1 else 0)
+        out.append(byte)
+    return out
+
+
+def crc32(text: str) -> str:
+    """SQL for the unsigned CRC-32 of a text's UTF-8 bytes."""
+    codes = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda b: ('0x' || b)::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {codes}), lambda a, x: xor(a >> 8, ({_crc_table()}::BIGINT[])[(xor(a, x) & 255) + 1])), 4294967295)"
+
+
+TRIE = f"""
+WITH turns AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, turn FROM conversations WHERE conv_id IS NOT NULL),
+known AS (SELECT conv_id, turn, md5(length(role)::VARCHAR || ':' || role || text) AS turn_id, strlen(text) AS bytes FROM turns),
+own AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, turn_id) AS p, count(*) OVER (PARTITION BY conv_id) AS n FROM known),
+convs AS (SELECT DISTINCT conv_id, n, conv_id - conv_id % 5 AS leader, {crc32("conv_id::VARCHAR")} % 9 AS h FROM own),
+heads AS (SELECT c.conv_id, o.p, o.turn_id, o.bytes FROM convs c JOIN own o ON o.conv_id = c.leader AND o.p <= c.h),
+seqs AS (SELECT conv_id, 0 AS part, p, turn_id, bytes FROM heads UNION ALL SELECT o.conv_id, 1, o.p, turn_id, bytes FROM own o JOIN convs c USING (conv_id) WHERE o.p > c.h),
+paths AS (SELECT conv_id, count(*) OVER w AS depth, bytes, string_agg(turn_id, '/') OVER w AS path FROM seqs WINDOW w AS (PARTITION BY conv_id ORDER BY part, p)
+    UNION ALL SELECT conv_id, 0, 0, '' FROM convs),
+lasts AS (SELECT conv_id, arg_max(path, depth) AS path FROM paths GROUP BY conv_id),
+ends AS (SELECT path, sha256(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id)) AS ends_sha256 FROM lasts GROUP BY path),
+nodes AS (SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(bytes) AS bytes, CASE depth WHEN 0 THEN NULL WHEN 1 THEN '' ELSE left(path, length(path) - 33) END AS above FROM paths GROUP BY path, depth),
+children AS (SELECT above AS path, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY above),
+below AS (SELECT a.path, count(*) FILTER (WHERE k.path IS NULL) AS n_leaves, sum((b.n_convs - 1) * b.bytes) AS saved_tokens
+    FROM nodes a JOIN nodes b ON b.depth >= a.depth AND starts_with(b.path, a.path) LEFT JOIN children k ON k.path = b.path GROUP BY a.path)
+SELECT n.conv_id, n.depth::BIGINT AS depth, u.conv_id AS parent_conv_id, n.n_convs, coalesce(k.n_children, 0)::BIGINT AS n_children, b.n_leaves::BIGINT AS n_leaves, b.saved_tokens::BIGINT AS saved_tokens,
+    coalesce(e.ends_sha256, sha256('')) AS ends_sha256
+FROM nodes n JOIN below b USING (path) LEFT JOIN nodes u ON u.path = n.above LEFT JOIN children k ON k.path = n.path LEFT JOIN ends e ON e.path = n.path
+"""
+
+
+def shards(n: int) -> str:
+    """The slot map of ``n`` shards and every document's place, as SQL."""
+    return f"""
+WITH docs AS (SELECT doc_id, strlen(coalesce(text, ''))::BIGINT + 1 AS size, {crc32("coalesce(text, '')")} AS crc,
+    ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT % {sharding.SLOTS} AS vslot FROM documents),
+total AS (SELECT sum(size)::BIGINT AS total FROM docs),
+heavy AS (SELECT vslot FROM docs GROUP BY vslot HAVING sum(size) * {sharding.HEAVY * n} > (SELECT total FROM total)),
+parted AS (SELECT *, CASE WHEN vslot IN (SELECT vslot FROM heavy) THEN crc % {sharding.PARTS} ELSE -1 END AS part FROM docs),
+units AS (SELECT vslot, part, sum(size)::BIGINT AS bytes, count(*) AS n_rows, vslot % {n} AS old FROM parted GROUP BY vslot, part),
+ranked AS (SELECT *, sum(bytes) OVER (PARTITION BY old ORDER BY bytes DESC, vslot, part) * {n} <= (SELECT total FROM total) AS stays FROM units),
+held AS (SELECT s AS shard, (SELECT total FROM total) - {n} * coalesce((SELECT sum(bytes) FROM ranked WHERE stays AND old = s), 0) AS gap FROM range({n}) r(s)),
+gaps AS (SELECT shard, gap, sum(gap) OVER (ORDER BY gap DESC, shard) - gap AS lo FROM held),
+pool AS (SELECT vslot, part, {n} * (2 * sum(bytes) OVER (ORDER BY bytes DESC, vslot, part) - bytes) AS middle FROM ranked WHERE NOT stays),
+dealt AS (SELECT vslot, part, arg_max(shard, lo) AS shard FROM pool JOIN gaps ON gap > 0 AND 2 * lo <= middle GROUP BY vslot, part),
+mapped AS (SELECT vslot, part, n_rows, coalesce(d.shard, old) AS shard FROM ranked LEFT JOIN dealt d USING (vslot, part))
+SELECT doc_id, size, crc AS text_crc32, 'bytes' AS law, shard::INT AS shard, row_number() OVER (PARTITION BY shard ORDER BY vslot, part, doc_id NULLS FIRST, crc, size) - 1 AS slot, NULL::INT AS grown_shard, vslot AS virtual_slot
+FROM parted JOIN mapped USING (vslot, part)
+"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserine.llm import contamination, html, language, neardup, oracles, packing, quality, substring, token_counts, urls, warc
+from tesserine.llm import contamination, html, language, neardup, oracles, packing, prefix_trie, quality, runs, sharding, substring, token_counts, urls, warc
 from tesserine.llm.tables import need, table
 
 QUERIES = {}
@@ -84,3 +84,25 @@ def op6_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES |= {"op3_near_duplicates": oracles.NEAR_DUPLICATES, "op6_contamination": oracles.contaminated("documents"), "op9_substrings": oracles.SUBSTRINGS}
+
+
+@query
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.report(prefix_trie.trie(prefix_trie.rebuilt(prefix_trie.numbered(table(spark, sf_dir, "conversations")))))
+
+
+#: Of the contract.
+SHARDS = 8
+
+
+@query
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_rows(table(spark, sf_dir, "documents"), SHARDS)
+
+
+@query
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.report(runs.periodic_runs(runs.planted(table(spark, sf_dir, "documents"))))
+
+
+ORACLES |= {"op11_prefix_trie": oracles.TRIE, "op12_sharding": oracles.shards(SHARDS)}

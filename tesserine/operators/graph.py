@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..session import cut_lineage
+from ..session import cut_lineage, stored
 from . import files as fl
 from . import skew
+from .cycles import shortest_cycles, strong_components
 from .tops import first_per
 
 # FIXED VALUES: import patterns per language, on stripped lines.
@@ -89,74 +90,6 @@ def import_frequency(imports: DataFrame) -> DataFrame:
 # ---- cycles -----------------------------------------------------------------
 
 
-def _trim(edges: DataFrame) -> DataFrame:
-    """Drop edges that cannot lie on a cycle: no way in, or no way out."""
-    left = edges.count()
-    while True:
-        src, dst = edges.select(F.col("source").alias("target")), edges.select(F.col("target").alias("source"))
-        edges = cut_lineage(edges.join(dst, "source", "left_semi").join(src, "target", "left_semi").select("source", "target"))
-        now = edges.count()
-        if now in (left, 0):
-            return edges
-        left = now
-
-
-def _grow(state: DataFrame, step) -> DataFrame:
-    """Apply ``step`` until it adds no change; state carries a ``changed`` flag."""
-    while True:
-        state = cut_lineage(step(state))
-        if state.where("changed").isEmpty():
-            return state.drop("changed")
-
-
-def strong_components(edges: DataFrame) -> DataFrame:
-    """(node, component) of every component with more than one node.
-
-    Forward colouring with the largest id, then a backward sweep from each colour's root,
-    repeated on what is left. Rows moved per round are nodes and edges, never pairs of nodes.
-    """
-    edges = cut_lineage(edges.where(F.col("source") != F.col("target")).select("source", "target").distinct())
-    found = None
-    while True:
-        edges = _trim(edges)
-        if edges.isEmpty():
-            break
-        nodes = edges.select(F.explode(F.array("source", "target")).alias("node")).distinct()
-        colour = nodes.select("node", F.col("node").alias("colour"))
-
-        def spread(c):
-            offer = edges.join(c.select(F.col("node").alias("source"), "colour"), "source").groupBy(
-                F.col("target").alias("node")).agg(F.max("colour").alias("_o"))
-            best = F.greatest("colour", F.coalesce("_o", "colour"))
-            return c.select("node", "colour").join(offer, "node", "left").select(
-                "node", best.alias("colour"), (best != F.col("colour")).alias("changed"))
-
-        colour = _grow(colour, spread)
-        end = lambda side: colour.select(F.col("node").alias(side), F.col("colour").alias(f"_{side}"))
-        same = cut_lineage(edges.join(end("source"), "source").join(end("target"), "target")
-                           .where(F.col("_source") == F.col("_target")).select("source", "target"))
-        reach = colour.select("node", "colour", (F.col("node") == F.col("colour")).alias("hit"))
-
-        def back(r):
-            offer = same.join(r.where("hit").select(F.col("node").alias("target")), "target", "left_semi").select(
-                F.col("source").alias("node"), F.lit(True).alias("_o")).distinct()
-            now = F.col("hit") | F.coalesce("_o", F.lit(False))
-            return r.select("node", "colour", "hit").join(offer, "node", "left").select(
-                "node", "colour", now.alias("hit"), (now != F.col("hit")).alias("changed"))
-
-        reach = _grow(reach, back)
-        comp = reach.where("hit").select("node", F.col("colour").alias("component"))
-        size = comp.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("component")
-        part = cut_lineage(comp.join(size, "component", "left_semi").select("node", "component"))
-        found = part if found is None else found.unionByName(part)
-        rest = reach.where(~F.col("hit")).select("node")
-        edges = cut_lineage(edges.join(rest.withColumnRenamed("node", "source"), "source", "left_semi")
-                            .join(rest.withColumnRenamed("node", "target"), "target", "left_semi").select("source", "target"))
-    if found is None:
-        return edges.select(F.col("source").alias("node"), F.col("source").alias("component")).limit(0)
-    return found
-
-
 def cycle_nodes(edges: DataFrame, components: DataFrame | None = None) -> DataFrame:
     """Nodes that reach themselves."""
     comp = strong_components(edges) if components is None else components
@@ -191,17 +124,16 @@ def simple_cycles(edges: DataFrame, max_length: int, components: DataFrame | Non
 SEPARATOR = "\u001f"
 
 
-def project_cycles(edges: DataFrame, max_length: int) -> tuple[DataFrame, DataFrame]:
-    """((project, node, component), (project, cycle, length)) of edges that carry their project: all projects advance together, and none reaches another."""
+def project_cycles(edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """((project, node), (project, source, target, length), (project, cycle, length)) of edges that carry their project: nodes that reach themselves, edges that lie
+    on a cycle with the length of the shortest one through them, and such a cycle for each. All projects advance together, and none reaches another."""
     node = lambda c: F.concat_ws(SEPARATOR, F.coalesce("project", F.lit("")), c)
-    keyed = cut_lineage(edges.select(node(F.col("source")).alias("source"), node(F.col("target")).alias("target")).distinct())
-    comp = strong_components(keyed)
-    loops = keyed.where("source = target").select(F.col("source").alias("node"), F.col("source").alias("component"))
+    keyed = edges.select(node(F.col("source")).alias("source"), node(F.col("target")).alias("target"))
     project, name = (lambda c: F.substring_index(c, SEPARATOR, 1)), (lambda c: F.regexp_replace(c, f"^[^{SEPARATOR}]*{SEPARATOR}", ""))
-    nodes = comp.unionByName(loops.join(comp, "node", "left_anti")).distinct().select(project(F.col("node")).alias("project"), name(F.col("node")).alias("node"), name(F.col("component")).alias("component"))
-    cycles = simple_cycles(keyed, max_length, comp).select(
-        project(F.col("cycle")).alias("project"), F.regexp_replace("cycle", f"(^|-> )[^{SEPARATOR}]*{SEPARATOR}", "$1").alias("cycle"), "length")
-    return nodes, cycles
+    through, cycles = shortest_cycles(keyed)
+    through = stored(through.select(project("source").alias("project"), name("source").alias("source"), name("target").alias("target"), "length"), "through")
+    cycles = cycles.select(project(F.col("cycle")[0]).alias("project"), F.array_join(F.transform("cycle", name), " -> ").alias("cycle"), "length")
+    return through.select("project", F.col("source").alias("node")).distinct(), through, cycles
 
 
 # ---- exports ----------------------------------------------------------------

@@ -65,18 +65,24 @@ def _(t):
 
 view("v_links_of", """SELECT DISTINCT project, source, target FROM v_edges UNION ALL SELECT 'events', source, target FROM v_flow""")
 view("v_reach", "SELECT project, source AS a, target AS b FROM v_links_of UNION SELECT r.project, r.a, f.target FROM v_reach r JOIN v_links_of f ON r.b = f.source AND r.project = f.project")
-view("v_cyc", """SELECT project, source AS start, target AS last, [source, target] AS path FROM v_links_of WHERE target >= source
-  UNION ALL SELECT p.project, p.start, f.target, list_append(p.path, f.target) FROM v_cyc p JOIN v_links_of f ON p.last = f.source AND p.project = f.project
-  WHERE p.start <> p.last AND len(p.path) <= 4 AND (f.target = p.start OR (f.target > p.start AND NOT list_contains(p.path, f.target)))""")
+view("v_onward", "SELECT l.* FROM v_links_of l WHERE source <> target AND EXISTS (SELECT 1 FROM v_reach r WHERE r.project = l.project AND r.a = l.target AND r.b = l.source)")
+view("v_ways", """SELECT project, source, target, target AS last, [target] AS path FROM v_onward
+  UNION ALL SELECT w.project, w.source, w.target, o.target, list_append(w.path, o.target) FROM v_ways w JOIN v_onward o ON o.project = w.project AND o.source = w.last
+  WHERE w.last <> w.source AND NOT list_contains(w.path, o.target)""")
+view("v_back", """SELECT project, source, target, path FROM (SELECT *, row_number() OVER (PARTITION BY project, source, target ORDER BY len(path), list_reverse(path)) AS r
+  FROM v_ways WHERE last = source) WHERE r = 1 UNION ALL SELECT project, source, target, [source] FROM v_links_of WHERE source = target""")
 
 
-@query("dep_cycles", """SELECT 'node' AS kind, project, a AS item, 0 AS length FROM v_reach WHERE a = b UNION ALL SELECT 'cycle', project, array_to_string(path, ' -> '), len(path) - 1 FROM v_cyc WHERE start = last""")
+@query("dep_cycles", """SELECT DISTINCT 'node' AS kind, project, a AS item, 0 AS length FROM v_reach WHERE a = b
+  UNION ALL SELECT DISTINCT 'edge', project, source || ' -> ' || target, len(path) FROM v_back
+  UNION ALL SELECT DISTINCT 'cycle', project, array_to_string(path[p:] || path[:p], ' -> '), len(path) FROM (SELECT *, list_position(path, list_min(path)) AS p FROM v_back)""")
 def _(t):
     """Of every project's imports and of the event flow."""
     both = edges(t).select("project", "source", "target").unionByName(t.flow.select(F.lit("events").alias("project"), "source", "target"))
-    nodes, cycles = graph.project_cycles(both, 4)
-    return nodes.select(F.lit("node").alias("kind"), "project", col("node").alias("item"), F.lit(0).alias("length")).unionByName(
-        cycles.select(F.lit("cycle").alias("kind"), "project", col("cycle").alias("item"), "length"))
+    nodes, through, cycles = graph.project_cycles(both)
+    return (nodes.select(F.lit("node").alias("kind"), "project", col("node").alias("item"), F.lit(0).cast("long").alias("length"))
+            .unionByName(through.select(F.lit("edge").alias("kind"), "project", F.concat("source", F.lit(" -> "), "target").alias("item"), "length"))
+            .unionByName(cycles.select(F.lit("cycle").alias("kind"), "project", col("cycle").alias("item"), "length")))
 
 
 @query("page_links", "SELECT source, target FROM v_links")

@@ -21,9 +21,10 @@ def test_blocks_of_equal_paths(spark):
 
 def test_cycles_do_not_cross_projects(spark):
     edges = spark.createDataFrame([("p1", "a", "b"), ("p2", "b", "a"), ("p3", "a", "b"), ("p3", "b", "a"), ("p1", "x", "x")], "project string, source string, target string")
-    nodes, cycles = graph.project_cycles(edges, 4)
+    nodes, through, cycles = graph.project_cycles(edges)
     assert {(r.project, r.node) for r in nodes.collect()} == {("p3", "a"), ("p3", "b"), ("p1", "x")}
     assert {(r.project, r.cycle, r.length) for r in cycles.collect()} == {("p3", "a -> b -> a", 2), ("p1", "x -> x", 1)}
+    assert {(r.project, r.source, r.target, r.length) for r in through.collect()} == {("p3", "a", "b", 2), ("p3", "b", "a", 2), ("p1", "x", "x", 1)}
     assert {(r.project, r.module_name) for r in graph.dep_roots(edges).collect()} == {("p1", "a"), ("p2", "b")}
     assert {(r.project, r.target) for r in graph.dep_hubs(edges, 1).collect()} == {("p1", "b"), ("p2", "a"), ("p3", "a")}
 

@@ -40,6 +40,11 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def one_each(df, rows: Column, name: str, *keep):
+    """A row for each element. Of a plain ``explode`` Spark infers a filter on the array's size and puts it below, so that a costly array is computed again there."""
+    return df.select(*keep, F.explode_outer(rows).alias(name)).where(F.col(name).isNotNull())
+
+
 def extension(path) -> Column:
     """Suffix with its dot, case kept; '' when there is none."""
     return F.regexp_extract(path, r"[^/.][^/]*(\.[^./]*)$", 1)

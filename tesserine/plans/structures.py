@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import col
 
 
+from ..session import stored
 from ..operators import reports, ruleset, scores, smells, structure, symbols
 from .base import query, re2, strip, view
 
@@ -174,20 +175,30 @@ def symbol_table(t):
     return symbols.symbol_table(src(t))
 
 
-@query("find_symbol", f"""SELECT s.file_path, s.name, s.kind, s.line_start, s.line_end, string_agg(l.line, chr(10) ORDER BY l.line_number) AS body
-  FROM v_symbols s JOIN v_lines l ON l.file_path = s.file_path AND l.line_number BETWEEN s.line_start AND s.line_end
-  WHERE regexp_matches(s.name, {re2('^(run|Digest|deep)')}) AND starts_with(s.file_path, 'src/') GROUP BY s.file_path, s.name, s.kind, s.line_start, s.line_end""")
+# A symbol holds those that start after it and end within it.
+view("v_found", f"""SELECT *, line_start AS found_line, 0 AS level FROM v_symbols WHERE regexp_matches(name, {re2('^(run|Digest|deep)')}) AND starts_with(file_path, 'src/')""")
+view("v_held", """SELECT s.*, f.found_line, (SELECT count(*) FROM v_symbols o WHERE o.file_path = s.file_path AND o.line_start >= f.line_start AND o.line_start < s.line_start AND o.line_end >= s.line_end)::int AS level
+  FROM (SELECT DISTINCT file_path, line_start, line_end, found_line FROM v_found) f JOIN v_symbols s ON s.file_path = f.file_path AND s.line_start > f.line_start AND s.line_end <= f.line_end""")
+
+
+@query("find_symbol", """SELECT DISTINCT s.file_path, s.found_line, s.level, s.name, s.kind, s.line_start, s.line_end,
+  coalesce((SELECT string_agg(o.name, '/' ORDER BY o.line_start) || '/' FROM v_symbols o WHERE o.file_path = s.file_path AND o.line_start < s.line_start AND o.line_end >= s.line_end), '') || s.name AS name_path,
+  (SELECT string_agg(l.line, chr(10) ORDER BY l.line_number) FROM v_lines l WHERE l.file_path = s.file_path AND l.line_number BETWEEN s.line_start AND s.line_end) AS body
+  FROM (SELECT * FROM v_found UNION ALL SELECT * FROM v_held WHERE level <= 1) s""")
 def _(t):
-    hit = symbols.find_symbol(src(t), symbol_table(t), "^(run|Digest|deep)", "src/", with_body=True)
-    return hit.select("file_path", "name", "kind", "line_start", "line_end", "body").distinct()
+    hit = symbols.find_symbol(src(t), "^(run|Digest|deep)", "src/", depth=1, with_body=True)
+    return hit.select("file_path", "found_line", "level", "name", "kind", "line_start", "line_end", "name_path", "body").distinct()
 
 
-@query("symbol_references", """SELECT DISTINCT m.project, m.file_path, m.line_number, m.name FROM (
-   SELECT project, file_path, line_number, unnest(list_distinct(regexp_extract_all(line, '[\\p{L}\\p{N}_]+'))) AS name FROM v_lines) m
-  JOIN (SELECT DISTINCT project, name FROM v_symbols) s USING (project, name)
-  WHERE NOT EXISTS (SELECT 1 FROM v_symbols d WHERE d.file_path = m.file_path AND d.name = m.name AND m.line_number BETWEEN d.line_start AND d.line_end)""")
+@query("symbol_references", """SELECT project, file_path, line_number, name, coalesce(kind, 'file') AS kind FROM (
+  SELECT m.*, (SELECT d.kind FROM v_symbols d WHERE d.file_path = m.file_path AND m.line_number BETWEEN d.line_start AND d.line_end ORDER BY d.line_start DESC, d.line_end, d.kind DESC LIMIT 1) AS kind FROM (
+   SELECT DISTINCT project, file_path, line_number, name FROM (
+    SELECT project, file_path, line_number, unnest(list_distinct(regexp_extract_all(line, '[\\p{L}\\p{N}_]+'))) AS name FROM v_lines)
+   JOIN (SELECT DISTINCT project, name FROM v_symbols) s USING (project, name)) m
+  WHERE NOT EXISTS (SELECT 1 FROM v_symbols d WHERE d.file_path = m.file_path AND d.name = m.name AND m.line_number BETWEEN d.line_start AND d.line_end))""")
 def _(t):
-    return symbols.symbol_references(src(t), symbol_table(t)).select("project", "file_path", "line_number", "name")
+    table = stored(symbol_table(t), "symbols")
+    return symbols.symbol_references(symbols.scratch_index(src(t), table), table)
 
 
 view("v_overview", """SELECT project, file_path, language, coalesce(string_agg(name, ',' ORDER BY line_start, name) FILTER (kind = 'class'), '') AS classes,

@@ -222,14 +222,16 @@ def classes_js(files: DataFrame) -> DataFrame:
     return other_files(files).select(*keep, F.explode(rows).alias("r")).select(*keep, "r.*")
 
 
+def js_imports(content) -> Column:
+    return F.concat(*[F.regexp_extract_all(content, F.lit(tx.regex(p)), F.lit(1)) for p in JS_IMPORTS])
+
+
 def imports_js(files: DataFrame) -> DataFrame:
-    found = F.concat(*[F.regexp_extract_all("content", F.lit(tx.regex(p)), F.lit(1)) for p in JS_IMPORTS])
-    return other_files(files).select(*_keep(files), F.explode(found).alias("module"))
+    return other_files(files).select(*_keep(files), F.explode(js_imports("content")).alias("module"))
 
 
-def imports_py(files: DataFrame) -> DataFrame:
-    """One row per imported name: ``import a`` gives a, ``from m import n`` gives m.n."""
-    keep = _keep(files)
+def py_imports(source) -> Column:
+    """array of (line_number, module): ``import a`` gives a, ``from m import n`` gives m.n."""
     body = lambda x: tx.strip(x["line"])
     plain, frm = tx.regex(r"^import\s+(.+)$"), tx.regex(r"^from\s+(\S+)\s+import\s+(.+)$")
     clean = lambda s: tx.strip(F.regexp_extract(F.regexp_replace(s, r"[()]", ""), tx.regex(r"^\s*(\S+)(?:\s+as\s+\S+)?\s*$"), 1))
@@ -243,10 +245,15 @@ def imports_py(files: DataFrame) -> DataFrame:
         found = F.when(body(x).startswith("import"), a).otherwise(b)
         return F.transform(F.filter(found, lambda s: s != ""), lambda s: F.struct(x["n"].alias("line_number"), s.alias("module")))
 
-    lines = F.filter(tx.numbered("content"), lambda x: F.contains(x["line"], F.lit("import")) & (
+    lines = F.filter(tx.numbered(source), lambda x: F.contains(x["line"], F.lit("import")) & (
         body(x).rlike(plain) | body(x).rlike(frm)))
-    rows = F.flatten(F.transform(lines, names))
-    return python_code(files).select(*keep, F.explode(rows).alias("r")).select(*keep, "r.*")
+    return F.flatten(F.transform(lines, names))
+
+
+def imports_py(files: DataFrame) -> DataFrame:
+    """One row per imported name."""
+    keep = _keep(files)
+    return python_code(files).select(*keep, F.explode(py_imports("content")).alias("r")).select(*keep, "r.*")
 
 
 PY_BRANCH = r"^\s*(if|elif|for|while|except)\b"
@@ -278,9 +285,9 @@ def _control_weight(outline: Column) -> Column:
         h["kind"].isin("if", "elif", "for", "while"), 1 + h["nest"]).when(h["kind"] == "except", 1).otherwise(0))
 
 
-def _boolean_operators() -> Column:
+def _boolean_operators(code: str = "content") -> Column:
     """and/or on lines that are not comments."""
-    return F.aggregate(_significant(F.col("content")), F.lit(0), lambda s, x: s + F.size(
+    return F.aggregate(_significant(F.col(code)), F.lit(0), lambda s, x: s + F.size(
         F.filter(F.regexp_extract_all(x["text"], F.lit(tx.WORD), F.lit(0)), lambda w: w.isin("and", "or"))))
 
 
@@ -292,9 +299,8 @@ def cognitive_py(files: DataFrame) -> DataFrame:
     return py.withColumn("cognitive", F.col("control_weight") + F.col("boolean_operators"))
 
 
-def long_function_js(files: DataFrame, limit: int = 50) -> DataFrame:
-    """Functions longer than ``limit`` lines by brace balance; a new header restarts the count."""
-    keep = _keep(files)
+def long_functions(lines: Column, limit: int = 50) -> Column:
+    """array of (line_number, lines): functions longer than ``limit`` lines by brace balance; a new header restarts the count."""
     count = lambda s, ch: F.length(s) - F.length(F.replace(s, F.lit(ch), F.lit("")))
     item = "array<struct<line_number:int,lines:int>>"
     start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("bal"), F.array().cast(item).alias("out"))
@@ -309,8 +315,13 @@ def long_function_js(files: DataFrame, limit: int = 50) -> DataFrame:
         return F.struct(F.when(head, x["n"]).when(ends, 0).otherwise(a["at"]).alias("at"), bal.alias("bal"),
                         out.otherwise(a["out"]).cast(item).alias("out"))
 
-    found = F.aggregate(tx.numbered("content"), start, step, lambda a: a["out"])
-    return other_files(files).select(*keep, F.explode(found).alias("r")).select(*keep, "r.*")
+    return F.aggregate(lines, start, step, lambda a: a["out"])
+
+
+def long_function_js(files: DataFrame, limit: int = 50) -> DataFrame:
+    """Functions longer than ``limit`` lines."""
+    keep = _keep(files)
+    return other_files(files).select(*keep, F.explode(long_functions(tx.numbered("content"), limit)).alias("r")).select(*keep, "r.*")
 
 
 def file_facts(files: DataFrame) -> DataFrame:

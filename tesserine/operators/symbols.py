@@ -185,10 +185,14 @@ def language_totals(symbols: DataFrame) -> DataFrame:
 
 
 def unified_merge(symbols: DataFrame, semantic: DataFrame, smells: DataFrame) -> DataFrame:
-    """Each symbol with the first semantic symbol of the same file, name and lower-cased kind."""
+    """Each symbol, with its quality, and the first semantic symbol of the same file, name and lower-cased kind."""
+    return with_semantic(quality.symbol_quality(symbols, smells), semantic)
+
+
+def with_semantic(symbols: DataFrame, semantic: DataFrame) -> DataFrame:
     key = ["project", "file_path", "name", "kind"]
     first = semantic.withColumn("kind", F.lower("kind")).groupBy(*key).agg(F.min("line").alias("semantic_line"))
-    return quality.symbol_quality(symbols, smells).join(first, key, "left")
+    return symbols.join(first, key, "left")
 
 
 def unified_summary(report: DataFrame, unified: DataFrame) -> DataFrame:

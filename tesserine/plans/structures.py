@@ -7,7 +7,7 @@ from pyspark.sql.functions import col
 
 
 from ..session import stored
-from ..operators import reports, ruleset, scores, smells, structure, symbols
+from ..operators import analysis, reports, ruleset, scores, smells, structure, symbols
 from .base import query, re2, strip, view
 
 
@@ -15,12 +15,17 @@ def src(t):
     return t.corpus.select("project", "file_path", "content")
 
 
+def analysed(t):
+    """Every file of a known language, folded once."""
+    return analysis.analysed(src(t))
+
+
 def all_smells(t):
-    return smells.all_smells(src(t), ruleset.builtin(t.spark))
+    return analysis.smell_rows(analysed(t))
 
 
 def report(t):
-    return scores.file_report(src(t), all_smells(t))
+    return analysis.report(analysed(t))
 
 
 _M = "project, file_path, total_lines, blank_lines, comment_lines, lines_of_code, cyclomatic"
@@ -232,9 +237,7 @@ _SQ = ["file_path", "name", "kind", "line_start", "cyclomatic", "quality_score"]
 
 @query("symbol_quality", f"SELECT {', '.join(_SQ)} FROM v_symbol_quality")
 def _(t):
-    from ..operators import quality
-
-    return quality.symbol_quality(symbol_table(t), all_smells(t)).select(*_SQ)
+    return analysis.symbol_rows(analysed(t)).select(*_SQ)
 
 
 # The second source: definitions named at a line start, in labelled documents only, seen once more further down.
@@ -258,7 +261,7 @@ view("v_unified", """SELECT q.*, s.semantic_line FROM v_symbol_quality q LEFT JO
 
 
 def unified(t):
-    return symbols.unified_merge(symbol_table(t), semantic(t), all_smells(t))
+    return symbols.with_semantic(analysis.symbol_rows(analysed(t)), semantic(t))
 
 
 @query("unified_merge", f"SELECT {', '.join(_SQ)}, semantic_line FROM v_unified")
@@ -282,7 +285,7 @@ def _(t):
   FROM v_report r LEFT JOIN (SELECT file_path, max(nesting) AS nest, string_agg(name || ':' || start_line || '-' || end_line || ':' || cyclomatic || ':' || nesting || ':' || len(parameters), ';' ORDER BY start_line) AS rows
     FROM v_functions_py GROUP BY 1) f USING (file_path)""")
 def _(t):
-    h = reports.heatmap_rows(report(t), structure.functions_py(src(t)))
+    h = analysis.heatmap_rows(analysed(t))
     s = lambda f, k: f[k].cast("string")
     text = F.transform("function_rows", lambda f: F.concat(f["name"], F.lit(":"), s(f, "start_line"), F.lit("-"), s(f, "end_line"), F.lit(":"), s(f, "cyclomatic"),
                                                            F.lit(":"), s(f, "nesting"), F.lit(":"), s(f, "params")))
@@ -298,9 +301,7 @@ def _(t):
   WHEN c.max_method_cyclomatic > 5 OR n > 0 THEN 'medium' ELSE 'info' END AS severity FROM (SELECT c.*, coalesce(s.n, 0) AS n FROM v_classes_py c LEFT JOIN (
   SELECT project, file_path, line_number AS start_line, count(*) AS n FROM v_smells_cl GROUP BY 1, 2, 3) s USING (project, file_path, start_line)) c""")
 def _(t):
-    n = smells.class_smells(src(t), ruleset.builtin(t.spark)).groupBy("project", "file_path", col("line_number").alias("start_line")).agg(F.count("*").alias("n"))
-    c = structure.classes_py(src(t)).join(n, ["project", "file_path", "start_line"], "left").na.fill(0, ["n"])
-    return c.select("project", "file_path", "name", "start_line", reports.severity_class(col("max_method_cyclomatic"), col("n")).alias("severity"))
+    return analysis.class_severities(analysed(t))
 
 
 @query("severity_function", """SELECT file_path, name, start_line, CASE WHEN cyclomatic > 15 THEN 'critical' WHEN cyclomatic > 10 THEN 'high' WHEN cyclomatic > 5 THEN 'medium' ELSE 'info' END AS severity FROM v_functions_py""")
@@ -313,9 +314,18 @@ def _(t):
     return reports.worst_severity(all_smells(t), ["project", "file_path"])
 
 
-@query("report_tree")
-def _(t):
-    c = src(t)
-    return reports.report_tree(report(t), imports(t), structure.functions_py(c), structure.classes_py(c), all_smells(t))
+_PIPE = lambda *parts: "concat_ws('|', " + ", ".join(f"coalesce(({x})::varchar, '-')" for x in parts) + ")"
+_NODE = _PIPE("name", "end_line", "cyclomatic", "nesting", "loc", "array_to_string(parameters, ',')", "return_type", "is_async", "is_static",
+              "CASE WHEN cyclomatic > 15 THEN 'critical' WHEN cyclomatic > 10 THEN 'high' WHEN cyclomatic > 5 THEN 'medium' ELSE 'info' END")
 
 
+@query("report_tree", f"""SELECT project, file_path, 'file' AS part, NULL::int AS line, {_PIPE("regexp_extract(file_path, '([^/]*)$', 1)",
+    "CASE WHEN cyclomatic > 30 OR smells > 10 THEN 'critical' WHEN cyclomatic > 15 OR smells > 5 THEN 'high' WHEN cyclomatic > 8 OR smells > 2 THEN 'medium' ELSE 'info' END",
+    'total_lines', 'cyclomatic', 'cognitive', 'lines_of_code', 'comment_lines', 'blank_lines')} AS item FROM v_report
+  UNION ALL SELECT project, file_path, 'import', NULL, module FROM v_imports_py UNION ALL SELECT project, file_path, 'import', NULL, module FROM v_imports_js
+  UNION ALL SELECT project, file_path, 'class', start_line, {_PIPE('name', 'end_line', 'inheritance_depth', 'method_count')} FROM v_classes_py
+  UNION ALL SELECT project, file_path, CASE WHEN parent_kind = 'class' THEN 'method' ELSE 'function' END, start_line, {_NODE} FROM v_functions_py
+  UNION ALL SELECT project, file_path, 'smell', line_number, {_PIPE('name', 'severity', 'description', 'suggestion')} FROM v_smells""")
+def _(t):
+    """The JSON trees, read back and compared node by node."""
+    return analysis.flat_tree(analysis.report_tree(analysed(t)))

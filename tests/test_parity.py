@@ -22,4 +22,4 @@ def test_query(spark, con, key):
 
 
 def test_only_documented_keys_lack_sql():
-    assert set(QUERIES) - set(ORACLES) == {"report_tree", "similar_pairs_lsh"}
+    assert set(QUERIES) - set(ORACLES) == {"similar_pairs_lsh"}

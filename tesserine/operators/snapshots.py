@@ -58,15 +58,20 @@ def merge_summary(merged: DataFrame, smells: str = "smells") -> DataFrame:
         F.count_if(F.col("origin") == "cache").alias("from_cache"))
 
 
-def reuse_by_hash(files: DataFrame, stored: DataFrame, now: str, ttl_seconds: int) -> tuple[DataFrame, DataFrame]:
-    """(files whose content has a live stored result, files to analyse).
+def reuse_flags(files: DataFrame, stored: DataFrame, now: str, ttl_seconds: int) -> DataFrame:
+    """(project, file_path, sha256, reused): whether a file's content has a live stored result.
 
     ``stored`` has sha256 and created_at; a ttl of 0 never expires.
     """
     live = stored if ttl_seconds == 0 else stored.where(
         F.col("created_at") + F.make_dt_interval(secs=F.lit(ttl_seconds)) >= F.lit(now).cast("timestamp"))
-    hashed, live = file_hash(files), live.select("sha256").distinct()
+    hashed, live = file_hash(files), live.select("sha256").distinct().withColumn("reused", F.lit(True))
     # Each digest is looked up once; copies of one content, however many, are split over tasks.
-    groups = hashed.groupBy("sha256").agg(F.count("*").alias("_n"))
-    rows = lambda how: skew.join_groups(hashed, groups.join(live, "sha256", how), "sha256", "file_path", "_n").select(*hashed.columns)
-    return rows("left_semi"), rows("left_anti")
+    groups = hashed.groupBy("sha256").agg(F.count("*").alias("_n")).join(live, "sha256", "left")
+    return skew.join_groups(hashed, groups, "sha256", "file_path", "_n").select(*hashed.columns, F.coalesce("reused", F.lit(False)).alias("reused"))
+
+
+def reuse_by_hash(files: DataFrame, stored: DataFrame, now: str, ttl_seconds: int) -> tuple[DataFrame, DataFrame]:
+    """(files whose content has a live stored result, files to analyse)."""
+    flags = reuse_flags(files, stored, now, ttl_seconds)
+    return flags.where("reused").drop("reused"), flags.where("NOT reused").drop("reused")

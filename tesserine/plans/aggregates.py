@@ -7,6 +7,8 @@ from pyspark.sql.functions import col
 
 from ..functions import rules as rl
 from ..operators import history, quality, scan, scores, structure
+from ..session import scratch_path
+from ..sources import history_table
 from .base import half_even, query, view
 from .scans import debt_items
 from .structures import report, src
@@ -209,7 +211,10 @@ def _(t):
 
 @query("history_retain", "SELECT id, analysis_type FROM v_hist WHERE timestamp >= TIMESTAMP '2024-01-30 00:00:00' - INTERVAL 10 DAY")
 def _(t):
-    return history.retain(t.hist, "2024-01-30 00:00:00", 10).select("id", "analysis_type")
+    path = scratch_path(t.spark, "history")
+    history_table.append(t.hist.drop("event_id"), path, "all")
+    history_table.retain(t.spark, path, "2024-01-30 00:00:00", 10)
+    return history_table.read(t.spark, path).select("id", "analysis_type")
 
 
 @query("snapshot_deltas", f"""SELECT project_name, event_id, value, lag(value) OVER w AS previous, coalesce(value - lag(value) OVER w, 0.0) AS delta,

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.functions import col
 
-from ..operators import changeset, scores, snapshots, structure
+from ..operators import changeset, results, scores, snapshots, structure
+from ..session import scratch_path
 from ..functions.rules import DIFF_EXTENSIONS
 from .base import q, query, strip, view
 from .structures import report
@@ -38,23 +39,29 @@ def _(t):
     return snapshots.change_status(t.snap_old, t.snap_new)
 
 
+RESULT = "language string, cyclomatic int, smells int, total_lines int"
+
+
 def _metrics(files):
     from ..operators import files as fl
 
     m = structure.file_metrics_py(files).unionByName(structure.file_metrics_js(files)).withColumn("smells", (col("cyclomatic") > 3).cast("int"))
-    return m.select("project", "file_path", fl.language("file_path").alias("language"), "cyclomatic", "smells", "total_lines")
+    return m.select("digest", fl.language("file_path").alias("language"), "cyclomatic", "smells", "total_lines")
 
 
 def merged(t):
-    changes = snapshots.changed_files(t.snap_old, t.snap_new)
-    todo = changes.where(col("status").isin("new", "modified")).select("project", "file_path")
-    fresh = _metrics(t.snap_new.join(todo, ["project", "file_path"], "left_semi"))
-    return snapshots.merge_incremental(_metrics(t.snap_old), fresh, changes)
+    """The old snapshot is analysed into a store of results; the run over the new one takes from it what it can."""
+    path = scratch_path(t.spark, "results")
+    results.create(t.spark, path, "1", RESULT)
+    results.analyse_new(t.snap_old, path, "1", "old", _metrics)
+    return results.incremental(t.snap_new, path, "1", "new", _metrics)
 
 
 # The merge must equal the metrics of the new snapshot, by whichever way each row came.
-view("v_merged", """SELECT m.project, m.file_path, r.language, m.cyclomatic, (m.cyclomatic > 3)::int AS smells, m.total_lines, CASE WHEN c.status IS NULL THEN 'cache' ELSE 'fresh' END AS origin
-  FROM v_file_metrics m JOIN v_snap_new n USING (file_path) JOIN v_report r USING (file_path) LEFT JOIN v_changes c ON c.file_path = m.file_path AND c.status IN ('new', 'modified')""")
+view("v_old_texts", "SELECT DISTINCT lower(regexp_extract(file_path, '(\\.[^./]*)$', 1)) AS ext, content FROM v_snap_old")
+view("v_merged", """SELECT m.project, m.file_path, r.language, m.cyclomatic, (m.cyclomatic > 3)::int AS smells, m.total_lines, CASE WHEN o.content IS NULL THEN 'fresh' ELSE 'cache' END AS origin
+  FROM v_file_metrics m JOIN v_snap_new n USING (file_path) JOIN v_report r USING (file_path)
+  LEFT JOIN v_old_texts o ON o.content = n.content AND o.ext = lower(regexp_extract(n.file_path, '(\\.[^./]*)$', 1))""")
 
 
 @query("merge_incremental", "SELECT project, file_path, language, cyclomatic, smells, total_lines, origin FROM v_merged")
@@ -73,8 +80,7 @@ def _(t):
     age = F.when(col("doc_id") % 3 == 0, F.expr("timestamp'2024-01-01 00:00:00'")).otherwise(F.expr("timestamp'2024-01-01 23:00:00'"))
     ids = t.corpus.select("file_path", "doc_id")
     stored = t.snap_old.join(ids, "file_path").select(F.sha2("content", 256).alias("sha256"), age.alias("created_at"))
-    hit, miss = snapshots.reuse_by_hash(t.snap_new, stored, "2024-01-02 00:00:00", 7200)
-    return hit.select("file_path", F.lit(True).alias("reused")).unionByName(miss.select("file_path", F.lit(False).alias("reused")))
+    return snapshots.reuse_flags(t.snap_new, stored, "2024-01-02 00:00:00", 7200).select("file_path", "reused")
 
 
 # ---- change sets ------------------------------------------------------------

@@ -80,8 +80,3 @@ def history_append(rows: DataFrame, path: str) -> None:
     # Ranges over project and time: narrow min/max statistics per file, and a hot project spans many tasks.
     order = ["analysis_type", "project_name", "timestamp"]
     out.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("append").partitionBy("analysis_type").parquet(path)
-
-
-def history_overwrite(spark: SparkSession, rows: DataFrame, path: str) -> None:
-    """Rewrite only the partitions present in ``rows`` (retention)."""
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("analysis_type").parquet(path)

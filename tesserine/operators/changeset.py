@@ -81,11 +81,13 @@ def recommendation(smells: Column, files_with: Column, additions: Column) -> Col
 
 
 def diff_assessment(diffs: DataFrame, report: DataFrame) -> DataFrame:
-    all_files = diff_files(diffs).groupBy("change_id").agg(
+    """Per change of a project; equal ids in two projects are two changes."""
+    key = ["project", "change_id"]
+    all_files = diff_files(diffs).groupBy(*key).agg(
         F.count("*").alias("total_files"), F.sum("additions").alias("total_additions"), F.sum("deletions").alias("total_deletions"))
-    a = diff_join_metrics(diffs, report).groupBy("change_id").agg(
+    a = diff_join_metrics(diffs, report).groupBy(*key).agg(
         F.count("*").alias("files_analyzed"), F.sum("code_smells").alias("total_code_smells"), F.sum("complexity").alias("total_complexity"),
         F.count_if(F.col("code_smells") > 0).alias("files_with_smells"))
-    j = all_files.join(a, "change_id", "left").na.fill(0)
+    j = all_files.join(a, key, "left").na.fill(0)
     s, x, n = F.col("total_code_smells"), F.col("total_complexity"), F.col("total_additions")
     return j.withColumn("risk_level", risk(s, x, n)).withColumn("recommendation", recommendation(s, F.col("files_with_smells"), n))

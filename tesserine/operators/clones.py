@@ -78,12 +78,18 @@ def _groups(blocks: DataFrame) -> DataFrame:
     return groups.withColumn("pairs", (F.col("copies") * (F.col("copies") - 1) / 2).cast("long"))
 
 
+def _project(blocks: DataFrame) -> Column:
+    """The project of a block, if blocks say it."""
+    return (F.col("project") if "project" in blocks.columns else F.lit(None).cast("string")).alias("project")
+
+
 def duplicates_exact(blocks: DataFrame) -> DataFrame:
-    """Every block that has copies, with its group's first block, size and pair count."""
-    hashed = blocks.select("block_id", F.sha2("content", 256).alias("hash"))
-    many = hashed.groupBy("hash").agg(F.count("*").alias("copies"), F.min("block_id").alias("first_id")).where(F.col("copies") > 1)
+    """Every block that has copies, with its group's first block and that one's project, size and pair count."""
+    hashed = blocks.select("block_id", _project(blocks), F.sha2("content", 256).alias("hash"))
+    many = hashed.groupBy("hash").agg(F.count("*").alias("copies"), F.min(F.struct("block_id", "project")).alias("f")).where(F.col("copies") > 1)
+    many, hashed = many.select("hash", "copies", F.col("f.block_id").alias("first_id"), F.col("f.project").alias("first_project")), hashed.drop("project")
     pairs = (F.col("copies") * (F.col("copies") - 1) / 2).cast("long")
-    return skew.join_groups(hashed, many, "hash", "block_id", "copies").select("hash", "block_id", "first_id", "copies", pairs.alias("pairs"))
+    return skew.join_groups(hashed, many, "hash", "block_id", "copies").select("hash", "block_id", "first_id", "first_project", "copies", pairs.alias("pairs"))
 
 
 def duplication_ratio(blocks: DataFrame) -> DataFrame:
@@ -110,34 +116,34 @@ def shingles(norm: Column) -> Column:
 
 def distinct_contents(blocks: DataFrame) -> DataFrame:
     """One row per normalised content: first block, copies, shingle hashes. Copies combine map-side."""
-    b = blocks.select("block_id", normalize("content").alias("norm"))
-    g = b.groupBy(F.sha2("norm", 256).alias("hash")).agg(F.min("block_id").alias("block_id"), F.count("*").alias("copies"),
+    b = blocks.select("block_id", _project(blocks), normalize("content").alias("norm"))
+    g = b.groupBy(F.sha2("norm", 256).alias("hash")).agg(F.min(F.struct("block_id", "project")).alias("f"), F.count("*").alias("copies"),
                                                          F.any_value("norm").alias("norm"))
-    return g.select("block_id", "copies", shingles(F.col("norm")).alias("shingles")).where(F.size("shingles") > 0)
+    return g.select("f.block_id", "f.project", "copies", shingles(F.col("norm")).alias("shingles")).where(F.size("shingles") > 0)
 
 
 def _copies(contents: DataFrame) -> DataFrame:
     return contents.where(F.col("copies") > 1).select(
         F.col("block_id").alias("block_id1"), F.col("block_id").alias("block_id2"), F.col("copies").alias("copies1"),
         F.col("copies").alias("copies2"), F.lit(1.0).alias("similarity"),
-        (F.col("copies") * (F.col("copies") - 1) / 2).cast("long").alias("pairs"))
+        (F.col("copies") * (F.col("copies") - 1) / 2).cast("long").alias("pairs"), "project")
 
 
 def _verify(candidates: DataFrame, contents: DataFrame, threshold: float) -> DataFrame:
-    a = contents.select(F.col("block_id").alias("block_id1"), F.col("copies").alias("copies1"), F.col("shingles").alias("_a"))
+    a = contents.select(F.col("block_id").alias("block_id1"), F.col("copies").alias("copies1"), F.col("shingles").alias("_a"), "project")
     b = contents.select(F.col("block_id").alias("block_id2"), F.col("copies").alias("copies2"), F.col("shingles").alias("_b"))
     both = F.size(F.array_intersect("_a", "_b"))
     j = candidates.join(a, "block_id1").join(b, "block_id2").withColumn("_s", both / (F.size("_a") + F.size("_b") - both))
     found = j.where(F.col("_s") >= threshold)
     return found.select("block_id1", "block_id2", "copies1", "copies2", F.round("_s", 6).alias("similarity"),
-                        (F.col("copies1") * F.col("copies2")).alias("pairs"))
+                        (F.col("copies1") * F.col("copies2")).alias("pairs"), "project")
 
 
 def similar_pairs(blocks: DataFrame, threshold: float = 0.7, contents: DataFrame | None = None) -> DataFrame:
     """Exact: all pairs of contents with Jaccard >= threshold over token triples.
 
     Two sets that similar share an element among their rarest |x| - ceil(t|x|) + 1, so only
-    those are join keys. A row with block_id1 = block_id2 stands for the copies of one content.
+    those are join keys. A row with block_id1 = block_id2 stands for the copies of one content. ``project`` is that of block_id1.
     """
     contents = distinct_contents(blocks) if contents is None else contents
     sizes = contents.select("block_id", F.size("shingles").alias("n"), F.explode("shingles").alias("sh"))
@@ -198,14 +204,13 @@ def clone_summary(blocks: DataFrame, first: int, threshold: float = 0.7) -> Data
     sim = cut_lineage(similar_pairs(blocks, threshold, cut_lineage(distinct_contents(blocks))))
     cols = ["kind", "block_id1", "block_id2", "similarity", "pairs"]
     none = F.lit(None).cast("string")
-    project = lambda c: F.substring_index(c, ":", 1)
     count = lambda df, kind, c: df.agg(F.coalesce(F.sum(c), F.lit(0)).alias("pairs")).select(
         F.lit(kind).alias("kind"), none.alias("block_id1"), none.alias("block_id2"), F.lit(None).cast("double").alias("similarity"), "pairs")
     dup = (duplicates_exact(blocks).where(F.col("block_id") != F.col("first_id"))
-           .transform(lambda d: first_per(d.withColumn("project", project("first_id")), "project", ["first_id", "block_id"], first))
+           .transform(lambda d: first_per(d, "first_project", ["first_id", "block_id"], first))
            .select(F.lit("duplicate").alias("kind"), F.col("first_id").alias("block_id1"), F.col("block_id").alias("block_id2"),
                    F.lit(1.0).alias("similarity"), F.lit(1).cast("long").alias("pairs")))
-    top = (first_per(sim.withColumn("project", project("block_id1")), "project", [F.col("similarity").desc(), "block_id1", "block_id2"], first)
+    top = (first_per(sim, "project", [F.col("similarity").desc(), "block_id1", "block_id2"], first)
            .select(F.lit("similar").alias("kind"), "block_id1", "block_id2", "similarity", "pairs"))
     return (count(g, "total_blocks", "copies").unionByName(count(g, "duplicate_pairs", "pairs")).unionByName(count(sim, "similar_pairs", "pairs"))
             .unionByName(dup).unionByName(top).select(*cols))

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -33,8 +33,8 @@ def read(spark: SparkSession, path: str, version: str) -> DataFrame:
     return spark.read.parquet(f"{path}/{version}")
 
 
-def _bitmap(paths: DataFrame):
-    """A test whether a row's (project, file_path) may be among ``paths``."""
+def may_be_among(paths: DataFrame) -> Column:
+    """A test whether a row's (project, file_path) may be among ``paths``, to be followed by a join: it sorts out texts where they are read."""
     place = F.pmod(F.xxhash64("project", "file_path"), F.lit(1 << BITMAP))
     cells = paths.select(place.alias("p")).groupBy(F.expr("p div 8").alias("cell")).agg(F.bit_or(F.expr("shiftleft(1, int(p % 8))")).alias("bits")).collect()  # at most 2^(BITMAP - 3) rows
     bits = bytearray(1 << BITMAP - 3)
@@ -54,7 +54,7 @@ def analyse_new(files: DataFrame, path: str, version: str, run: str, analyse: Ca
     known = read(spark, path, version)
     first = hashed.groupBy("digest").agg(F.min(F.struct("project", "file_path")).alias("f"))  # copies are analysed once
     missing = stored(first.join(known.select("digest"), "digest", "left_anti").select("f.project", "f.file_path", "digest"), "missing")
-    texts = files.select("project", "file_path", "content").where(_bitmap(missing)).join(missing, ["project", "file_path"])
+    texts = files.select("project", "file_path", "content").where(may_be_among(missing)).join(missing, ["project", "file_path"])
     analyse(texts).withColumn("run", F.lit(run)).select(*known.columns).write.mode("append").parquet(f"{path}/{version}")
     return hashed
 

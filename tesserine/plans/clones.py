@@ -63,7 +63,7 @@ def _(t):
 
 @query("duplicates_exact", "SELECT g.hash, b.block_id, g.first_id, g.copies, g.pairs FROM v_groups g JOIN v_blocks b ON sha256(b.content) = g.hash WHERE g.copies > 1")
 def _(t):
-    return clones.duplicates_exact(blocks(t))
+    return clones.duplicates_exact(blocks(t)).drop("first_project")
 
 
 def contents(t):
@@ -73,12 +73,12 @@ def contents(t):
 
 @query("similar_pairs", "SELECT block_id1, block_id2, copies1, copies2, similarity, pairs FROM v_similar")
 def _(t):
-    return clones.similar_pairs(blocks(t), contents=contents(t))
+    return clones.similar_pairs(blocks(t), contents=contents(t)).drop("project")
 
 
 @query("similar_pairs_lsh")
 def _(t):
-    return clones.similar_pairs_lsh(blocks(t), contents=contents(t))
+    return clones.similar_pairs_lsh(blocks(t), contents=contents(t)).drop("project")
 
 
 _W = lambda x: f"list_distinct(regexp_extract_all({x}, '[\\p{{L}}\\p{{N}}_]+'))"

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.functions import col
 
-from ..operators import changeset, results, scores, snapshots, structure
-from ..session import scratch_path
+from ..operators import analysis, changeset, results, scores, snapshots, structure
+from ..session import scratch_path, stored
 from ..functions.rules import DIFF_EXTENSIONS
 from .base import q, query, strip, view
-from .structures import report
+from .structures import src
 
 
 @query("file_hash", "SELECT project, file_path, sha256(content) AS sha256 FROM v_corpus")
@@ -79,8 +79,8 @@ def _(t):
     """Stored results are an hour old, those of every third document a day; the TTL is two hours."""
     age = F.when(col("doc_id") % 3 == 0, F.expr("timestamp'2024-01-01 00:00:00'")).otherwise(F.expr("timestamp'2024-01-01 23:00:00'"))
     ids = t.corpus.select("file_path", "doc_id")
-    stored = t.snap_old.join(ids, "file_path").select(F.sha2("content", 256).alias("sha256"), age.alias("created_at"))
-    return snapshots.reuse_flags(t.snap_new, stored, "2024-01-02 00:00:00", 7200).select("file_path", "reused")
+    known = t.snap_old.join(ids, "file_path").select(F.sha2("content", 256).alias("sha256"), age.alias("created_at"))
+    return snapshots.reuse_flags(t.snap_new, known, "2024-01-02 00:00:00", 7200).select("file_path", "reused")
 
 
 # ---- change sets ------------------------------------------------------------
@@ -114,31 +114,37 @@ def _(t):
 
 view("v_djoin", f"""SELECT d.*, r.functions, r.classes, r.smells AS code_smells, r.cyclomatic AS complexity FROM v_dfiles d JOIN v_report r USING (project, file_path)
   WHERE change_type <> 'deleted' AND regexp_extract(d.file_path, '(\\.[^./]*)$', 1) IN ({', '.join(q(e) for e in DIFF_EXTENSIONS)})""")
-view("v_assess", """SELECT a.change_id, total_files, total_additions, total_deletions, coalesce(n, 0) AS files_analyzed, coalesce(s, 0) AS total_code_smells, coalesce(c, 0) AS total_complexity, coalesce(w, 0) AS files_with_smells FROM (
-   SELECT change_id, count(*) AS total_files, sum(additions)::bigint AS total_additions, sum(deletions)::bigint AS total_deletions FROM v_dfiles GROUP BY 1) a LEFT JOIN (
-   SELECT change_id, count(*) AS n, sum(code_smells)::bigint AS s, sum(complexity)::bigint AS c, count(*) FILTER (code_smells > 0) AS w FROM v_djoin GROUP BY 1) b USING (change_id)""")
-_A = ["change_id", "total_files", "total_additions", "total_deletions", "files_analyzed", "total_code_smells", "total_complexity", "files_with_smells"]
+view("v_assess", """SELECT a.project, a.change_id, total_files, total_additions, total_deletions, coalesce(n, 0) AS files_analyzed, coalesce(s, 0) AS total_code_smells, coalesce(c, 0) AS total_complexity, coalesce(w, 0) AS files_with_smells FROM (
+   SELECT project, change_id, count(*) AS total_files, sum(additions)::bigint AS total_additions, sum(deletions)::bigint AS total_deletions FROM v_dfiles GROUP BY 1, 2) a LEFT JOIN (
+   SELECT project, change_id, count(*) AS n, sum(code_smells)::bigint AS s, sum(complexity)::bigint AS c, count(*) FILTER (code_smells > 0) AS w FROM v_djoin GROUP BY 1, 2) b USING (project, change_id)""")
+def changed_report(t):
+    """The report of the files that the changes name; the others are sorted out where they are read."""
+    named = stored(changeset.diff_files(t.difftext).select("project", "file_path").distinct(), "changed")
+    return analysis.report(analysis.analysed(src(t).where(results.may_be_among(named))))
+
+
+_A = ["project", "change_id", "total_files", "total_additions", "total_deletions", "files_analyzed", "total_code_smells", "total_complexity", "files_with_smells"]
 
 
 @query("diff_join_metrics", "SELECT project, change_id, file_path, change_type, additions, deletions, functions, classes, code_smells, complexity FROM v_djoin")
 def _(t):
-    return changeset.diff_join_metrics(t.difftext, report(t)).select("project", "change_id", "file_path", "change_type", "additions", "deletions", "functions", "classes", "code_smells", "complexity")
+    return changeset.diff_join_metrics(t.difftext, changed_report(t)).select("project", "change_id", "file_path", "change_type", "additions", "deletions", "functions", "classes", "code_smells", "complexity")
 
 
 @query("diff_assessment", f"SELECT {', '.join(_A)} FROM v_assess")
 def _(t):
-    return changeset.diff_assessment(t.difftext, report(t)).select(*_A)
+    return changeset.diff_assessment(t.difftext, changed_report(t)).select(*_A)
 
 
-@query("diff_risk", """SELECT change_id, CASE WHEN total_additions = 0 THEN 'low' WHEN total_code_smells / (total_additions / 50) > 3 OR total_complexity / (total_additions / 50) > 15 THEN 'high'
+@query("diff_risk", """SELECT project, change_id, CASE WHEN total_additions = 0 THEN 'low' WHEN total_code_smells / (total_additions / 50) > 3 OR total_complexity / (total_additions / 50) > 15 THEN 'high'
   WHEN total_code_smells / (total_additions / 50) > 1.5 OR total_complexity / (total_additions / 50) > 8 THEN 'medium' ELSE 'low' END AS risk_level FROM v_assess""")
 def _(t):
-    return changeset.diff_assessment(t.difftext, report(t)).select("change_id", "risk_level")
+    return changeset.diff_assessment(t.difftext, changed_report(t)).select("project", "change_id", "risk_level")
 
 
-@query("diff_recommendation", """SELECT change_id, CASE WHEN total_additions = 0 THEN 'No code additions in this PR.' ELSE CASE WHEN total_code_smells = 0 THEN 'No code smells detected in changed files.'
+@query("diff_recommendation", """SELECT project, change_id, CASE WHEN total_additions = 0 THEN 'No code additions in this PR.' ELSE CASE WHEN total_code_smells = 0 THEN 'No code smells detected in changed files.'
   WHEN total_code_smells <= 3 THEN 'Minor issues: ' || total_code_smells || ' code smell(s) in ' || files_with_smells || ' file(s). Consider quick review.'
   ELSE 'Significant issues: ' || total_code_smells || ' code smell(s) in ' || files_with_smells || ' file(s). Thorough review recommended.' END ||
   CASE WHEN total_additions > 500 THEN ' Large PR (>500 additions). Consider splitting into smaller PRs.' ELSE '' END END AS recommendation FROM v_assess""")
 def _(t):
-    return changeset.diff_assessment(t.difftext, report(t)).select("change_id", "recommendation")
+    return changeset.diff_assessment(t.difftext, changed_report(t)).select("project", "change_id", "recommendation")

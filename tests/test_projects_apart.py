@@ -1,5 +1,7 @@
 """Projects with the same relative paths stay apart, and lists are per project."""
 
+from pyspark.sql import functions as F
+
 from tesserine.functions import rules as rl
 from tesserine.operators import changeset, clones, files as fl, graph, plugins, projects, scan, scores
 
@@ -35,6 +37,15 @@ def test_a_change_meets_its_own_project_only(spark):
     report = spark.createDataFrame([(p, "setup.py", 1, 0, 2, 3) for p in ("p1", "p2", "p3")], "project string, file_path string, functions int, classes int, smells int, cyclomatic int")
     row = changeset.diff_assessment(diffs, report).first()
     assert (row.files_analyzed, row.total_code_smells) == (1, 2)
+    both = diffs.unionByName(spark.createDataFrame([("p2", "c1", diff + diff.replace("setup", "other"))], diffs.schema))
+    assert {(r.project, r.change_id, r.total_files) for r in changeset.diff_assessment(both, report).collect()} == {("p1", "c1", 1), ("p2", "c1", 2)}
+
+
+def test_copies_of_projects_with_colons_in_their_names(spark):
+    files = spark.createDataFrame([(p, f"src/{n}.py", CODE) for p in ("https://a/x", "https://b/y") for n in "mn"], "project string, file_path string, content string")
+    own = files.withColumn("content", F.concat("content", F.lit("\n"), "project"))
+    top = clones.clone_summary(clones.blocks_sliding(own, 7), 1).where("kind = 'duplicate'").collect()
+    assert {r.block_id1 for r in top} == {"https://a/x:src/m.py:1", "https://b/y:src/m.py:1"}
 
 
 def test_lists_are_per_project(spark):

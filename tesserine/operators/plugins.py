@@ -93,12 +93,16 @@ class LanguageAnalyzers:
     def __init__(self, spark: SparkSession) -> None:
         self._spark, self._names = spark, {}
 
-    def register(self, language: str, udtf) -> None:
+    def register(self, language: str, udtf, batches: bool = False) -> None:
+        """``batches``: an Arrow UDTF over record batches of project, file_path and content, which returns its rows with the first two. Others get one text at a time."""
         name = f"analyze_{language}"
         self._spark.udtf.register(name, udtf)
-        self._names[language] = name
+        self._names[language] = name, batches
 
     def run(self, files: DataFrame, language: str) -> DataFrame:
         """Rows of the analyser for each file of the language."""
-        sub = files.where(fl.language("file_path") == language)
-        return self._spark.sql(f"SELECT f.project, f.file_path, r.* FROM {{files}} f, LATERAL {self._names[language]}(f.content) r", files=sub)
+        sub = files.where(fl.language("file_path") == language).select("project", "file_path", "content")
+        name, batches = self._names[language]
+        if batches:
+            return self._spark.sql(f"SELECT * FROM {name}(TABLE(SELECT * FROM {{files}}))", files=sub)
+        return self._spark.sql(f"SELECT f.project, f.file_path, r.* FROM {{files}} f, LATERAL {name}(f.content) r", files=sub)

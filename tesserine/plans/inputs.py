@@ -189,16 +189,22 @@ def _(t):
 
 
 def plugins_udtf(t):
-    from pyspark.sql.functions import udtf
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+    from pyspark.sql.functions import arrow_udtf
 
-    @udtf(returnType="lines bigint, longest int")
+    @arrow_udtf(returnType="project string, file_path string, lines bigint, longest int")
     class LineLengths:
-        def eval(self, content: str):
-            lines = content.split("\n")
-            yield len(lines), max(len(x.strip()) for x in lines)
+        def eval(self, batch: pa.RecordBatch):
+            lines = pc.split_pattern(batch.column("content"), "\n")
+            sizes = pc.utf8_length(pc.utf8_trim(lines.flatten(), characters=tx.WS)).to_numpy(zero_copy_only=False)
+            n = pc.list_value_length(lines).to_numpy(zero_copy_only=False)
+            longest = np.maximum.reduceat(sizes, np.append(0, np.cumsum(n)[:-1])) if len(n) else sizes
+            yield pa.table({"project": batch.column("project"), "file_path": batch.column("file_path"), "lines": pa.array(n, pa.int64()), "longest": pa.array(longest, pa.int32())})
 
     reg = plugins.LanguageAnalyzers(t.spark)
-    reg.register("go", LineLengths)
+    reg.register("go", LineLengths, batches=True)
     return reg.run(t.corpus, "go")
 
 
@@ -228,8 +234,8 @@ _WIN = "time_bucket(INTERVAL 1 DAY, ts, TIMESTAMP '2000-01-01')"
 
 
 @query("stream_trend", f"""SELECT strftime({_WIN}, '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*) AS points, round(avg(value), 6) AS mean FROM events
-  GROUP BY {_WIN}, event_type HAVING {_WIN} + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""")
+  GROUP BY {_WIN}, event_type""")
 def _(t):
     ev = streams.read_stream(t.spark, t.sf_dir, "events", t.table("events").schema)
-    out = streams.drain(streams.trend_windows(ev.withColumn("ts", col("ts").cast("timestamp"))))
+    out = streams.drain_windows(ev.withColumn("ts", col("ts").cast("timestamp")), streams.trend_windows)
     return out.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "event_type", "points", "mean")

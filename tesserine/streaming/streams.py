@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -29,6 +29,29 @@ def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out)
 
 
+#: Later than any event. Its row only moves the watermark.
+END = "9000-01-01 00:00:00"
+
+
+def drain_windows(events: DataFrame, windows: Callable[[DataFrame], DataFrame], time: str = "ts") -> DataFrame:
+    """Process what is there, and close the windows that are still open at the end.
+
+    The stream is joined by a second one that is empty at first. When the input is drained it gets one row far in the future, which takes the watermark past all windows,
+    and the query goes on from its checkpoint. ``windows`` must be over a watermark on ``time`` and have a column window_start.
+    """
+    spark = events.sparkSession
+    bell, out, mark = (scratch_path(spark, f"stream-{x}") for x in ("bell", "out", "mark"))
+    spark.createDataFrame([], events.schema).write.parquet(bell)
+    result = windows(events.unionByName(spark.readStream.schema(events.schema).parquet(bell)))
+    for last in (False, True):
+        if last:
+            kinds = {f.name: f.dataType for f in events.schema}
+            spark.range(1).select(*(F.lit(END if c == time else None).cast(k).alias(c) for c, k in kinds.items())).write.mode("append").parquet(bell)
+        q = (result.writeStream.format("parquet").outputMode("append").option("path", out).option("checkpointLocation", mark).trigger(availableNow=True).start())
+        q.awaitTermination()
+    return spark.read.schema(result.schema).parquet(out).where(F.col("window_start") < F.lit(END).cast("timestamp"))
+
+
 def stream_scan(files: DataFrame, rules: list[Rule]) -> DataFrame:
     """The batch scan, unchanged: it is stateless and file-local."""
     return scan.scan_lines(files, rules)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,6 +80,22 @@ def rules_config_export(rules: DataFrame, builtins: DataFrame) -> DataFrame:
         pick(F.col("_builtin").isNull(), F.struct(*builtins.columns)).alias("custom_rules"))).alias("config_json"))
 
 
+def rules_config_save(exported: DataFrame, path: str) -> None:
+    """Write an exported configuration as text, to whatever store the path names."""
+    exported.select("config_json").coalesce(1).write.mode("overwrite").text(path)
+
+
+def rules_config_load(spark: SparkSession, path: str) -> dict:
+    """The configuration for ``rules_config_apply``; a path that is not there is an empty one."""
+    try:
+        found = spark.read.option("wholetext", True).text(path).collect()  # one row: a table of rules
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return {}
+    return json.loads("".join(r.value for r in found) or "{}")
+
+
 def threshold_violations(values: DataFrame, rules: DataFrame) -> DataFrame:
     """``values`` has a ``rule_id`` and a ``value``; a null threshold never fires."""
     r = rules.where("enabled AND threshold IS NOT NULL").select(

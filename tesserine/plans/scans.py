@@ -8,6 +8,7 @@ from pyspark.sql.functions import col
 from ..functions import rules as rl
 from ..operators import files as fl
 from ..operators import ruleset, scan, scores, structure
+from ..session import scratch_path
 from .base import lang, q, query, re2, view
 
 CONFIG = {
@@ -81,9 +82,12 @@ def _(t):
   '}},"custom_rules":[{{"rule_id":"CUSTOM001","name":"Many Comments","description":"d","category":"maintainability","severity":"low","language":"all","enabled":true,"threshold":8,"suggestion":"s","tags":["x"]}}]}}' AS config_json,
   (SELECT sum(violations)::bigint FROM {_FIRED.format(r='v_rules_cfg')}) AS violations""")
 def _(t):
-    r = _effective(t)
-    n = _fired(t, r).agg(F.sum("violations").alias("violations"))
-    return ruleset.rules_config_export(r, ruleset.builtin(t.spark)).select("config_json", n.scalar().alias("violations"))
+    """The export, and what the rules find that are made from it when it is read back."""
+    builtin, path = ruleset.builtin(t.spark), scratch_path(t.spark, "rules")
+    out = ruleset.rules_config_export(_effective(t), builtin)
+    ruleset.rules_config_save(out, path)
+    n = _fired(t, ruleset.rules_config_apply(builtin, ruleset.rules_config_load(t.spark, path))).agg(F.sum("violations").alias("violations"))
+    return out.select("config_json", n.scalar().alias("violations"))
 
 
 @query("rule_language_match", f"""SELECT file_path, rule_id FROM v_corpus, (VALUES {', '.join(f"({q(r.rule_id)}, [{', '.join(q('.' + x) for x in r.languages)}])" for r in rl.SECURITY)}) r(rule_id, exts)

@@ -125,6 +125,18 @@ def test_rule_config(spark):
     assert ruleset.custom_rules_remove(b, ["SEC001"]).count() == 12
 
 
+def test_rule_config_read_back(spark):
+    from tesserine.session import scratch_path
+
+    b = ruleset.builtin(spark)
+    changed = ruleset.rules_config_apply(b, {"disabled_rules": ["COMPLEX001"], "thresholds": {"COMPLEX002": 99}, "custom_rules": [{"rule_id": "C1", "name": "zwölf", "threshold": 1, "tags": ["a"]}]})
+    path = scratch_path(spark, "rules")
+    ruleset.rules_config_save(ruleset.rules_config_export(changed, b), path)
+    again = ruleset.rules_config_apply(b, ruleset.rules_config_load(spark, path))
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, changed.collect()))
+    assert ruleset.rules_config_load(spark, scratch_path(spark, "nothing")) == {}
+
+
 def test_search_and_globs(files):
     f = files({"src/a.py": "one\ntwo\nthree\nfour", "b.txt": "two"})
     r = scan.pattern_search(f, "two|four", before=1, after=1, include="src/**").orderBy("line_number").collect()

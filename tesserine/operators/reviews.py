@@ -15,6 +15,17 @@ BULLET_KINDS = {
     "framework": dict(heads=["建议", "推荐", "注意", "建议升级", "推荐路径"], marks=["-", "•", "*", "1.", "2.", "3.", "4.", "5."], lead="-•*12345. ", over=5, patient=True, fold=True),
 }
 
+# FIXED VALUES: patterns of scores, version changes, steps and deployment fields, and the words of risk levels.
+SCORE = r"(\d+)[\s/]*10"
+UPGRADE = r"([A-Za-z]+)\s+(\d+[.\d]*)\s*(?:->|to|升级到)\s*(\d+[.\d]*)"
+STEP = r"(?:步骤|step)\s*\d+[:：]?\s*([^\n]+)"
+RISKS = [("低风险", "low risk", "低"), ("高风险", "high risk", "高"), ("中风险", "medium risk", "中")]
+BASE_IMAGE = [r"FROM\s+([a-z0-9/_:.:-]+)", r"(?:基础镜像|推荐镜像)[:：\s]*([a-z0-9/_:.:-]+)"]
+PORT = [r"EXPOSE\s*(\d+)", r"(?:端口|PORT)[:：\s]*(\d+)"]
+DATABASE = "(数据库|mysql|postgres|mongodb)"
+MULTI_STAGE = "(多阶段构建|multi-stage)"
+TARGET_SIZE = [r"(?:镜像大小|目标)[:：\s]*(?:<?\s*)?(\d+(?:-\d+)?\s*MB)"]
+
 
 def _any(tests: list[Column]) -> Column:
     out = tests[0]
@@ -47,13 +58,12 @@ def review_bullets(reviews: DataFrame) -> DataFrame:
 
 
 def review_score(reviews: DataFrame) -> DataFrame:
-    raw = F.regexp_extract("text", tx.regex(r"(\d+)[\s/]*10"), 1)
+    raw = F.regexp_extract("text", tx.regex(SCORE), 1)
     return reviews.select("conv_id", "turn", raw.try_cast("int").alias("score"))
 
 
 def upgrade_triples(reviews: DataFrame) -> DataFrame:
-    rx = r"(?i)([A-Za-z]+)\s+(\d+[.\d]*)\s*(?:->|to|升级到)\s*(\d+[.\d]*)"
-    g = [F.regexp_extract_all("text", F.lit(rx), F.lit(i)) for i in (1, 2, 3)]
+    g = [F.regexp_extract_all("text", F.lit("(?i)" + UPGRADE), F.lit(i)) for i in (1, 2, 3)]
     z = F.transform(F.sequence(F.lit(1), F.size("_n")), lambda i: F.struct(
         i.alias("match_no"), F.element_at("_n", i).alias("name"), F.element_at("_f", i).alias("current_version"), F.element_at("_t", i).alias("recommended_version")))
     base = reviews.select("conv_id", "turn", g[0].alias("_n"), g[1].alias("_f"), g[2].alias("_t")).where(F.size("_n") > 0)
@@ -61,23 +71,19 @@ def upgrade_triples(reviews: DataFrame) -> DataFrame:
 
 
 def upgrade_steps(reviews: DataFrame) -> DataFrame:
-    steps = F.regexp_extract_all("text", F.lit(r"(?i)(?:步骤|step)\s*\d+[:：]?\s*([^\n]+)"), F.lit(1))
+    steps = F.regexp_extract_all("text", F.lit("(?i)" + STEP), F.lit(1))
     return reviews.select("conv_id", "turn", F.posexplode(steps).alias("p", "s")).select(
         "conv_id", "turn", (F.col("p") + 1).alias("step_no"), tx.strip(F.col("s")).alias("step"))
 
 
 def risk_keywords(reviews: DataFrame) -> DataFrame:
     low = F.lower("text")
-    has = lambda zh, en: F.contains(F.col("text"), F.lit(zh)) | F.contains(low, F.lit(en))
-    r = F.when(has("低风险", "low risk"), "低").when(has("高风险", "high risk"), "高").when(has("中风险", "medium risk"), "中")
+    r = F.coalesce(*[F.when(F.contains(F.col("text"), F.lit(word)) | F.contains(low, F.lit(english)), level) for word, english, level in RISKS])
     return reviews.select("conv_id", "turn", r.alias("risk_level"))
 
 
 def strategy_fields(reviews: DataFrame) -> DataFrame:
     pick = lambda *rxs: F.coalesce(*[F.nullif(F.regexp_extract("text", "(?i)" + rx, 1), F.lit("")) for rx in rxs])
     hit = lambda rx: F.col("text").rlike("(?i)" + rx)
-    return reviews.select(
-        "conv_id", "turn", pick(r"FROM\s+([a-z0-9/_:.:-]+)", r"(?:基础镜像|推荐镜像)[:：\s]*([a-z0-9/_:.:-]+)").alias("base_image"),
-        pick(r"EXPOSE\s*(\d+)", r"(?:端口|PORT)[:：\s]*(\d+)").try_cast("int").alias("port"),
-        hit("(数据库|mysql|postgres|mongodb)").alias("needs_database"), hit("(多阶段构建|multi-stage)").alias("multi_stage"),
-        pick(r"(?:镜像大小|目标)[:：\s]*(?:<?\s*)?(\d+(?:-\d+)?\s*MB)").alias("target_size"))
+    return reviews.select("conv_id", "turn", pick(*BASE_IMAGE).alias("base_image"), pick(*PORT).try_cast("int").alias("port"),
+                          hit(DATABASE).alias("needs_database"), hit(MULTI_STAGE).alias("multi_stage"), pick(*TARGET_SIZE).alias("target_size"))

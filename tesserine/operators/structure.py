@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 
+# FIXED VALUES: keywords that count, and the pattern of a header line.
 CONTROL = ["if", "elif", "for", "while", "except"]  # raise cyclomatic complexity
 COUNTED = ["if", "elif", "for", "while", "with"]
 NESTING = ["if", "elif", "else", "for", "while", "with"]
@@ -194,7 +195,7 @@ def classes_py(files: DataFrame) -> DataFrame:
         (F.col("c.end_line") - F.col("c.start_line") + 1).alias("loc"))
 
 
-# Brace languages, line by line.
+# FIXED VALUES: patterns of brace languages, line by line.
 JS_FUNCTIONS = [r"(?:async\s+)?function\s+(\w+)\s*\(", r"(?:async\s+)?(\w+)\s*\([^)]*\)\s*\{",
                 r"(?:async\s+)?(\w+)\s*:\s*(?:async\s+)?\([^)]*\)\s*=>"]
 JS_CLASS = r"class\s+(\w+)"
@@ -256,6 +257,7 @@ def imports_py(files: DataFrame) -> DataFrame:
     return python_code(files).select(*keep, F.explode(py_imports("content")).alias("r")).select(*keep, "r.*")
 
 
+# FIXED VALUES: lines that branch.
 PY_BRANCH = r"^\s*(if|elif|for|while|except)\b"
 
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 from functools import cache
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -182,6 +183,28 @@ def _costs() -> Column:
         F.filter(all_, lambda x: (x["owner_kind"] == s["kind"]) & (x["line_number"] == s["line_start"])), F.lit(0), lambda a, x: a + off(x["severity"])).alias("off"))))
 
 
+def hotspots(files: DataFrame, n: int, n_nested: int) -> DataFrame:
+    """Per project: the n most complex functions, the n longest classes, the first n_nested places of deep nesting; one scan and one exchange."""
+    item = lambda kind, line, name, value: F.struct(F.lit(kind).alias("kind"), line.alias("line_number"), name.alias("name"), value.cast("int").alias("value"))
+    of = lambda c: F.coalesce(c, F.array())
+    rows = F.concat(of(F.transform("functions", lambda f: item("function", f["start_line"], f["name"], f["cyclomatic"]))), of(F.transform("classes", lambda c: item("class", c["start_line"], c["name"], c["loc"]))),
+                    F.transform(F.filter("smells", lambda s: F.contains(s["name"], F.lit("Deep Nesting"))), lambda s: item("deep_nesting", s["line_number"], s["owner"], F.lit(None))))
+    flat = tx.one_each(files, rows, "r", "project", "file_path").select("project", "file_path", "r.*")
+    place = F.row_number().over(W.partitionBy("project", "kind").orderBy(F.col("value").desc(), "file_path", "line_number"))
+    top = flat.withColumn("place", place).where(F.col("place") <= max(n, n_nested))
+    return top.where(F.col("place") <= F.when(F.col("kind") == "deep_nesting", n_nested).otherwise(n)).select("project", "kind", "file_path", "line_number", "name", "value")
+
+
+def quality_metrics(files: DataFrame) -> DataFrame:
+    """Per project: mean function complexity, smells and lines summed, defaults elsewhere."""
+    counted = files.select("project", F.size("smells").cast("long").alias("smells"), "lines_of_code", F.coalesce(F.filter(F.transform("functions", lambda f: f["cyclomatic"]), lambda x: x > 0), F.array().cast("array<int>")).alias("cc"))
+    counted = counted.select("project", "smells", "lines_of_code", F.size("cc").cast("long").alias("n"), F.aggregate("cc", F.lit(0).cast("long"), lambda a, x: a + x).alias("cc"))
+    zero = lambda name: F.lit(0.0).alias(name)
+    sums = counted.groupBy("project").agg(F.sum("smells").alias("code_smells"), F.sum("lines_of_code").alias("lines_of_code"), F.sum("n").alias("n"), F.sum("cc").alias("cc"))
+    return sums.select("project", F.coalesce(F.try_divide("cc", "n"), F.lit(0.0)).alias("cyclomatic_complexity"), zero("cognitive_complexity"), "code_smells", zero("duplication_ratio"), zero("test_coverage"),
+                       zero("documentation_ratio"), "lines_of_code", F.lit(75.0).alias("maintainability_index"), zero("technical_debt"))
+
+
 def heatmap_rows(files: DataFrame) -> DataFrame:
     """Per file: metrics, ratio of comments to code, and its functions as an array."""
     fn = F.transform(F.array_sort("functions"), lambda f: F.struct(*[f[c].alias(c) for c in ("start_line", "name", "end_line", "cyclomatic", "nesting", "loc")], F.size(f["parameters"]).alias("params")))

@@ -6,12 +6,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import col
 
 from ..functions import rules as rl
-from ..operators import history, quality, scan, scores, structure
+from ..operators import analysis, history, quality, scan, scores
 from ..session import scratch_path
 from ..sources import history_table
 from .base import half_even, query, view
 from .scans import debt_items
-from .structures import report, src
+from .structures import analysed, src
 
 
 def _security(t):
@@ -141,7 +141,7 @@ def _(t):
   SELECT project, sum(smells)::bigint AS code_smells, sum(lines_of_code)::bigint AS lines_of_code FROM v_report GROUP BY 1) r
   LEFT JOIN (SELECT project, round(avg(cyclomatic), 6) AS cc FROM v_functions_py WHERE cyclomatic > 0 GROUP BY 1) f USING (project)""")
 def _(t):
-    m = quality.metrics_extract(report(t), structure.functions_py(src(t)))
+    m = analysis.quality_metrics(analysed(t))
     return m.select("project", F.round("cyclomatic_complexity", 6).alias("cyclomatic_complexity"), "code_smells", "lines_of_code", "maintainability_index")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql.functions import col
 from ..functions import rules as rl
 from ..functions import text as tx
 from ..operators import files as fl
-from ..operators import graph, history, plugins, scan, scores, smells, structure
+from ..operators import graph, plugins, scan, scores, smells, structure
 from ..operators import ruleset
 from ..session import scratch_path
 from ..sources import history_table, io

@@ -164,7 +164,7 @@ def _(t):
   UNION ALL SELECT project, 'class', file_path, start_line, name, loc::int, row_number() OVER (PARTITION BY project ORDER BY loc DESC, file_path, start_line) <= 5 FROM v_classes_py
   UNION ALL SELECT project, 'deep_nesting', file_path, line_number, owner, NULL::int, row_number() OVER (PARTITION BY project ORDER BY file_path, line_number) <= 3 FROM v_smells WHERE name = 'Deep Nesting') WHERE top""")
 def _(t):
-    return scores.complexity_hotspots(structure.functions_py(src(t)), structure.classes_py(src(t)), all_smells(t), 5, 3)
+    return analysis.hotspots(analysed(t), 5, 3)
 
 
 @query("smells_top10", """SELECT project, name, severity, file_path, line_number, description FROM (SELECT *, row_number() OVER (PARTITION BY project

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,11 +37,10 @@ def read(spark: SparkSession, path: str, version: str) -> DataFrame:
 def may_be_among(paths: DataFrame) -> Column:
     """A test whether a row's (project, file_path) may be among ``paths``, to be followed by a join: it sorts out texts where they are read."""
     place = F.pmod(F.xxhash64("project", "file_path"), F.lit(1 << BITMAP))
-    cells = paths.select(place.alias("p")).groupBy(F.expr("p div 8").alias("cell")).agg(F.bit_or(F.expr("shiftleft(1, int(p % 8))")).alias("bits")).collect()  # at most 2^(BITMAP - 3) rows
-    bits = bytearray(1 << BITMAP - 3)
-    for c in cells:
-        bits[c.cell] = c.bits
-    byte = F.conv(F.hex(F.substring(F.lit(bytes(bits)), F.shiftright(place, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    cells = paths.select(place.alias("p")).groupBy(F.expr("p div 8").alias("cell")).agg(F.bit_or(F.expr("shiftleft(1, int(p % 8))")).alias("bits")).toArrow()  # at most 2^(BITMAP - 3) rows
+    bits = np.zeros(1 << BITMAP - 3, np.uint8)
+    bits[cells["cell"].to_numpy()] = cells["bits"].to_numpy()
+    byte = F.conv(F.hex(F.substring(F.lit(bits.tobytes()), F.shiftright(place, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     return F.call_function("getbit", byte, (place % 8).cast("int")) == 1
 
 

@@ -71,9 +71,9 @@ FILTER = 27
 def name_filter(symbols: DataFrame) -> np.ndarray:
     """A bitmap of fixed size with the checksums of all symbol names and their projects."""
     place = F.shiftright(F.crc32(F.encode(F.concat_ws("\0", F.coalesce("project", F.lit("")), "name"), "UTF-8")), 32 - FILTER)
-    bits = symbols.select(place.alias("p")).groupBy(F.shiftright("p", 5).alias("cell")).agg(F.bit_or(F.expr("shiftleft(1L, int(p % 32))")).alias("bits")).collect()  # at most 2^(FILTER - 5) rows
+    bits = symbols.select(place.alias("p")).groupBy(F.shiftright("p", 5).alias("cell")).agg(F.bit_or(F.expr("shiftleft(1L, int(p % 32))")).alias("bits")).toArrow()  # at most 2^(FILTER - 5) rows
     out = np.zeros(1 << FILTER - 5, np.uint32)
-    out[[r.cell for r in bits]] = [r.bits for r in bits]
+    out[bits["cell"].to_numpy()] = bits["bits"].to_numpy().astype(np.uint32)
     return out
 
 

@@ -6,8 +6,9 @@
 3. Both counts of register comparisons go into a joint likelihood; pairs that may reach the threshold (a true one is dropped with probability 3e-5) are verified on
    the full sets.
 4. What the pivots left open is closed: in buckets whose members are still in several components, all pairs of different components are estimated in blocks of
-   ``BLOCK`` members, each pair in its first common band. First the likeliest that would connect each bucket's components are verified, at most one per member, then,
-   between the components that are left, all likely ones. So no link is lost and groups that are linked are not expanded into all their pairs.
+   ``BLOCK`` members, each pair in its first common band. First the likeliest that would connect each bucket's components are verified, at most one per member. Then,
+   between the components that are left, all likely ones are verified within their block, on the full sets of its members, until it is connected as far as it can
+   be. So no link is lost, and a block gives at most a link for each member, whatever the number of its pairs.
 
 Defined cases: documents without text or words have an empty set and are linked with nothing; fewer words than a shingle count as one shingle; equal texts are linked; rows
 of one id are one document (where their texts differ, one of them is compared and copies of all count), and rows without an id are kept and linked with nothing; an empty table gives no rows; other columns are not touched.
@@ -15,7 +16,7 @@ of one id are one document (where their texts differ, one of them is compared an
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,8 @@ BANDS, ROWS = 48, 6
 COUNT = BANDS * ROWS
 #: Members of a bucket that are compared in one block.
 BLOCK = 2048
+#: Shingles of the members that are compared in one block.
+SETS = 1 << 22
 #: Natural logarithm of how much less likely a pair may be at the threshold than at its best estimate.
 DOUBT = 8.0
 
@@ -114,54 +117,21 @@ def verified(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> D
     return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a bigint, b bigint")
 
 
-def open_pairs(members: DataFrame, texts: DataFrame, threshold: float, spanning: bool) -> DataFrame:
-    """Likely pairs of different components within buckets, all or just the likeliest that connect what can be connected; ``members`` is (band, n, low, id, component), the pivot low being done."""
+def dealt(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """Members of buckets that are still in several components, dealt into blocks (band, i, j) so that any two of a bucket meet once; ``members`` is
+    (band, low, id, component), the pivot low being done. A block has at most some 2 * BLOCK members and 2 * SETS shingles."""
     mixed = members.groupBy("band").agg(F.min("component").alias("_c"), F.max("component").alias("_d")).where("_c <> _d").select("band")
-    parts = F.ceil(F.col("n") / BLOCK).cast("int")
-    rows = members.join(mixed, "band", "left_semi").withColumn("_p", parts).withColumn("_i", F.pmod(F.xxhash64("id"), F.col("_p")).cast("int"))
+    rows = kept(members.join(mixed, "band", "left_semi").join(texts.select("id", F.col("n").alias("size")), "id"), "mixed")
+    parts = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / SETS)).cast("int")
+    rows = rows.join(rows.groupBy("band").agg(parts.alias("_p")), "band").withColumn("_i", F.pmod(F.xxhash64("id"), F.col("_p")).cast("int"))
     # each member meets every block: once where a bucket is one block
     rows = rows.withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_p") - 1))).select(
-        "band", F.least("_i", "_j").alias("i"), F.greatest("_i", "_j").alias("j"), F.col("_i").alias("own"), "low", "id", "component")
-    rows = rows.join(texts.select("id", F.col("n").alias("size"), "regs"), "id").repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "id")
+        "band", F.least("_i", "_j").alias("i"), F.greatest("_i", "_j").alias("j"), F.col("_i").alias("own"), "low", "id", "component", "size")
+    return rows.join(texts.select("id", "regs"), "id")
 
-    # equal registers are binomial with at least the threshold: below six standard deviations the likelihood need not be asked
-    least = COUNT * threshold - 6 * (COUNT * threshold * (1 - threshold)) ** 0.5
 
-    def compare(group: pa.Table) -> pa.RecordBatch:
-        ids, comp, own, size = (group.column(c).to_numpy() for c in ("id", "component", "own", "size"))
-        band, i, j, low = (group.column(c)[0].as_py() for c in ("band", "i", "j", "low"))
-        regs = _matrix(group.column("regs").combine_chunks())
-        # within the largest component nothing is open: members outside of it meet everything of other components
-        names, numbers = np.unique(comp, return_inverse=True)
-        outside = numbers != np.bincount(numbers).argmax()
-        a, b, alike = [], [], []
-        for x in np.flatnonzero(outside & (ids != low)):
-            y = np.flatnonzero((comp != comp[x]) & (~outside | (ids > ids[x])) & (ids != low) & ((own != own[x]) | (i == j)))
-            equal = regs[y] == regs[x]
-            y, equal = y[near := equal.sum(1) >= least], equal[near]
-            first = equal.reshape(-1, BANDS, ROWS).all(2).argmax(1) == (band & 63)  # the pair's first common band
-            y, equal = y[first], equal[first]
-            ok = likely((regs[x] > regs[y]).sum(1), (regs[x] < regs[y]).sum(1), COUNT, np.full(len(y), float(size[x])), size[y].astype(float), threshold, DOUBT) if len(y) else np.zeros(0, bool)
-            y, equal = y[ok], equal[ok]
-            a.append(np.full(len(y), x))
-            b.append(y)
-            alike.append(equal.sum(1))
-        a, b, alike = (np.concatenate([np.zeros(0, np.int64), *v]) for v in (a, b, alike))
-        if spanning:  # a maximum spanning forest of the components
-            root, keep = list(range(len(names))), []
-            for k in np.argsort(-alike, kind="stable"):
-                ends = []
-                for c in (numbers[a[k]], numbers[b[k]]):
-                    while root[c] != c:
-                        root[c] = c = root[root[c]]
-                    ends.append(c)
-                if ends[0] != ends[1]:
-                    root[ends[0]] = ends[1]
-                    keep.append(k)
-            a, b = a[keep], b[keep]
-        a, b = ids[a], ids[b]
-        a, b = np.minimum(a, b), np.maximum(a, b)
-        return pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in (a, b)], names=["a", "b"])
+def by_block(rows: DataFrame, work: Callable[[pa.Table], pa.RecordBatch], schema: str) -> DataFrame:
+    """``work`` over the rows of each block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -171,17 +141,97 @@ def open_pairs(members: DataFrame, texts: DataFrame, threshold: float, spanning:
             keys = [batch.column(c).to_numpy() for c in ("band", "i", "j")]
             cuts = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
             if held and any(held[-1].column(c)[-1].as_py() != k[0] for c, k in zip(("band", "i", "j"), keys, strict=True)):
-                yield compare(pa.Table.from_batches(held))
+                yield work(pa.Table.from_batches(held))
                 held = []
             for begin, end in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
                 held.append(batch.slice(begin, end - begin))
                 if end < batch.num_rows:
-                    yield compare(pa.Table.from_batches(held))
+                    yield work(pa.Table.from_batches(held))
                     held = []
         if held:
-            yield compare(pa.Table.from_batches(held))
+            yield work(pa.Table.from_batches(held))
+
+    return rows.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "id").mapInArrow(run, schema)
+
+
+def open_pairs(group: pa.Table, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The likely pairs of a block, both places and the number of equal registers, and a number of each member's component."""
+    # equal registers are binomial with at least the threshold: below six standard deviations the likelihood need not be asked
+    least = COUNT * threshold - 6 * (COUNT * threshold * (1 - threshold)) ** 0.5
+    ids, comp, own, size = (group.column(c).to_numpy() for c in ("id", "component", "own", "size"))
+    band, i, j, low = (group.column(c)[0].as_py() for c in ("band", "i", "j", "low"))
+    regs = _matrix(group.column("regs").combine_chunks())
+    # within the largest component nothing is open: members outside of it meet everything of other components
+    numbers = np.unique(comp, return_inverse=True)[1]
+    outside = numbers != np.bincount(numbers).argmax()
+    a, b, alike = [], [], []
+    for x in np.flatnonzero(outside & (ids != low)):
+        y = np.flatnonzero((comp != comp[x]) & (~outside | (ids > ids[x])) & (ids != low) & ((own != own[x]) | (i == j)))
+        equal = regs[y] == regs[x]
+        y, equal = y[near := equal.sum(1) >= least], equal[near]
+        first = equal.reshape(-1, BANDS, ROWS).all(2).argmax(1) == (band & 63)  # the pair's first common band
+        y, equal = y[first], equal[first]
+        ok = likely((regs[x] > regs[y]).sum(1), (regs[x] < regs[y]).sum(1), COUNT, np.full(len(y), float(size[x])), size[y].astype(float), threshold, DOUBT) if len(y) else np.zeros(0, bool)
+        y, equal = y[ok], equal[ok]
+        a.append(np.full(len(y), x))
+        b.append(y)
+        alike.append(equal.sum(1))
+    a, b, alike = (np.concatenate([np.zeros(0, np.int64), *v]) for v in (a, b, alike))
+    return a, b, alike, numbers
+
+
+def forest(group: pa.Table, threshold: float, similar: Callable[[int, int], bool]) -> pa.RecordBatch:
+    """(a, b): a spanning forest of a block's components over its likely pairs, the likeliest first, that are ``similar``. Pairs within what is joined are not asked."""
+    a, b, alike, numbers = open_pairs(group, threshold)
+    ids, root, links = group.column("id").to_numpy(), list(range(int(numbers.max()) + 1)), []
+    for k in np.argsort(-alike, kind="stable"):
+        ends = []
+        for c in (numbers[a[k]], numbers[b[k]]):
+            while root[c] != c:
+                root[c] = c = root[root[c]]
+            ends.append(c)
+        if ends[0] != ends[1] and similar(a[k], b[k]):
+            root[ends[0]] = ends[1]
+            links.append(k)
+    a, b = ids[a[links]], ids[b[links]]
+    return pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in (np.minimum(a, b), np.maximum(a, b))], names=["a", "b"])
+
+
+def likeliest(members: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """The likeliest pairs (a, b) that connect what can be connected in each block, not verified."""
+    return by_block(dealt(members, texts), lambda group: forest(group, threshold, lambda x, y: True), "a bigint, b bigint").distinct()
+
+
+def last_links(members: DataFrame, texts: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Verified links (a, b) that connect the components of each bucket as far as any pair in it does. Likely pairs stay within their block, where the full sets of
+    those in question are compared, so what leaves a block is at most a link a member."""
+    columns = ("band", "i", "j", "own", "low", "id", "component", "size")
+
+    def asked(group: pa.Table) -> pa.RecordBatch:
+        a, b, _, _ = open_pairs(group, percent / 100)
+        return group.take(pa.array(np.union1d(a, b))).combine_chunks().to_batches()[0] if len(a) else pa.RecordBatch.from_pylist([], group.schema)
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in blocks(batch.column(1)):
+                elements, at = block.shingles(block.hashes(lower=True), shingle)
+                raw = [np.unique(elements[at[i]:at[i + 1]]).tobytes() for i in range(block.n)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.first, block.n), pa.array(raw, pa.binary())], names=["id", "set"])
+
+    def compare(group: pa.Table) -> pa.RecordBatch:
+        full = [np.frombuffer(s.as_buffer(), np.uint64) for s in group.column("set")]
+
+        def similar(x: int, y: int) -> bool:
+            common = len(np.intersect1d(full[x], full[y], assume_unique=True))
+            return 100 * common >= percent * (len(full[x]) + len(full[y]) - common)
+
+        return forest(group, percent / 100, similar)
 
-    return rows.mapInArrow(run, "a bigint, b bigint").distinct()
+    rows = dealt(members, texts).select(*columns, "regs")
+    rows = kept(by_block(rows, asked, "band bigint, i int, j int, own int, low bigint, id bigint, component bigint, size bigint, regs binary"), "asked")
+    ids = kept(rows.select("id").distinct(), "open")
+    open_sets = docs.join(ids, "id", "left_semi").dropDuplicates(["id"]).select("id", "text").mapInArrow(sets, "id bigint, set binary")
+    return by_block(rows.join(kept(open_sets, "sets"), "id"), compare, "a bigint, b bigint").distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -198,12 +248,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     links = verified(kept(estimated(to_pivots, texts, percent / 100), "pairs"), docs, shingle, percent)
     found = kept(components(links), "components")
 
-    def still_open(spanning: bool) -> DataFrame:
-        rest = members.where("n > 2").join(found, "id", "left").select("band", "n", "low", "id", F.coalesce("component", "id").alias("component"))
-        return verified(kept(open_pairs(rest, texts, percent / 100, spanning), "pairs"), docs, shingle, percent)
+    def rest() -> DataFrame:
+        return members.where("n > 2").join(found, "id", "left").select("band", "low", "id", F.coalesce("component", "id").alias("component"))
 
-    found = kept(components(still_open(True).unionAll(found.select(F.col("id").alias("a"), F.col("component").alias("b")))), "components")
-    more = still_open(False)
+    spanning = verified(kept(likeliest(rest(), texts, percent / 100), "pairs"), docs, shingle, percent)
+    found = kept(components(spanning.unionAll(found.select(F.col("id").alias("a"), F.col("component").alias("b")))), "components")
+    more = last_links(rest(), texts, docs, shingle, percent)
     # an id of several rows joins the texts of all of them
     rows = sketches.join(firsts, ["k1", "k2"], "left")
     several = rows.groupBy("id").agg(F.min("first").alias("a"), F.max("first").alias("_b"), F.count("*").alias("_n")).where("_n > 1 AND a <> _b").select("id", "a")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions.rules import SEVERITY_RANK
 from . import files as fl
-from . import skew, structure
+from . import selection, structure
 from .tops import first_per
 
 
@@ -149,46 +149,21 @@ def smells_top(smells: DataFrame, n: int) -> DataFrame:
     return first_per(smells.withColumn("rank", rank), "project", ["rank", "file_path", "line_number", "name", "description"], n)
 
 
-BUCKETS = 65_536
-
-
-def exact_median(df: DataFrame, key: str, value: str) -> DataFrame:
-    """Exact median per key without bringing a key's values together.
-
-    A histogram of fixed width finds the bucket that holds the middle ranks; only that
-    bucket's distinct values are ordered.
-    """
-    v = F.col(value)
-    df = df.where(v.isNotNull()).select(key, value)
-    span = df.groupBy(key).agg(F.count("*").alias("_n"), F.min(v).alias("_lo"), F.max(v).alias("_hi"))
-    pos = F.coalesce(F.try_divide(v - F.col("_lo"), F.col("_hi") - F.col("_lo")), F.lit(0.0))
-    placed = skew.join_groups(df, span, key, value, "_n").withColumn("_b", F.floor(pos * (BUCKETS - 1)).cast("int"))
-    by_key = W.partitionBy(key).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)  # at most BUCKETS rows
-    first, second = F.floor((F.col("_n") - 1) / 2), F.ceil((F.col("_n") - 1) / 2)
-    hist = placed.groupBy(key, "_b", "_n").agg(F.count("*").alias("_c")).withColumn("_before", F.coalesce(F.sum("_c").over(by_key), F.lit(0)))
-    hist = hist.where((F.col("_before") <= second) & (F.col("_before") + F.col("_c") > first)).select(key, "_b", "_n", "_before", "_c")
-    inside = skew.join_groups(placed.drop("_n", "_lo", "_hi"), hist, [key, "_b"], value, "_c").groupBy(key, "_b", "_n", "_before", value).agg(F.count("*").alias("_k"))
-    run = F.sum("_k").over(W.partitionBy(key, "_b").orderBy(value).rowsBetween(W.unboundedPreceding, 0)) + F.col("_before")
-    ranked = inside.withColumn("_end", run).withColumn("_start", F.col("_end") - F.col("_k"))
-    at = lambda r: F.max(F.when((F.col("_start") <= r) & (F.col("_end") > r), v))
-    return ranked.groupBy(key).agg(((at(first) + at(second)) / 2).alias("median"))
-
-
 def timing_stats(timings: DataFrame) -> DataFrame:
     s = F.col("seconds")
     r = lambda c: F.round(F.coalesce(c, F.lit(0.0)), 6)
     base = timings.groupBy("name").agg(F.count(s).alias("iterations"), F.min(s).alias("lo"), F.max(s).alias("hi"), F.avg(s).alias("mean"),
                                        F.stddev_samp(s).alias("sd"), F.sum(s).alias("total"))
-    return base.join(exact_median(timings, "name", "seconds"), "name", "left").select(
+    return base.join(selection.medians(timings, "name", "seconds"), "name", "left").select(
         "name", "iterations", F.coalesce("lo", F.lit(0.0)).alias("min_time"), F.coalesce("hi", F.lit(0.0)).alias("max_time"), r(F.col("mean")).alias("mean_time"),
         r(F.col("median")).alias("median_time"), r(F.col("sd")).alias("stdev_time"), r(F.col("total")).alias("total_time"))
 
 
-def timing_compare(timings: DataFrame) -> DataFrame:
-    """Every ordered pair of benchmark names, on one aggregated row per name."""
-    m = timings.groupBy("name").agg(F.avg("seconds").alias("mean")).withColumn("suite", F.lit(1))
-    a, b = m.select("suite", F.col("name").alias("name1"), F.col("mean").alias("t1")), m.select("suite", F.col("name").alias("name2"), F.col("mean").alias("t2"))
-    j = a.join(b, "suite").where(F.col("name1") < F.col("name2"))
+def timing_compare(timings: DataFrame, baseline: str | None = None) -> DataFrame:
+    """Means of benchmarks against each other, on one aggregated row per name: all against ``baseline``, or, as a report of n names is meant to, every ordered pair."""
+    m = timings.groupBy("name").agg(F.avg("seconds").alias("mean"))
+    a, b = m.select(F.col("name").alias("name1"), F.col("mean").alias("t1")), m.select(F.col("name").alias("name2"), F.col("mean").alias("t2"))
+    j = a.where(F.col("name1") == baseline).join(b, F.col("name1") != F.col("name2")) if baseline is not None else a.join(b, F.col("name1") < F.col("name2"))
     return j.select("name1", "name2", F.round("t1", 6).alias("time1"), F.round("t2", 6).alias("time2"),
                     F.round(F.try_divide(F.col("t1"), F.col("t2")), 6).alias("speedup"),
                     F.round((1 - F.try_divide(F.col("t2"), F.col("t1"))) * 100, 6).alias("improvement"))

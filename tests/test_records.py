@@ -102,6 +102,7 @@ def test_timings(spark):
     r = {x.name: x for x in scores.timing_stats(t).collect()}
     assert (r["a"].min_time, r["a"].max_time, r["a"].mean_time, r["a"].total_time, r["b"].stdev_time) == (0.1, 0.3, 0.2, 0.6, 0.0)
     assert [(x.name1, x.name2, x.speedup) for x in scores.timing_compare(t).collect()] == [("a", "b", 0.5)]
+    assert [(x.name1, x.name2, x.speedup) for x in scores.timing_compare(t, baseline="b").collect()] == [("b", "a", 2.0)]
 
 
 def test_graph_fixture(files):

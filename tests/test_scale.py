@@ -148,12 +148,39 @@ def test_no_cycle(spark):
 
 
 def test_median_equals_plain_median(spark):
-    from tesserine.operators import scores
+    from tesserine.operators import scores, selection
 
     random.seed(2)
     rows = [("a", random.gauss(0, 10)) for _ in range(301)] + [("b", float(random.randint(0, 3))) for _ in range(200)] + [("c", 5.0), ("d", None), ("e", 1.0), ("e", 2.0)]
+    rows += [("f", random.random()) for _ in range(400)] + [("f", 1e300), ("f", -1e300)] + [("g", x) for x in (0.0, -0.0, 5e-324, -5e-324, 2.5e-308)] + [("h", -2.0), ("h", -4.0)]
     df = spark.createDataFrame(rows, "name string, seconds double")
     want = {r.name: r.m for r in df.where("seconds is not null").groupBy("name").agg(F.percentile("seconds", 0.5).alias("m")).collect()}
-    got = {r.name: r["median"] for r in scores.exact_median(df, "name", "seconds").collect()}
+    got = {r.name: r["median"] for r in selection.medians(df, "name", "seconds").collect()}
     assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in want)
     assert {r.name: r.median_time for r in scores.timing_stats(df).collect()}["d"] == 0.0
+    assert selection.medians(df.limit(0), "name", "seconds").isEmpty()
+
+
+def test_bits_are_in_the_order_of_the_doubles(spark):
+    import struct
+
+    from tesserine.operators import selection
+
+    random.seed(4)
+    values = [0.0, 5e-324, 1e-310, 2.2250738585072014e-308, 2.225073858507201e-308, 1.7976931348623157e308, float("inf"), 1.0, 2.0, 0.5, 1 - 2**-53, 2 - 2**-52, 2.0**1023, 8.0, 1000.0, 1e23]
+    values += [struct.unpack("<d", struct.pack("<Q", random.randrange(2047 << 52)))[0] for _ in range(3000)] + [2.0**e * (1 + k * 2**-52) for e in range(-1020, 1020, 17) for k in (0, 1)] + [2.0**e - 2.0**(e - 53) for e in range(-900, 1020, 13)]
+    got = spark.createDataFrame([(v,) for v in values], "v double").select("v", selection.ordered_bits(F.col("v")).alias("b"), selection.ordered_bits(-F.col("v")).alias("minus")).collect()
+    for r in got:
+        bits = struct.unpack("<q", struct.pack("<d", r.v))[0]
+        assert (r.b, r.minus) == (bits, -bits), r.v
+
+
+def test_ranks_of_a_key_that_holds_most_rows(spark, monkeypatch):
+    from tesserine.operators import selection, skew
+
+    monkeypatch.setattr(skew.join_groups, "__defaults__", (50, "inner"))
+    rows = [("hot", (i * 7919 % 10007) / 10007) for i in range(10007)] + [("cold", 3.0)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    ranks = spark.createDataFrame([("hot", r) for r in (0, 17, 5003, 10006)] + [("cold", 0)], "k string, rank long")
+    got = {(r.k, r["rank"]): r.v for r in selection.at_ranks(df, ranks, "k", "v").collect()}
+    assert got == {("hot", r): r / 10007 for r in (0, 17, 5003, 10006)} | {("cold", 0): 3.0}

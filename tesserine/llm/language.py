@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tesserine.llm.workers import release
+
 #: Bytes of training text of a language, and of its large and small dictionaries.
 POOL, LARGE, SMALL = 1 << 18, 1 << 17, 1 << 15
 #: Characters taken of a training row.
@@ -88,6 +90,7 @@ def identify(docs: DataFrame, pools: list[tuple[str, bytes]], min_margin: float
     shared = docs.sparkSession.sparkContext.broadcast(pools)  # at most POOL bytes a language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         judge = Classifier(shared.value)
         for batch in batches:
             found = [judge(t.as_py()) for t in batch.column(batch.num_columns - 1)]

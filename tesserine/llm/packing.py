@@ -11,7 +11,6 @@ other columns are not touched.
 from __future__ import annotations
 
 import bisect
-import functools
 import struct
 import zlib
 from collections.abc import Callable, Iterator
@@ -24,6 +23,7 @@ from pyspark.sql import functions as F
 
 from tesserine.llm.tables import kept, need
 from tesserine.llm.vocabulary import Vocabulary, byte_symbols
+from tesserine.llm.workers import hold
 
 #: Distinct words, and distinct pieces of words, whose ids a worker remembers.
 MEMO = 300_000
@@ -126,12 +126,6 @@ def encoder(path: str) -> Callable[[str], bytes]:
     return encode
 
 
-@functools.lru_cache(maxsize=2)
-def kept_encoder(path: str) -> Callable[[str], bytes]:
-    """The encoder of a worker: what it has met in one task it knows in the next."""
-    return encoder(path)
-
-
 def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, separator: int = 0, id_col: str = "doc_id", text_col: str = "text",
                  with_ids: bool = False) -> DataFrame:
     """Each document's ids and the separator, cut at ``capacity``: a row per piece, with the ids themselves where asked for."""
@@ -140,7 +134,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, sep
                        + [("ids", pa.binary())] * with_ids)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = kept_encoder(tokenizer_path)
+        encode = hold(("encoder", tokenizer_path), lambda: encoder(tokenizer_path))  # what a worker has met in one task it knows in the next
         for batch in batches:
             out: list[list] = [[] for _ in schema]
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):

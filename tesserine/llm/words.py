@@ -11,6 +11,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
+from tesserine.llm.workers import release
+
 BLOCK = 1 << 20
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -110,6 +112,7 @@ def sequence_hash(hashes: np.ndarray) -> np.uint64:
 
 def blocks(texts: pa.Array) -> Iterator[Block]:
     """The texts in blocks of about BLOCK bytes; each row is whole within one block."""
+    release()
     texts = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts
     texts = texts.cast(pa.large_string())
     if texts.null_count:

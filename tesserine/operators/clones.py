@@ -4,7 +4,7 @@ Copies are reported as stars, not as pairs: each member points to its group's fi
 block and the group row carries the pair count n(n-1)/2. Nothing is lost and a group
 of a billion copies stays linear. Similar pairs are sought between distinct contents
 only, with prefix filtering, so a shingle shared by everything is not a join key
-unless a block has nothing rarer.
+unless a block has nothing rarer. Contents are told apart by 64-bit hashes, as shingles are.
 """
 
 from __future__ import annotations
@@ -13,12 +13,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..session import cut_lineage
+from ..session import stored
 from . import files as fl
-from . import skew
+from . import setjoin, skew
 from .tops import first_per
 
 WIDTH = 3  # tokens per shingle
+CROWD = 64  # contents of a bucket that are paired with one another without a further key
 
 
 def _block_id(start: Column) -> Column:
@@ -115,11 +116,11 @@ def shingles(norm: Column) -> Column:
 
 
 def distinct_contents(blocks: DataFrame) -> DataFrame:
-    """One row per normalised content: first block, copies, shingle hashes. Copies combine map-side."""
+    """One row per normalised content: key, first block, copies, shingle hashes. Copies combine map-side."""
     b = blocks.select("block_id", _project(blocks), normalize("content").alias("norm"))
     g = b.groupBy(F.sha2("norm", 256).alias("hash")).agg(F.min(F.struct("block_id", "project")).alias("f"), F.count("*").alias("copies"),
                                                          F.any_value("norm").alias("norm"))
-    return g.select("f.block_id", "f.project", "copies", shingles(F.col("norm")).alias("shingles")).where(F.size("shingles") > 0)
+    return g.select(F.xxhash64("hash").alias("key"), "f.block_id", "f.project", "copies", shingles(F.col("norm")).alias("shingles")).where(F.size("shingles") > 0)
 
 
 def _copies(contents: DataFrame) -> DataFrame:
@@ -130,54 +131,51 @@ def _copies(contents: DataFrame) -> DataFrame:
 
 
 def _verify(candidates: DataFrame, contents: DataFrame, threshold: float) -> DataFrame:
-    a = contents.select(F.col("block_id").alias("block_id1"), F.col("copies").alias("copies1"), F.col("shingles").alias("_a"), "project")
-    b = contents.select(F.col("block_id").alias("block_id2"), F.col("copies").alias("copies2"), F.col("shingles").alias("_b"))
-    both = F.size(F.array_intersect("_a", "_b"))
-    j = candidates.join(a, "block_id1").join(b, "block_id2").withColumn("_s", both / (F.size("_a") + F.size("_b") - both))
-    found = j.where(F.col("_s") >= threshold)
-    return found.select("block_id1", "block_id2", "copies1", "copies2", F.round("_s", 6).alias("similarity"),
-                        (F.col("copies1") * F.col("copies2")).alias("pairs"), "project")
+    """Pairs (key1, key2) with the Jaccard of full sets at the threshold or above, the block that comes first in front."""
+    def side(k: int) -> DataFrame:
+        return contents.select(F.col("key").alias(f"key{k}"), F.struct("block_id", "copies", "project").alias(f"c{k}"), F.col("shingles").alias(f"s{k}"))
+
+    both = F.size(F.array_intersect("s1", "s2"))
+    j = candidates.select("key1", "key2").join(side(1), "key1").join(side(2), "key2")
+    found = j.select(F.least("c1", "c2").alias("a"), F.greatest("c1", "c2").alias("b"), (both / (F.size("s1") + F.size("s2") - both)).alias("_s")).where(F.col("_s") >= threshold)
+    return found.where(F.col("a.block_id") < F.col("b.block_id")).select(
+        F.col("a.block_id").alias("block_id1"), F.col("b.block_id").alias("block_id2"), F.col("a.copies").alias("copies1"), F.col("b.copies").alias("copies2"),
+        F.round("_s", 6).alias("similarity"), (F.col("a.copies") * F.col("b.copies")).alias("pairs"), F.col("a.project").alias("project"))
 
 
 def similar_pairs(blocks: DataFrame, threshold: float = 0.7, contents: DataFrame | None = None) -> DataFrame:
     """Exact: all pairs of contents with Jaccard >= threshold over token triples.
 
-    Two sets that similar share an element among their rarest |x| - ceil(t|x|) + 1, so only
-    those are join keys. A row with block_id1 = block_id2 stands for the copies of one content. ``project`` is that of block_id1.
+    Two sets that similar share an element among their first |x| - ceil(t|x|) + 1 in any order, so only those are join keys,
+    rare ones first (``setjoin``); what is left is verified on full sets. A row with block_id1 = block_id2 stands for the copies of one content. ``project`` is that of block_id1.
     """
-    contents = distinct_contents(blocks) if contents is None else contents
-    sizes = contents.select("block_id", F.size("shingles").alias("n"), F.explode("shingles").alias("sh"))
-    freq = sizes.groupBy("sh").agg(F.count("*").alias("df"))
-    ranked = skew.join_groups(sizes, freq, "sh", "block_id", "df")
-    order = F.array_sort(F.collect_list(F.struct("df", "sh")))
-    keep = (F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - 1e-9) + 1).cast("int")
-    prefix = (ranked.groupBy("block_id", "n").agg(order.alias("_o"))
-              .select("block_id", "n", F.explode(F.slice("_o", 1, keep)).alias("_p")).select("block_id", "n", F.col("_p.sh").alias("sh"), F.col("_p.df").alias("df")))
-    prefix = prefix.where(F.col("df") > 1).drop("df")  # a shingle of one content pairs with nothing
-    a, b = prefix.alias("a"), prefix.alias("b")
-    fits = (F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * F.lit(threshold) - 1e-9)
-    cand = (a.join(b, (F.col("a.sh") == F.col("b.sh")) & (F.col("a.block_id") < F.col("b.block_id")) & fits)
-            .select(F.col("a.block_id").alias("block_id1"), F.col("b.block_id").alias("block_id2")).distinct())
-    return _verify(cand, contents, threshold).unionByName(_copies(contents))
+    contents = stored(distinct_contents(blocks), "contents") if contents is None else contents
+    rows = stored(setjoin.short_rows(contents, threshold), "short")
+    found = setjoin.likely(setjoin.prefix_pairs(rows, threshold), rows, threshold)
+    return _verify(found, contents, threshold).unionByName(_copies(contents))
 
 
 def similar_pairs_lsh(blocks: DataFrame, threshold: float = 0.7, bands: int = 20, rows: int = 3, contents: DataFrame | None = None) -> DataFrame:
-    """MinHash bands over distinct contents; candidates are verified with the exact Jaccard."""
-    contents = distinct_contents(blocks) if contents is None else contents
-    def low(k: int) -> Column:
-        return F.array_min(F.transform("shingles", lambda s: F.xxhash64(s, F.lit(k))))
-
-    mins = [low(k) for k in range(bands * rows)]
-    keys = F.array(*[F.struct(F.lit(b).alias("band"), F.xxhash64(*mins[b * rows:(b + 1) * rows]).alias("key")) for b in range(bands)])
-    sig = contents.select("block_id", F.explode(keys).alias("k")).select("block_id", "k.*")
+    """MinHash bands over distinct contents; candidates are verified with the exact Jaccard.
+
+    Contents of a bucket of more than CROWD meet by a prefix shingle and are then asked for a bucket in common, so that the
+    pairs of a large bucket that cannot reach the threshold are not made; no pair that reaches it is lost by that.
+    """
+    contents = stored(distinct_contents(blocks), "contents") if contents is None else contents
+    key = lambda b: F.xxhash64(F.lit(b), F.xxhash64(*[F.get("minima", F.lit(b * rows + r)) for r in range(rows)]))
+    short = stored(setjoin.short_rows(contents, threshold, bands * rows)
+                   .select("key", "n", "prefix", "parity", F.array(*[key(b) for b in range(bands)]).alias("buckets")), "short")
+    sig = short.select("key", F.explode("buckets").alias("bk"))
     # Only buckets with company travel on; the count combines map-side.
-    busy = sig.groupBy("band", "key").agg(F.count("*").alias("n")).where(F.col("n") > 1)
-    sig = skew.join_groups(sig.withColumn("bk", F.xxhash64("band", "key")), busy.select(F.xxhash64("band", "key").alias("bk"), "n"),
-                           "bk", "block_id", "n").select("bk", "block_id")
-    a, b = sig.alias("a"), sig.alias("b")
-    cand = (a.join(b, (F.col("a.bk") == F.col("b.bk")) & (F.col("a.block_id") < F.col("b.block_id")))
-            .select(F.col("a.block_id").alias("block_id1"), F.col("b.block_id").alias("block_id2")).distinct())
-    return _verify(cand, contents, threshold).unionByName(_copies(contents))
+    busy = sig.groupBy("bk").agg(F.count("*").alias("size")).where(F.col("size") > 1)
+    sig = skew.join_groups(sig, busy, "bk", "key", "size")
+    few = sig.where(F.col("size") <= CROWD).select("bk", "key")
+    a, b = few.alias("a"), few.alias("b")
+    pairs = a.join(b, (F.col("a.bk") == F.col("b.bk")) & (F.col("a.key") < F.col("b.key"))).select(F.col("a.key").alias("key1"), F.col("b.key").alias("key2"))
+    crowded = short.join(sig.where(F.col("size") > CROWD).select("key").distinct(), "key")
+    pairs = pairs.unionByName(setjoin.prefix_pairs(crowded, threshold)).distinct()
+    found = setjoin.likely(pairs, short, threshold, "buckets").where(F.arrays_overlap("buckets1", "buckets2"))
+    return _verify(found, contents, threshold).unionByName(_copies(contents))
 
 
 def pair_similarity(a, b) -> tuple[Column, Column]:
@@ -201,7 +199,7 @@ def pair_classify(pairs: DataFrame) -> DataFrame:
 def clone_summary(blocks: DataFrame, first: int, threshold: float = 0.7) -> DataFrame:
     """Counts, then the first copies and similar pairs (most similar first) of each project, that of the pair's first block."""
     g = _groups(blocks)
-    sim = cut_lineage(similar_pairs(blocks, threshold, cut_lineage(distinct_contents(blocks))))
+    sim = stored(similar_pairs(blocks, threshold), "similar")
     cols = ["kind", "block_id1", "block_id2", "similarity", "pairs"]
     none = F.lit(None).cast("string")
     count = lambda df, kind, c: df.agg(F.coalesce(F.sum(c), F.lit(0)).alias("pairs")).select(

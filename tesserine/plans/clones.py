@@ -7,7 +7,7 @@ from pyspark.sql.functions import col
 
 from ..functions import text as tx
 from ..operators import clones
-from ..session import cut_lineage
+from ..session import stored
 from .base import lang, query, strip, view
 
 view("v_blocks", f"""SELECT project, project || ':' || file_path || ':' || (i + 1) AS block_id, file_path, i + 1 AS start_line, i + 6 AS end_line, array_to_string(l[i + 1:i + 6], chr(10)) AS content,
@@ -67,8 +67,8 @@ def _(t):
 
 
 def contents(t):
-    """Used several times per query, so it is computed once and checkpointed."""
-    return cut_lineage(clones.distinct_contents(blocks(t)))
+    """Used several times per query, so it is computed once and stored."""
+    return stored(clones.distinct_contents(blocks(t)), "contents")
 
 
 @query("similar_pairs", "SELECT block_id1, block_id2, copies1, copies2, similarity, pairs FROM v_similar")

@@ -5,7 +5,7 @@ import random
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tesserine.operators import clones, files as fl, graph, reports, skew, timeline
+from tesserine.operators import clones, files as fl, graph, reports, setjoin, skew, timeline
 
 
 def test_sliced_windows_equal_plain_windows(spark):
@@ -184,3 +184,49 @@ def test_ranks_of_a_key_that_holds_most_rows(spark, monkeypatch):
     ranks = spark.createDataFrame([("hot", r) for r in (0, 17, 5003, 10006)] + [("cold", 0)], "k string, rank long")
     got = {(r.k, r["rank"]): r.v for r in selection.at_ranks(df, ranks, "k", "v").collect()}
     assert got == {("hot", r): r / 10007 for r in (0, 17, 5003, 10006)} | {("cold", 0): 3.0}
+
+
+def _sliding(rng, words, size, step, n):
+    """Overlapping windows of one text: each shares a third of its triples with the next, by Jaccard."""
+    text = [rng.choice(words) for _ in range(size + step * n)]
+    return [" ".join(text[i * step:i * step + size]) for i in range(n)]
+
+
+def test_bounds_of_similar_pairs_leave_few_candidates_and_lose_none(spark):
+    rng, words = random.Random(3), [f"w{i}" for i in range(400)]
+    texts = _sliding(rng, words, 60, 30, 300)
+    for t in texts[:60]:
+        w = t.split()
+        w[rng.randrange(60)] = "changed"
+        texts.append(" ".join(w))
+    sets = [_sets(t) for t in texts]
+    contents = clones.distinct_contents(_blocks(spark, texts)).cache()
+    for threshold in (0.3, 0.7):
+        want = {(f"b{i:03d}", f"b{j:03d}") for i, a in enumerate(sets) for j, b in enumerate(sets) if i < j and len(a & b) >= threshold * len(a | b)}
+        rows = setjoin.short_rows(contents, threshold).cache()
+        likely = setjoin.likely(setjoin.prefix_pairs(rows, threshold), rows, threshold).count()
+        assert len(want) <= likely <= 2 * len(want) + 30
+        got = clones.similar_pairs(None, threshold, contents).collect()
+        assert {(r.block_id1, r.block_id2) for r in got} == want and len(got) == len(want)
+
+
+def test_minima_are_those_of_xxhash64(spark):
+    contents = spark.createDataFrame([(1, [5, -7, 2**62]), (2, [-1]), (3, [0, 2**63 - 1, -2**63])], "key long, shingles array<long>")
+    low = F.array(*[F.array_min(F.transform("shingles", lambda s: F.xxhash64(s, F.lit(k)))) for k in range(4)])  # noqa: B023
+    got = {r.key: r.minima for r in setjoin.short_rows(contents, 0.7, 4).collect()}
+    assert got == {r.key: r.m for r in contents.select("key", low.alias("m")).collect()}
+
+
+def test_lsh_of_crowded_buckets_equals_the_plain_form(spark, monkeypatch):
+    """Blocks that share a long passage crowd their buckets; only those that are near one another may become candidates."""
+    rng, words = random.Random(4), [f"w{i}" for i in range(400)]
+    shared = rng.choices(words, k=40)
+    texts = [" ".join(shared + rng.choices(words, k=25)) for _ in range(120)]
+    texts += [t.rsplit(" ", 1)[0] + " changed" for t in texts[:20]]
+    blocks, made = _blocks(spark, texts), []
+    verify = clones._verify
+    monkeypatch.setattr(clones, "_verify", lambda pairs, *a: made.append(pairs.count()) or verify(pairs, *a))
+    crowded = sorted(map(tuple, clones.similar_pairs_lsh(blocks).collect()))
+    monkeypatch.setattr(clones, "CROWD", 10**9)
+    assert crowded == sorted(map(tuple, clones.similar_pairs_lsh(blocks).collect())) and len(crowded) >= 18
+    assert max(made) <= 60  # 9,730 pairs share buckets or could

@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import edits
 from ..functions import text as tx
 from ..session import stored
 from . import files as fl
@@ -178,17 +179,21 @@ def similar_pairs_lsh(blocks: DataFrame, threshold: float = 0.7, bands: int = 20
     return _verify(found, contents, threshold).unionByName(_copies(contents))
 
 
-def pair_similarity(a, b) -> tuple[Column, Column]:
-    """(Jaccard over words, 1 - edit distance / longer length) of two text columns."""
+def distinct_words(text) -> Column:
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(tx.WORD), F.lit(0)))
+
+
+def pair_similarity(a, b, words_a: Column | None = None, words_b: Column | None = None) -> tuple[Column, Column]:
+    """(Jaccard over words, 1 - edit distance / longer length) of two text columns; their distinct words can be given."""
     a, b = (F.col(x) if isinstance(x, str) else x for x in (a, b))
-    words = lambda c: F.array_distinct(F.regexp_extract_all(c, F.lit(tx.WORD), F.lit(0)))
-    sets = F.struct(words(a).alias("a"), words(b).alias("b"))
+    sets = F.struct((distinct_words(a) if words_a is None else words_a).alias("a"), (distinct_words(b) if words_b is None else words_b).alias("b"))
     both = lambda s: F.size(F.array_intersect(s["a"], s["b"]))
     jaccard = lambda s: F.when(F.size(s["a"]) + F.size(s["b"]) == 0, 1.0).otherwise(
         F.round(both(s) / (F.size(s["a"]) + F.size(s["b"]) - both(s)), 6))
     longer = F.greatest(F.length(a), F.length(b))
+    distance = F.arrow_udf(edits.edit_distance, "int")
     return (tx.let(sets, jaccard),
-            F.when(longer == 0, 1.0).otherwise(F.round(1 - F.levenshtein(a, b) / longer, 6)))
+            F.when(longer == 0, 1.0).otherwise(F.round(1 - distance(a, b) / longer, 6)))
 
 
 def pair_classify(pairs: DataFrame) -> DataFrame:

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 BUCKETS = 1 << 20  # of the order; 4 MB
 PARITY = 512  # bits
 WORDS = PARITY // 64
+SLICE = 1 << 14  # shingles hashed at a time
 EPS = 1e-9
 
 
@@ -75,8 +76,13 @@ def xxhash64_int(seeds: np.ndarray, k: int) -> np.ndarray:
 
 def _minima(values: np.ndarray, starts: np.ndarray, hashes: int) -> np.ndarray:
     """For each set the least ``xxhash64(shingle, k)`` for every k below ``hashes``, one set after the other."""
-    seeds = xxhash64_long(values)
-    return np.stack([np.minimum.reduceat(xxhash64_int(seeds, k).view(np.int64), starts) for k in range(hashes)], axis=1).ravel()
+    out = np.empty((len(starts), hashes), np.int64)
+    cuts = np.flatnonzero(np.diff(starts // SLICE, prepend=-1))
+    for i, j in zip(cuts, [*cuts[1:], len(starts)]):  # slices whose hashes stay in a core's cache
+        seeds = xxhash64_long(values[starts[i]:starts[j] if j < len(starts) else None])
+        for k in range(hashes):
+            out[i:j, k] = np.minimum.reduceat(xxhash64_int(seeds, k).view(np.int64), starts[i:j] - starts[i])
+    return out.ravel()
 
 
 def short_rows(sets: DataFrame, threshold: float, hashes: int = 0) -> DataFrame:

@@ -94,11 +94,11 @@ _ONE = lambda x: f"translate({x}, '{_ACCENTS}', " + "||".join(f"chr({c})" for c
   SELECT *, len(list_intersect({_W('a')}, {_W('b')})) AS shared, len(list_distinct(list_concat({_W('a')}, {_W('b')}))) AS either FROM (
   SELECT file_path, line_number, line AS a, lead(line) OVER (PARTITION BY file_path ORDER BY line_number) AS b FROM v_lines) WHERE b IS NOT NULL)""")
 def _(t):
-    """Each line against the next one of its file."""
-    pairs = tx.let(F.split("content", "\n", -1), lambda l: F.transform(
-        F.slice(l, 1, F.size(l) - 1), lambda x, i: F.struct((i + 1).alias("n"), x.alias("a"), F.element_at(l, i + 2).alias("b"))))
-    p = t.corpus.select("file_path", F.explode(pairs).alias("p")).select("file_path", col("p.n").alias("line_number"), "p.a", "p.b")
-    jac, edit = clones.pair_similarity("a", "b")
+    """Each line against the next one of its file; a line's words are taken once for both of its pairs."""
+    lines = F.transform(F.split("content", "\n", -1), lambda x: F.struct(x.alias("text"), clones.distinct_words(x).alias("words")))
+    pairs = tx.let(lines, lambda l: F.transform(F.slice(l, 1, F.size(l) - 1), lambda x, i: F.struct((i + 1).alias("n"), x.alias("a"), F.element_at(l, i + 2).alias("b"))))
+    p = tx.one_each(t.corpus, pairs, "p", "file_path").select("file_path", col("p.n").alias("line_number"), "p.a", "p.b")
+    jac, edit = clones.pair_similarity(col("a.text"), col("b.text"), col("a.words"), col("b.words"))
     return p.select("file_path", "line_number", jac.alias("jaccard"), edit.alias("edit_similarity"))
 
 

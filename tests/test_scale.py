@@ -1,10 +1,13 @@
 """The forms that keep hot groups apart must equal the plain forms."""
 
 import random
+import time
 
+import pyarrow as pa
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tesserine.functions import edits
 from tesserine.operators import clones, files as fl, graph, reports, setjoin, skew, timeline
 
 
@@ -230,3 +233,36 @@ def test_lsh_of_crowded_buckets_equals_the_plain_form(spark, monkeypatch):
     monkeypatch.setattr(clones, "CROWD", 10**9)
     assert crowded == sorted(map(tuple, clones.similar_pairs_lsh(blocks).collect())) and len(crowded) >= 18
     assert max(made) <= 60  # 9,730 pairs share buckets or could
+
+
+def _plain_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last = [i]
+        for j, y in enumerate(b, 1):
+            last.append(min(row[j] + 1, last[-1] + 1, row[j - 1] + (x != y)))
+        row = last
+    return row[-1]
+
+
+def test_edit_distances_equal_the_plain_table(monkeypatch):
+    rng = random.Random(6)
+    text = lambda: "".join(rng.choices("abcdé😀 x", k=rng.choice([0, 1, 5, 63, 64, 65, 127, 128, 129, rng.randrange(200)])))
+    a = [text() for _ in range(200)]
+    b = [text() if i % 3 else x[:len(x) // 2] + "q" + x[len(x) // 2 + 2:] for i, x in enumerate(a)]
+    want = [_plain_distance(x, y) for x, y in zip(a, b)]
+    for cost in (edits.LARGE, 1e9, -1e9):  # as it chooses, all together, each alone
+        monkeypatch.setattr(edits, "LARGE", cost)
+        assert edits.distances(a, b).tolist() == want
+    got = edits.edit_distance(pa.array([None, *a, "a"]), pa.array(["a", *b, None])).to_pylist()
+    assert got == [None, *want, None]
+
+
+def test_long_lines_are_compared_in_seconds(spark):
+    """Two lines of 40,000 characters: 1.6 billion cells."""
+    rng = random.Random(7)
+    df = spark.createDataFrame([("".join(rng.choices("abcdefgh ", k=40_000)),) * 2, ("x" * 40_000, "x" * 39_999 + "y")], "a string, b string")
+    df = df.unionByName(df.select(F.col("a").alias("a"), F.reverse("a").alias("b"))).repartition(4)
+    start = time.time()
+    got = sorted(r.e for r in df.select(clones.pair_similarity("a", "b")[1].alias("e")).collect())
+    assert got[-3:] == [0.999975, 1.0, 1.0] and time.time() - start < 12

@@ -168,6 +168,43 @@ def test_tree_source(spark, files):
     assert got == {"src/a.py": "x\r\n", "bad.go": "ok \ufffd"}
 
 
+def test_tree_source_lists_and_reads_in_tasks(spark, files, monkeypatch):
+    """Few tasks for many small files, several rounds of listing, and the rows of Spark's own file source."""
+    root = scratch_path(spark, "tree")
+    plain = {f"a/d{i % 40}/m{i}.py": f"x{i}" for i in range(1_000)}
+    odd = {"a/b/c/d/e.go": "deep \u00e9\n", "UPPER.PY": "no", "n.txt": "no", "__init__.py": "no", "_h/x.py": "no", ".h/x.py": "no", "_k=1/x.py": "yes",
+           "a/venv/x.py": "no", "a/venv.py": "yes", "a/b.js/c.js": "yes", "sp ace/%41 #?.ts": "yes", "big.java": "z" * 100_000}
+    io.write_tree(files(plain | odd | {"empty.rs": ""}), "file://" + root)
+    assert not [n for _, _, names in os.walk(root) for n in names if n.endswith(".part")]
+    monkeypatch.setattr(io, "LISTED", 20)
+    monkeypatch.setattr(io, "HELD", 1_000)
+    tree = io.load_tree(spark, root)
+    assert tree.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+    got = sorted(tuple(r) for r in tree.collect())
+    assert [r[:2] for r in got] == sorted([*plain.items(), *((k, v) for k, v in odd.items() if v != "no")])
+    assert all(n == len(content.encode()) for _, content, n in got)
+    assert sorted(tuple(r) for r in io.load_tree(spark, "file://" + root + "/").collect()) == got
+    assert io.load_tree(spark, root).where("content = 'yes' AND bytes = 3").count() == 4
+    monkeypatch.setattr(io, "_mounted", lambda *_: None)
+    assert sorted(tuple(r) for r in io.load_tree(spark, root).collect()) == got
+
+
+def test_tree_keeps_one_whole_text_of_equal_paths(spark):
+    root = scratch_path(spark, "tree")
+    texts = [("d/a.py", c * 50_000) for c in "abcdefgh"]
+    io.write_tree(spark.createDataFrame(texts * 20, "file_path string, content string").repartition(8), root)
+    got = [tuple(r) for r in io.load_tree(spark, root).select("file_path", "content").collect()]
+    assert len(got) == 1 and got[0] in texts
+
+
+def test_tree_of_nothing(spark):
+    root = scratch_path(spark, "tree")
+    os.makedirs(os.path.join(root, "a"))
+    assert io.load_tree(spark, root).collect() == []
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        io.load_tree(spark, root + "-absent")
+
+
 def test_reports_skip_bad_files(spark):
     root = scratch_path(spark, "json")
     os.makedirs(root)

@@ -9,18 +9,20 @@ unless a block has nothing rarer. Contents are told apart by 64-bit hashes, as s
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import edits
 from ..functions import text as tx
-from ..session import stored
+from ..session import shuffles_dropped, stored
 from . import files as fl
 from . import setjoin, skew
 from .tops import first_per
 
 WIDTH = 3  # tokens per shingle
-CROWD = 64  # contents of a bucket that are paired with one another without a further key
+CROWD = 64  # contents of a bucket that are tried pair by pair for company
 
 
 def _block_id(start: Column) -> Column:
@@ -124,6 +126,20 @@ def distinct_contents(blocks: DataFrame) -> DataFrame:
     return g.select(F.xxhash64("hash").alias("key"), "f.block_id", "f.project", "copies", shingles(F.col("norm")).alias("shingles")).where(F.size("shingles") > 0)
 
 
+def _contents(blocks: DataFrame | None, contents: DataFrame | None) -> tuple[DataFrame, DataFrame, Callable[[DataFrame], DataFrame]]:
+    """One narrow row per normalised content (key, first block, copies); rows of key and text, made again from the blocks with each use, where copies may
+    repeat; and what makes rows of key and shingles of these. ``contents`` stand in for the blocks if given.
+    """
+    if contents is not None:
+        return contents.select("key", "block_id", "project", "copies"), contents.select("key", "shingles"), lambda d: d
+    b = blocks.select("block_id", _project(blocks), normalize("content").alias("norm")).where(F.col("norm").rlike(tx.WORD))
+    b = b.withColumn("key", F.xxhash64(F.sha2("norm", 256)))
+    g = b.groupBy("key").agg(F.min(F.struct("block_id", "project")).alias("f"), F.count("*").alias("copies"))
+    with shuffles_dropped(blocks.sparkSession):
+        heads = stored(g.select("key", "f.block_id", "f.project", "copies"), "contents")
+    return heads, b.select("key", "norm"), lambda d: d.withColumn("shingles", shingles(F.col("norm"))).drop("norm")
+
+
 def _copies(contents: DataFrame) -> DataFrame:
     return contents.where(F.col("copies") > 1).select(
         F.col("block_id").alias("block_id1"), F.col("block_id").alias("block_id2"), F.col("copies").alias("copies1"),
@@ -131,17 +147,22 @@ def _copies(contents: DataFrame) -> DataFrame:
         (F.col("copies") * (F.col("copies") - 1) / 2).cast("long").alias("pairs"), "project")
 
 
-def _verify(candidates: DataFrame, contents: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (key1, key2) with the Jaccard of full sets at the threshold or above, the block that comes first in front."""
-    def side(k: int) -> DataFrame:
-        return contents.select(F.col("key").alias(f"key{k}"), F.struct("block_id", "copies", "project").alias(f"c{k}"), F.col("shingles").alias(f"s{k}"))
+def _near(links: DataFrame, summary: DataFrame, threshold: float) -> DataFrame:
+    """Pairs that no bound rules out, as members of cells (``setjoin.near``). Stored step by step, so that the shuffle files of a step end with it."""
+    with shuffles_dropped(links.sparkSession):
+        links = stored(links, "links")
+        return stored(setjoin.near(links, setjoin.sizes_and_parities(summary), threshold), "near")
+
 
-    both = F.size(F.array_intersect("s1", "s2"))
-    j = candidates.select("key1", "key2").join(side(1), "key1").join(side(2), "key2")
-    found = j.select(F.least("c1", "c2").alias("a"), F.greatest("c1", "c2").alias("b"), (both / (F.size("s1") + F.size("s2") - both)).alias("_s")).where(F.col("_s") >= threshold)
-    return found.where(F.col("a.block_id") < F.col("b.block_id")).select(
-        F.col("a.block_id").alias("block_id1"), F.col("b.block_id").alias("block_id2"), F.col("a.copies").alias("copies1"), F.col("b.copies").alias("copies2"),
-        F.round("_s", 6).alias("similarity"), (F.col("a.copies") * F.col("b.copies")).alias("pairs"), F.col("a.project").alias("project"))
+def _verify(members: DataFrame, contents: tuple[DataFrame, DataFrame, Callable[[DataFrame], DataFrame]], threshold: float, bands: int = 0, rows: int = 0) -> DataFrame:
+    """Pairs with the Jaccard of full sets at the threshold or above, the block that comes first in front. Of the texts only those of members travel."""
+    heads, texts, cut = contents
+    body = next(c for c in texts.columns if c != "key")
+    once = setjoin.among(texts, members).groupBy("key").agg(F.any_value(body).alias(body))
+    full = members.join(once, "key").join(heads, "key").repartition(*setjoin.CELL).sortWithinPartitions(*setjoin.CELL)
+    found = setjoin.verified(cut(full), threshold, bands, rows)
+    return found.select("block_id1", "block_id2", "copies1", "copies2", F.round("jaccard", 6).alias("similarity"), (F.col("copies1") * F.col("copies2")).alias("pairs"),
+                        F.col("project1").alias("project"))
 
 
 def similar_pairs(blocks: DataFrame, threshold: float = 0.7, contents: DataFrame | None = None) -> DataFrame:
@@ -150,33 +171,22 @@ def similar_pairs(blocks: DataFrame, threshold: float = 0.7, contents: DataFrame
     Two sets that similar share an element among their first |x| - ceil(t|x|) + 1 in any order, so only those are join keys,
     rare ones first (``setjoin``); what is left is verified on full sets. A row with block_id1 = block_id2 stands for the copies of one content. ``project`` is that of block_id1.
     """
-    contents = stored(distinct_contents(blocks), "contents") if contents is None else contents
-    rows = stored(setjoin.short_rows(contents, threshold), "short")
-    found = setjoin.likely(setjoin.prefix_pairs(rows, threshold), rows, threshold)
-    return _verify(found, contents, threshold).unionByName(_copies(contents))
+    heads, texts, cut = made = _contents(blocks, contents)
+    summary = stored(setjoin.summaries(cut(texts)), "summary")
+    links = setjoin.set_pairs(cut(texts), threshold, setjoin.counted(summary))
+    return _verify(_near(links, summary, threshold), made, threshold).unionByName(_copies(heads))
 
 
 def similar_pairs_lsh(blocks: DataFrame, threshold: float = 0.7, bands: int = 20, rows: int = 3, contents: DataFrame | None = None) -> DataFrame:
     """MinHash bands over distinct contents; candidates are verified with the exact Jaccard.
 
-    Contents of a bucket of more than CROWD meet by a prefix shingle and are then asked for a bucket in common, so that the
-    pairs of a large bucket that cannot reach the threshold are not made; no pair that reaches it is lost by that.
+    Contents of a bucket are linked to a home instead of being paired, and the pairs there that no bound rules out are asked for a bucket in common
+    when their full sets meet, so that the pairs of a large bucket that cannot reach the threshold are not made; no pair that reaches it is lost by that.
     """
-    contents = stored(distinct_contents(blocks), "contents") if contents is None else contents
-    key = lambda b: F.xxhash64(F.lit(b), F.xxhash64(*[F.get("minima", F.lit(b * rows + r)) for r in range(rows)]))
-    short = stored(setjoin.short_rows(contents, threshold, bands * rows)
-                   .select("key", "n", "prefix", "parity", F.array(*[key(b) for b in range(bands)]).alias("buckets")), "short")
-    sig = short.select("key", F.explode("buckets").alias("bk"))
-    # Only buckets with company travel on; the count combines map-side.
-    busy = sig.groupBy("bk").agg(F.count("*").alias("size")).where(F.col("size") > 1)
-    sig = skew.join_groups(sig, busy, "bk", "key", "size")
-    few = sig.where(F.col("size") <= CROWD).select("bk", "key")
-    a, b = few.alias("a"), few.alias("b")
-    pairs = a.join(b, (F.col("a.bk") == F.col("b.bk")) & (F.col("a.key") < F.col("b.key"))).select(F.col("a.key").alias("key1"), F.col("b.key").alias("key2"))
-    crowded = short.join(sig.where(F.col("size") > CROWD).select("key").distinct(), "key")
-    pairs = pairs.unionByName(setjoin.prefix_pairs(crowded, threshold)).distinct()
-    found = setjoin.likely(pairs, short, threshold, "buckets").where(F.arrays_overlap("buckets1", "buckets2"))
-    return _verify(found, contents, threshold).unionByName(_copies(contents))
+    heads, texts, cut = made = _contents(blocks, contents)
+    summary = stored(setjoin.summaries(cut(texts), bands, rows), "summary")
+    links = setjoin.bucket_pairs(summary, bands, threshold, CROWD)
+    return _verify(_near(links, summary, threshold), made, threshold, bands, rows).unionByName(_copies(heads))
 
 
 def distinct_words(text) -> Column:

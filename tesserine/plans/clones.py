@@ -78,7 +78,7 @@ def _(t):
 
 @query("similar_pairs_lsh")
 def _(t):
-    return clones.similar_pairs_lsh(blocks(t), contents=contents(t)).drop("project")
+    return clones.similar_pairs_lsh(blocks(t)).drop("project")
 
 
 _W = lambda x: f"list_distinct(regexp_extract_all({x}, '[\\p{{L}}\\p{{N}}_]+'))"

@@ -1,14 +1,19 @@
 """The forms that keep hot groups apart must equal the plain forms."""
 
+import os
 import random
+import threading
 import time
 
+import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tesserine.functions import edits
 from tesserine.operators import clones, files as fl, graph, reports, setjoin, skew, timeline
+from tesserine.session import shared_dir
 
 
 def test_sliced_windows_equal_plain_windows(spark):
@@ -235,6 +240,97 @@ def test_lsh_of_crowded_buckets_equals_the_plain_form(spark, monkeypatch):
     assert max(made) <= 60  # 9,730 pairs share buckets or could
 
 
+def _used(folder):
+    return sum(_size(os.path.join(d, f)) for d, _, names in os.walk(folder) for f in names)
+
+
+def _peak(folder, run):
+    """Most bytes in a folder while something runs."""
+    most, over = [0], threading.Event()
+
+    def watch():
+        while not over.wait(0.02):
+            most[0] = max(most[0], _used(folder))
+
+    watcher = threading.Thread(target=watch)
+    watcher.start()
+    try:
+        return run(), most[0]
+    finally:
+        over.set()
+        watcher.join()
+
+
+def _size(path):
+    try:
+        return os.path.getsize(path)
+    except OSError:
+        return 0
+
+
+@pytest.fixture(scope="module")
+def families(spark):
+    """Forty families of fifty near copies, and as many texts without any."""
+    rng, words = random.Random(8), [f"w{i}" for i in range(5000)]
+    texts = []
+    for _ in range(40):
+        base = rng.choices(words, k=150)
+        texts += [" ".join(base[:k] + [f"x{k}"] + base[k + 1:]) for k in range(50)]
+    texts += [" ".join(rng.choices(words, k=150)) for _ in range(2000)]
+    return _blocks(spark, texts).withColumn("project", F.concat(F.lit("p"), F.substring("block_id", -1, 1))).localCheckpoint(), sum(map(len, texts))
+
+
+def _disk(spark, run):
+    """What an operator gives, and the most bytes it has in the shared folder and in shuffle files."""
+    local, shared = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()[0], shared_dir(spark)
+    before = _used(local), _used(shared)
+    (rows, kept), most = _peak(local, lambda: _peak(shared, run))
+    return rows, max(0, most - before[0]) + kept - before[1]
+
+
+@pytest.mark.parametrize("query", ["similar_pairs_lsh"])
+def test_disk_of_similar_pairs_is_a_small_multiple_of_the_text(spark, families, query):
+    run = {"similar_pairs_lsh": lambda b: clones.similar_pairs_lsh(b).count(), "similar_pairs": lambda b: clones.similar_pairs(b).count(),
+           "pair_classify": lambda b: clones.pair_classify(clones.similar_pairs(b)).where("is_duplicate AND is_similar").count(),
+           "clone_summary": lambda b: clones.clone_summary(b, 3).where("kind = 'similar_pairs'").first().pairs}[query]
+    rows, most = _disk(spark, lambda: run(families[0]))
+    assert rows == 40 * 50 * 49 // 2 or query == "pair_classify" and 0 < rows < 40 * 50 * 49 // 2
+    assert most <= 1.5 * families[1]
+
+
+def test_pairs_of_tiles_and_of_several_homes_come_once(spark, monkeypatch):
+    """Families larger than a tile, whose members meet in many homes."""
+    rng, words = random.Random(9), [f"w{i}" for i in range(300)]
+    base = [rng.choices(words, k=60) for _ in range(3)]
+    texts = [" ".join(w if rng.random() > 0.03 else rng.choice(words) for w in b) for b in base for _ in range(60)]
+    blocks = _blocks(spark, texts + texts[:5])
+    sets = [_sets(t) for t in texts]
+    same = {}
+    for i, t in enumerate(texts):
+        same.setdefault(t, i)
+    own = sorted(same.values())
+    want = {(f"b{i:03d}", f"b{j:03d}") for i in own for j in own if i < j and len(sets[i] & sets[j]) >= 0.7 * len(sets[i] | sets[j])}
+    monkeypatch.setattr(setjoin, "TILE", 7)
+    monkeypatch.setattr(setjoin, "CHUNK", 50)
+    monkeypatch.setattr(setjoin, "FLUSH", 500)
+    for small in (1, 32):
+        monkeypatch.setattr(setjoin, "SMALL", small)
+        got = [(r.block_id1, r.block_id2) for r in clones.similar_pairs(blocks).where("block_id1 <> block_id2").collect()]
+        assert set(got) == want and len(got) == len(want) > 1000
+    lsh = [(r.block_id1, r.block_id2) for r in clones.similar_pairs_lsh(blocks).where("block_id1 <> block_id2").collect()]
+    assert set(lsh) <= want and len(lsh) == len(set(lsh)) >= 0.9 * len(want)
+
+
+def test_packed_entries_come_back():
+    rng = np.random.default_rng(1)
+    first, second = (rng.integers(0, 1 << 40, 5000, dtype=np.uint64) for _ in range(2))
+    third = rng.integers(0, 1 << 16, 5000).astype(np.uint16)
+    batches = list(setjoin._dealt(7, [first, second, third], (5, 5, 2)))
+    back = [np.concatenate(c) for c in zip(*setjoin._parts(iter(batches), 5, 5, 2))]
+    assert sorted(zip(*(c.tolist() for c in back))) == sorted(zip(first.tolist(), second.tolist(), third.tolist()))
+    assert batches[0]["part"].to_pylist() == list(range(7))
+
+
 def _plain_distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):

@@ -214,7 +214,9 @@ def pair_classify(pairs: DataFrame) -> DataFrame:
 def clone_summary(blocks: DataFrame, first: int, threshold: float = 0.7) -> DataFrame:
     """Counts, then the first copies and similar pairs (most similar first) of each project, that of the pair's first block."""
     g = _groups(blocks)
-    sim = stored(similar_pairs(blocks, threshold), "similar")
+    sim = similar_pairs(blocks, threshold)
+    with shuffles_dropped(blocks.sparkSession):
+        sim = stored(sim, "similar")
     cols = ["kind", "block_id1", "block_id2", "similarity", "pairs"]
     none = F.lit(None).cast("string")
     count = lambda df, kind, c: df.agg(F.coalesce(F.sum(c), F.lit(0)).alias("pairs")).select(

@@ -73,7 +73,7 @@ def contents(t):
 
 @query("similar_pairs", "SELECT block_id1, block_id2, copies1, copies2, similarity, pairs FROM v_similar")
 def _(t):
-    return clones.similar_pairs(blocks(t), contents=contents(t)).drop("project")
+    return clones.similar_pairs(blocks(t)).drop("project")
 
 
 @query("similar_pairs_lsh")

@@ -7,7 +7,6 @@ from pyspark.sql.functions import col
 
 from ..functions import text as tx
 from ..operators import clones
-from ..session import stored
 from .base import lang, query, strip, view
 
 view("v_blocks", f"""SELECT project, project || ':' || file_path || ':' || (i + 1) AS block_id, file_path, i + 1 AS start_line, i + 6 AS end_line, array_to_string(l[i + 1:i + 6], chr(10)) AS content,
@@ -66,11 +65,6 @@ def _(t):
     return clones.duplicates_exact(blocks(t)).drop("first_project")
 
 
-def contents(t):
-    """Used several times per query, so it is computed once and stored."""
-    return stored(clones.distinct_contents(blocks(t)), "contents")
-
-
 @query("similar_pairs", "SELECT block_id1, block_id2, copies1, copies2, similarity, pairs FROM v_similar")
 def _(t):
     return clones.similar_pairs(blocks(t)).drop("project")
@@ -104,7 +98,7 @@ def _(t):
 
 @query("pair_classify", "SELECT block_id1, block_id2, similarity, similarity >= 0.95 AS is_duplicate, similarity >= 0.7 AS is_similar FROM v_similar")
 def _(t):
-    p = clones.similar_pairs(blocks(t), contents=contents(t))
+    p = clones.similar_pairs(blocks(t))
     return clones.pair_classify(p).select("block_id1", "block_id2", "similarity", "is_duplicate", "is_similar")
 
 

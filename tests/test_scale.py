@@ -288,7 +288,7 @@ def _disk(spark, run):
     return rows, max(0, most - before[0]) + kept - before[1]
 
 
-@pytest.mark.parametrize("query", ["similar_pairs_lsh", "clone_summary", "similar_pairs"])
+@pytest.mark.parametrize("query", ["similar_pairs_lsh", "similar_pairs", "pair_classify", "clone_summary"])
 def test_disk_of_similar_pairs_is_a_small_multiple_of_the_text(spark, families, query):
     run = {"similar_pairs_lsh": lambda b: clones.similar_pairs_lsh(b).count(), "similar_pairs": lambda b: clones.similar_pairs(b).count(),
            "pair_classify": lambda b: clones.pair_classify(clones.similar_pairs(b)).where("is_duplicate AND is_similar").count(),

@@ -133,10 +133,10 @@ def _contents(blocks: DataFrame | None, contents: DataFrame | None) -> tuple[Dat
     if contents is not None:
         return contents.select("key", "block_id", "project", "copies"), contents.select("key", "shingles"), lambda d: d
     b = blocks.select("block_id", _project(blocks), normalize("content").alias("norm")).where(F.col("norm").rlike(tx.WORD))
-    b = b.withColumn("key", F.xxhash64(F.sha2("norm", 256)))
-    g = b.groupBy("key").agg(F.min(F.struct("block_id", "project")).alias("f"), F.count("*").alias("copies"))
+    b = b.withColumn("hash", F.sha2("norm", 256)).withColumn("key", F.xxhash64("hash"))
+    g = b.groupBy("hash").agg(F.min(F.struct("block_id", "project")).alias("f"), F.count("*").alias("copies"))
     with shuffles_dropped(blocks.sparkSession):
-        heads = stored(g.select("key", "f.block_id", "f.project", "copies"), "contents")
+        heads = stored(g.select(F.xxhash64("hash").alias("key"), "f.block_id", "f.project", "copies"), "contents")
     return heads, b.select("key", "norm"), lambda d: d.withColumn("shingles", shingles(F.col("norm"))).drop("norm")
 
 
